@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct entries a partial counter holds before it is handed on: bounds a worker's memory, changes no result.
@@ -42,3 +45,76 @@ def counted(df: DataFrame, column: str, units: Callable[[str], list[str]], word:
 
 
 LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏ]+")
+
+
+class Hashes(dict):
+    """word -> 64 bits, remembered for up to PARTIAL_ENTRIES words; the same in every process."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= PARTIAL_ENTRIES:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf8", "surrogatepass"))
+        return value
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every bit of x on every bit of the result."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
+def hashed_counts(df: DataFrame, column: str, units: Callable[[list[str]], list[np.ndarray]], channels: int, bits: int) -> np.ndarray:
+    """Counts over all rows in a table of fixed size, shape (channels, 2**bits): units turns a batch of texts into one
+    array of 64-bit hashes per channel; a hash adds one to its cell. Every row of every task adds in; tables are summed
+    by ranges of cells, so what reaches the driver is channels * 2**bits counts however large the input is."""
+    cells, spans = 1 << bits, 16
+    width = cells // spans
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((channels, cells), np.int64)
+        any_row, held, waiting = False, [[] for _ in range(channels)], 0
+
+        def add() -> None:
+            for c in range(channels):
+                if held[c]:
+                    table[c] += np.bincount((np.concatenate(held[c]) >> np.uint64(64 - bits)).astype(np.int64), minlength=cells)
+                    held[c].clear()
+
+        for batch in batches:
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            for at in range(0, len(texts), 2000):
+                any_row = True
+                for c, h in enumerate(units(texts[at : at + 2000])):
+                    held[c].append(h)
+                    waiting += len(h)
+                if waiting > cells:
+                    add()
+                    waiting = 0
+        add()
+        if any_row:
+            keys, blobs = [], []
+            for c in range(channels):
+                for s in range(spans):
+                    piece = table[c, s * width : (s + 1) * width]
+                    keys.append(c * spans + s)
+                    blobs.append(zlib.compress(piece.astype("<u4" if piece.max() < 2**32 else "<u8").tobytes(), 1))
+            yield pa.record_batch([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["k", "blob"])
+
+    def total(pieces: pa.Table) -> pa.Table:
+        out = np.zeros(width, np.int64)
+        for blob in pieces["blob"].to_pylist():
+            raw = zlib.decompress(blob)
+            out += np.frombuffer(raw, "<u4" if len(raw) == 4 * width else "<u8")
+        return pa.table({"k": pieces["k"][:1], "blob": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+
+    partial = df.select(column).mapInArrow(part, "k int, blob binary")
+    result = np.zeros((channels, cells), np.int64)
+    for k, blob in partial.groupBy("k").applyInArrow(total, "k int, blob binary").collect():
+        result[k // spans, k % spans * width : (k % spans + 1) * width] = np.frombuffer(zlib.decompress(blob), "<i8")
+    return result
+
+
+def shared(spark: SparkSession, value: object) -> object:
+    """A broadcast of something whose size is fixed; .value on the executors."""
+    return spark.sparkContext.broadcast(value)

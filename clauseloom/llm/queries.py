@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import lookalike
+from clauseloom.llm import lookalike, truncation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,5 +32,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.where(F.col("plain_text") != F.col("text")).select("field", "row_id", "pos")
 
 
-QUERIES = {"p1_found": p1_found}
+# --- problem 6
+
+
+def _cut_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_texts(_table(spark, sf_dir, "numeric_audit_findings"), "finding_id", "clause_text", "source_file")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_findings(spark, sf_dir).where("cut").select("finding_id")
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every source file: its findings, how many are cut, their share."""
+    rates = _cut_findings(spark, sf_dir).groupBy("source_file").agg(F.count("*").alias("findings"), F.count_if("cut").alias("cut"))
+    return rates.withColumn("share", F.col("cut") / F.col("findings"))
+
+
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_rates": p6_rates}
 SQL: dict[str, str] = {}
