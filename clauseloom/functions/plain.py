@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 import unicodedata
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Letters of other scripts that are drawn like a Latin letter.
 LOOKALIKES = {
     # Cyrillic, small
@@ -42,10 +45,15 @@ _FANCY = "\U0001d400-\U0001d7ff\u24b6-\u24e9\u2100-\u2121\u2123-\u2149"  # lette
 _FOREIGN = "\u0370-\u03ff\u0400-\u052f\u0531-\u0587\u0251\u0261\u0131\u0269\u029f"
 
 _ANY = re.compile(f"[{_WIDE}{_LIGATURES}{_MARKS}{_FANCY}{_FOREIGN}{BLANKS}{HYPHENS}{INVISIBLE}]")
-#: Java's pattern for "may hold a character that is not plain", as a first filter in the JVM.
-SUSPECT_JAVA = "[" + "".join(
-    x if x in "-" else f"\\x{{{ord(x):x}}}" for x in f"{_WIDE}{_LIGATURES}{_MARKS}{_FANCY}{_FOREIGN}{BLANKS}{HYPHENS}{INVISIBLE}"
-) + "]"
+#: Java's pattern for a superset of _ANY, few ranges to test a character against: no letter, sign or Indian script that is plain.
+_SUSPECT_JAVA = r"[^\x00-\x9f\xa1-\xac\xae-\x{250}\x{900}-\x{dff}\x{2012}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20ff}\x{2200}-\x{24b5}]"
+
+
+def may_be_disguised(text: str) -> Column:
+    """A first filter in the JVM: the column text holds something beside ASCII, and of that a character that may be a disguise."""
+    return (F.length(text) != F.octet_length(text)) & F.col(text).rlike(_SUSPECT_JAVA)
+
+
 _BLANK = re.compile(f"[{BLANKS}]")
 _HYPHEN = re.compile(f"[{HYPHENS}]")
 _HIDDEN = re.compile(f"(?<![{_INDIC}])[{_JOINERS}]|[{''.join(x for x in INVISIBLE if x not in _JOINERS)}]")
