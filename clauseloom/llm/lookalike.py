@@ -153,7 +153,7 @@ def canonical_texts(texts: DataFrame, keys: list[str], column: str = "text") ->
     are looked up one by one. A word wholly of another script is respelt only if the vocabulary has
     its Latin spelling, or if no word of the text needs that script.
     """
-    mine = texts.select(*keys, column).where(F.col(column).rlike(P.SUSPECT_JAVA))
+    mine = texts.select(*keys, column).where(P.may_be_disguised(column))
     split = F.arrow_udf(lambda s: pa.array([_tokens(t) for t in s.to_pylist()], pa.list_(pa.string())), "array<string>")
     held = mine.select(*keys, F.explode(split(column)).alias("token"))
     known = spellings(held.select("token").distinct(), vocabulary(texts, column))
