@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import lookalike, truncation
+from clauseloom.llm import lookalike, scans, truncation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.where(F.col("plain_text") != F.col("text")).select("field", "row_id", "pos")
 
 
+# --- problem 2
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scans.noise(_table(spark, sf_dir, "numeric_audit_findings"), "finding_id", "clause_text", "policy_id", "source_page")
+    return found.where("broken or stamp or header or fixes is not null").select(F.col("id").alias("finding_id"))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings with noise and their text as it reads without."""
+    fixed = scans.repaired(_table(spark, sf_dir, "numeric_audit_findings"), "finding_id", "clause_text", "policy_id", "source_page")
+    return fixed.select(F.col("id").alias("finding_id"), "repaired")
+
+
 # --- problem 6
 
 
@@ -49,5 +63,5 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumn("share", F.col("cut") / F.col("findings"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_rates": p6_rates}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p6_found": p6_found, "p6_rates": p6_rates}
 SQL: dict[str, str] = {}
