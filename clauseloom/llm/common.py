@@ -44,6 +44,9 @@ def counted(df: DataFrame, column: str, units: Callable[[str], list[str]], word:
     return df.select(column).mapInArrow(part, f"{word} string, {count} long").groupBy(word).agg(F.sum(count).alias(count))
 
 
+#: Size of the bit maps below.
+BITMAP_BITS = 22
+
 LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏ]+")
 
 
@@ -72,7 +75,7 @@ def hashed_counts(df: DataFrame, column: str, units: Callable[[list[str]], list[
     width = cells // spans
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((channels, cells), np.int64)
+        table = np.zeros((channels, cells), np.int32)  # a task has fewer units than that
         any_row, held, waiting = False, [[] for _ in range(channels)], 0
 
         def add() -> None:
@@ -118,3 +121,23 @@ def hashed_counts(df: DataFrame, column: str, units: Callable[[list[str]], list[
 def shared(spark: SparkSession, value: object) -> object:
     """A broadcast of something whose size is fixed; .value on the executors."""
     return spark.sparkContext.broadcast(value)
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """A bit for the hash of every value of column, in a map of fixed size."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = np.zeros(1 << BITMAP_BITS, bool), Hashes()
+        for batch in batches:
+            for w in batch.column(0).to_pylist():
+                bits[seen[w] >> (64 - BITMAP_BITS)] = True
+        yield pa.record_batch([pa.array([0]), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["k", "bits"])
+
+    def either(pieces: pa.Table) -> pa.Table:
+        out = np.zeros(1 << BITMAP_BITS >> 3, np.uint8)
+        for x in pieces["bits"].to_pylist():
+            out |= np.frombuffer(zlib.decompress(x), np.uint8)
+        return pa.table({"k": pieces["k"][:1], "bits": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+
+    got = df.select(column).mapInArrow(part, "k long, bits binary").groupBy("k").applyInArrow(either, "k long, bits binary").collect()
+    return np.unpackbits(np.frombuffer(zlib.decompress(got[0]["bits"]), np.uint8)).astype(bool) if got else np.zeros(1 << BITMAP_BITS, bool)

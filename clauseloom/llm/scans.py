@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clauseloom.functions.plain import plain
-from clauseloom.llm.common import Hashes, counted, shared
+from clauseloom.llm.common import BITMAP_BITS, Hashes, bitmap, counted, shared
 from clauseloom.session import cut_lineage, tasks
 
 #: How many times as frequent a word must be as the one it is misread into.
@@ -33,7 +33,6 @@ MIN_ASSOCIATION = 0.5
 #: The same for words of LONG letters or more, or with digits or signs among the letters: hardly a word by chance.
 MIN_ASSOCIATION_LONG, LONG = -1.0, 6
 CONTEXTS, WINDOW = 512, 2
-BITMAP_BITS = 22
 
 # Glyphs that scanners take for each other, as classes of single signs, then as sequences.
 _GLYPHS = str.maketrans({"1": "l", "i": "l", "|": "l", "!": "l", "0": "o", "5": "s", "$": "s", "e": "c", "f": "t", "b": "h", "8": "h", "6": "h", "u": "h", "q": "g", "9": "g", "@": "a"})
@@ -109,25 +108,6 @@ def links(counts: DataFrame) -> DataFrame:
     return pairs.where(~swapped & (F.length("a.word") >= least) & (F.length("b.word") >= MIN_LETTERS)).select(F.col("a.word").alias("word"), F.col("b.word").alias("fix"), F.col("a.n").alias("n"), F.col("b.n").alias("n_fix"))
 
 
-def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """A bit for the hash of every value of column, in a map of fixed size."""
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.zeros(1 << BITMAP_BITS, bool), Hashes()
-        for batch in batches:
-            for w in batch.column(0).to_pylist():
-                bits[seen[w] >> (64 - BITMAP_BITS)] = True
-        yield pa.record_batch([pa.array([0]), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["k", "bits"])
-
-    def either(pieces: pa.Table) -> pa.Table:
-        out = np.zeros(1 << BITMAP_BITS >> 3, np.uint8)
-        for x in pieces["bits"].to_pylist():
-            out |= np.frombuffer(zlib.decompress(x), np.uint8)
-        return pa.table({"k": pieces["k"][:1], "bits": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
-
-    got = df.select(column).mapInArrow(part, "k long, bits binary").groupBy("k").applyInArrow(either, "k long, bits binary").collect()
-    return np.unpackbits(np.frombuffer(zlib.decompress(got[0]["bits"]), np.uint8)).astype(bool) if got else np.zeros(1 << BITMAP_BITS, bool)
-
-
 def _context_ids(hashes: np.ndarray, offset: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return ((hashes + np.uint64(offset + 8)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 9)).astype(np.int64)
@@ -214,15 +194,27 @@ def marginals(counts: DataFrame) -> np.ndarray:
 
 
 def misreadings(df: DataFrame, column: str) -> tuple[DataFrame, np.ndarray]:
-    """(word, fix) of the words that are misread in the texts, and the vector of a number among words."""
+    """(word, fix) of the words that are misread in the texts, and a bit for each word that often stands before ("<" and the
+    word) or after (">") a number."""
     known = Words()
-    counts = cut_lineage(counted(df, column, lambda t: words_of(t, known)))
+
+    def units(text: str) -> list[str]:
+        """The words, and for each number the words before and after it, marked as such."""
+        words = words_of(text, known)
+        for i, w in enumerate(words):
+            if w == "0":
+                out = [x for j, v in enumerate(words) if v == "0" for x in ("<" + words[j - 1] if j else "<", ">" + words[j + 1] if j + 1 < len(words) else ">")]
+                return words + out
+        return words
+
+    everything = cut_lineage(counted(df, column, units))
+    counts = everything.where("word not rlike '^[<>]'")
+    beside = everything.where("word rlike '^[<>]'").select(F.col("word").alias("side"), F.expr("substring(word, 2)").alias("word"), F.col("n").alias("k"))
+    number = bitmap(beside.join(counts, "word").where(F.col("k") >= NUMERIC * F.col("n")).select("side"), "side")
     pairs = cut_lineage(links(counts))
-    wanted = bitmap(pairs.select(F.explode(F.array("word", "fix")).alias("w")).unionAll(df.sparkSession.createDataFrame([("0",)], "w string")), "w")
+    wanted = bitmap(pairs.select(F.explode(F.array("word", "fix")).alias("w")), "w")
     vectors = cut_lineage(neighbours(df, column, wanted))
     marginal = marginals(counts)
-    number = vectors.where("word = '0'").collect()
-    number = association(_unpacked(number[0]["counts"]), marginal) if number else np.zeros(CONTEXTS)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,22 +247,15 @@ def header_shaped(line: str) -> bool:
     return 2 <= len(parts) <= 16 and line[-1:] not in ".;,:" and sum(bool(_SHAPE.fullmatch(p)) for p in parts) >= 0.75 * len(parts) and sum(p[:1].isupper() for p in parts) >= 2
 
 
-def learned_headers(df: DataFrame, id: str, text: str, policy: str) -> DataFrame:
+def header_lines(text: str) -> list[tuple[str, str]]:
+    """The lines of a text that look like a header, and what is beside each."""
+    rows = [r.strip() for r in text.split("\n")] if "\n" in text else []
+    return [(re.sub(r"\s*(?:[|–-]\s*)?\d{1,4}$", "", line), before[-20:] + "\n" + after[:20]) for before, line, after in zip([""] + rows, rows, rows[1:] + [""]) if header_shaped(line)]
+
+
+def learned_headers(found: DataFrame) -> DataFrame:
     """(policy, headers): lines of one policy alone that look like a header and stand in two findings or more, between different lines."""
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if p is None or not t or "\n" not in t:
-                    continue
-                rows = [r.strip() for r in plain(t).split("\n")]
-                for before, line, after in zip([""] + rows, rows, rows[1:] + [""]):
-                    if header_shaped(line):
-                        out.append((p, re.sub(r"\s*(?:[|–-]\s*)?\d{1,4}$", "", line), before[-20:] + "\n" + after[:20]))
-            a, b, c = zip(*out) if out else ((), (), ())
-            yield pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.string())], ["policy", "line", "beside"])
-
-    seen = df.select(policy, text).mapInArrow(lines, "policy string, line string, beside string")
+    seen = found.where("policy is not null").select("policy", F.explode("lines").alias("x")).select("policy", "x.line", "x.beside")
     kept = seen.groupBy("policy", "line").agg(F.approx_count_distinct("beside").alias("n"))
     own = kept.groupBy("line").agg(F.count("*").alias("policies"), F.max("n").alias("n"), F.max("policy").alias("policy"))
     return own.where("policies = 1 and n >= 2").groupBy("policy").agg(F.collect_set("line").alias("headers"))  # the forms of one policy's header
@@ -307,14 +292,17 @@ def stamps(text: str, page: int | None, number: np.ndarray, seen: Hashes) -> lis
         if abs(int(m.group(1)) - page) > 1:
             continue
         before = _BEFORE.search(text, max(0, m.start() - 40), m.start(1))
-        h = np.array([seen[before.group(1).lower() if before else ""], seen[m.group(2).lower()]], np.uint64)
-        if number[_context_ids(h[:1], -1)[0]] < NUMERIC and number[_context_ids(h[1:], 1)[0]] < NUMERIC:
+        sides = "<" + (before.group(1).lower() if before else ""), ">" + m.group(2).lower()
+        if not any(number[seen[x] >> (64 - BITMAP_BITS)] for x in sides):
             out.append(m.span(1))
     return sorted(out)
 
 
-#: Association of a word with a number beside it from which the number belongs to the wording.
-NUMERIC = 0.7
+#: Share of a word's occurrences that must have a number beside them for the number to belong to the wording.
+NUMERIC = 0.03
+
+
+LINES = pa.list_(pa.struct([("line", pa.string()), ("beside", pa.string())]))
 
 
 def noise(df: DataFrame, id: str, text: str, policy: str, page: str) -> DataFrame:
@@ -323,16 +311,16 @@ def noise(df: DataFrame, id: str, text: str, policy: str, page: str) -> DataFram
     spark = df.sparkSession
     rows = df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(policy).alias("policy"), F.col(page).alias("page"))
     linked, number = misreadings(rows, "text")
-    bits = shared(spark, np.packbits(bitmap(linked, "word")))
+    bits, beside = shared(spark, np.packbits(bitmap(linked, "word"))), shared(spark, np.packbits(number))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, seen, known = np.unpackbits(bits.value).astype(bool), Hashes(), Words()
+        mask, number, seen, known = np.unpackbits(bits.value).astype(bool), np.unpackbits(beside.value).astype(bool), Hashes(), Words()
         odd: dict[str, bool] = {}
         for batch in batches:
             out = []
             for t, page in zip(*(batch.column(c).to_pylist() for c in ("text", "page"))):
                 if not t:
-                    out.append((False, False, False, [], []))
+                    out.append((False, False, False, [], [], []))
                     continue
                 p = healed(t)
                 suspects = []
@@ -346,15 +334,15 @@ def noise(df: DataFrame, id: str, text: str, policy: str, page: str) -> DataFram
                         suspects += [w for w in known[c] if mask[seen[w] >> (64 - BITMAP_BITS)]]
                 header = CUES.search(p) is not None
                 pieces = [] if header or p.isupper() else list({m.group() for m in _PIECE.finditer(p) if m.end() - m.start() >= CLIPPED})
-                out.append((BROKEN.search(t) is not None, bool(stamps(p, page, number, seen)), header, list(dict.fromkeys(suspects)), pieces))
-            a, b, c, d, e = zip(*out)
+                out.append((BROKEN.search(t) is not None, bool(stamps(p, page, number, seen)), header, list(dict.fromkeys(suspects)), pieces, [{"line": a, "beside": b} for a, b in header_lines(p)]))
+            a, b, c, d, e, f = zip(*out)
             flags = [pa.array(x, pa.bool_()) for x in (a, b, c)]
-            yield pa.record_batch([batch.column(0), batch.column(3), *flags, pa.array(d, pa.list_(pa.string())), pa.array(e, pa.list_(pa.string()))], names)
+            yield pa.record_batch([batch.column(0), batch.column(3), *flags, pa.array(d, pa.list_(pa.string())), pa.array(e, pa.list_(pa.string())), pa.array(f, LINES)], names)
 
-    names = ["id", "policy", "broken", "stamp", "header", "suspects", "pieces"]
-    found = cut_lineage(rows.select("id", "text", "page", "policy").where("text is not null").mapInArrow(look, "id long, policy string, broken boolean, stamp boolean, header boolean, suspects array<string>, pieces array<string>"))
+    names = ["id", "policy", "broken", "stamp", "header", "suspects", "pieces", "lines"]
+    found = cut_lineage(rows.select("id", "text", "page", "policy").where("text is not null").mapInArrow(look, "id long, policy string, broken boolean, stamp boolean, header boolean, suspects array<string>, pieces array<string>, lines array<struct<line: string, beside: string>>"))
     fixes = found.select("id", F.explode("suspects").alias("word")).join(linked, "word").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "fix"))).alias("fixes"))
-    heads = learned_headers(rows, "id", "text", "policy")
+    heads = learned_headers(found)
     match = F.arrow_udf(lambda p, h: pa.array([next((x for x in hs if clipped_header(t, [x])), None) for t, hs in zip(p.to_pylist(), h.to_pylist())], pa.string()), "string")
     clipped = found.select("id", "policy", F.explode("pieces").alias("piece")).join(heads, "policy").select("id", match("piece", "headers").alias("clipped")).where("clipped is not null")
     clipped = clipped.groupBy("id").agg(F.collect_set("clipped").alias("clipped"))

@@ -15,19 +15,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clauseloom.functions.plain import INVISIBLE, plain
-from clauseloom.llm.common import hashed_counts, mixed, shared
+from clauseloom.llm.common import BITMAP_BITS, Hashes, bitmap, hashed_counts, mixed, shared
 from clauseloom.session import cut_lineage
 
-BITS = 22
+BITS = 21
 #: Sentences must end after the last words in at least this share of their occurrences for the text to be whole.
 END_SHARE = 0.02
 #: Shortest prefix, in letters and digits, for which a longer copy is looked for.
-MIN_PREFIX = 24
+MIN_PREFIX = 48
+#: Characters of a text that are read to judge its end.
+TAIL = 400
 #: A line of at most so many words, at the end of a text, is a heading or a table row, not a sentence.
 ROW_WORDS = 6
 #: Rows of a source that must stop within SLACK characters of its greatest length for this to be a limit.
@@ -103,42 +105,63 @@ def _channels() -> Callable[[list[str]], list[np.ndarray]]:
 
 
 def end_counts(df: DataFrame, column: str) -> np.ndarray:
-    """How often one, two and three words occur before another token, and before an end, over all texts."""
-    return np.minimum(hashed_counts(df, column, _channels(), 6, BITS), 2**31 - 1).astype(np.int32)
+    """How often one, two and three units occur before another one and before an end, over all texts: one byte a cell,
+    an eighth of a power of two a step, so that the table an executor gets has 6 * 2**BITS bytes."""
+    return np.rint(8 * np.log2(1.0 + hashed_counts(df, column, _channels(), 6, BITS))).astype(np.uint8)
+
+
+_COUNT = 2.0 ** (np.arange(256) / 8) - 1
 
 
 def tail_of(text: str) -> tuple[str, bool]:
     """The text without what is invisible or a cut's mark at its end, and whether there was such a mark."""
     text = plain(text).rstrip().rstrip(INVISIBLE).rstrip()
-    bare = MARKS.sub("", text)
-    return bare, bare != text
-
-
-def verdict(text: str, counts: np.ndarray, chunks: Chunks) -> str:
-    """'whole', 'marked', 'word' (half a word), 'sentence' (mid-sentence), by the text and the corpus alone."""
-    bare, marked = tail_of(text)
-    if not bare:
-        return "whole"
-    if marked and not _END.search(bare):
-        return "marked"
-    if _END.search(bare) or _ADDRESS.search(bare) or bare[-1] in ")]”\"%" or bare.endswith("/-"):
-        return "whole"
-    if bare[-1] in ",;:-–—(“[/&+":
-        return "sentence"
-    h = chunks.units([bare[-400:]])[0]
+    end = MARKS.sub("", text[-MARK_CHARS:])
+    return text[:-MARK_CHARS] + end, end != text[-MARK_CHARS:]
+
+
+MARK_CHARS = 24
+
+
+def verdicts(tails: list[str], counts: np.ndarray, chunks: Chunks) -> list[str]:
+    """Of each text's last characters: 'whole', 'marked', 'word' (half a word) or 'sentence' (mid-sentence), by the text
+    and the corpus alone."""
+    out, asked = [], []
+    for text in tails:
+        bare, marked = tail_of(text)
+        if not bare:
+            out.append("whole")
+        elif marked and not _END.search(bare[-8:]):
+            out.append("marked")
+        elif _END.search(bare[-8:]) or bare[-1] in ")]”\"%" or bare.endswith("/-") or _ADDRESS.search(bare[-100:]):
+            out.append("whole")
+        elif bare[-1] in ",;:-–—(“[/&+":
+            out.append("sentence")
+        else:
+            asked.append((len(out), bare))
+            out.append("")
+    if not asked:
+        return out
+    h, _, last = chunks.units([bare[-TAIL:] for _, bare in asked])
+    at = np.flatnonzero(last)
+    length = np.diff(at, prepend=-1) - 1
     shift = np.uint64(64 - BITS)
-    (t1, e1), (t2, e2), (t3, e3) = ((int(counts[2 * i, g[-2] >> shift]), int(counts[2 * i + 1, g[-2] >> shift])) for i, g in enumerate(_grams(h)))
-    t2, e2 = min(t1, t2), min(e1, e2)  # cells are shared: a longer run is never more frequent than a shorter one
-    t3, e3 = min(t2, t3), min(e2, e3)
-    if t1 < 2:
-        return "word"
-    line = bare[bare.rfind("\n") + 1 :]
-    if len(line.split()) <= ROW_WORDS and t2 >= 2:
-        return "whole"  # a heading or a row
-    if t2 < 2:
-        return "whole" if 2 * e1 >= t1 and len(h) > 3 else "sentence"
-    total, ends = (t3, e3) if t3 >= 5 else (t2, e2)
-    return "whole" if ends and ends >= END_SHARE * total else "sentence"
+    seen = [(_COUNT[counts[2 * i, g[at] >> shift]], _COUNT[counts[2 * i + 1, g[at] >> shift]]) for i, g in enumerate(_grams(h))]
+    (t1, e1), (t2, e2), (t3, e3) = seen
+    t2, e2 = np.minimum(t1, t2), np.minimum(e1, e2)  # cells are shared: a longer run is never more frequent than a shorter one
+    t3, e3 = np.minimum(t2, t3), np.minimum(e2, e3)
+    for i, (k, bare) in enumerate(asked):
+        line = bare[bare.rfind("\n") + 1 :]
+        if t1[i] < 1.9:
+            out[k] = "word"
+        elif t2[i] >= 1.9 and len(line) < 80 and len(line.split()) <= ROW_WORDS:
+            out[k] = "whole"  # a heading or a row
+        elif t2[i] < 1.9:
+            out[k] = "whole" if 2 * e1[i] >= t1[i] and length[i] > 2 else "sentence"
+        else:
+            total, ends = (t3[i], e3[i]) if t3[i] >= 5 else (t2[i], e2[i])
+            out[k] = "whole" if ends and ends >= END_SHARE * total else "sentence"
+    return out
 
 
 def _norm(text: str) -> Column:
@@ -152,9 +175,21 @@ def longer_copies(texts: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     Texts are compared by their letters, digits and full stops. Only texts that share their first
     MIN_PREFIX characters with a wanted one are sorted; equal texts count once, so no key is hot.
     """
-    norm = texts.select(_norm(text).alias("norm")).withColumn("head", F.xxhash64(F.substring("norm", 1, MIN_PREFIX)))
-    near = norm.join(wanted.select("head").distinct(), "head", "left_semi").select("norm").distinct().withColumn("key", F.xxhash64("norm"))
-    near = near.join(wanted.select("key", F.lit(True).alias("wanted")).distinct(), "key", "left").select("norm", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    spark = texts.sparkSession
+    heads, keys = (shared(spark, np.packbits(bitmap(wanted.select(F.col(c).cast("string").alias(c)), c))) for c in ("head", "key"))
+
+    def held_by(bits: object) -> object:
+        """Whether a hash may be one of those in the map; a wrong yes only adds a row that joins nothing."""
+        @F.arrow_udf("boolean")
+        def test(values: pa.Array) -> pa.Array:
+            mask, seen = np.unpackbits(bits.value).astype(bool), Hashes()
+            return pa.array([bool(mask[seen[v] >> (64 - BITMAP_BITS)]) for v in values.to_pylist()], pa.bool_())
+
+        return test
+
+    norm = texts.select(_norm(text).alias("norm")).withColumn("head", F.xxhash64(F.substring("norm", 1, MIN_PREFIX)).cast("string"))
+    near = norm.where(held_by(heads)("head")).select("norm").distinct()
+    near = near.withColumn("key", F.xxhash64("norm").cast("string")).select("norm", held_by(keys)("key").alias("wanted"))
     ordered = near.repartitionByRange(F.col("norm")).sortWithinPartitions("norm").withColumn("p", F.spark_partition_id())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,10 +213,10 @@ def longer_copies(texts: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
     scanned = cut_lineage(ordered.mapInArrow(scan, "p int, what string, value string, goes_on string"))
     found = scanned.where("what = 'found'").select(F.xxhash64("value").alias("key"), "goes_on")
-    pending = scanned.where("what = 'pending'").alias("a")
-    head = scanned.where("what = 'head'").alias("b")  # one row a partition; the next partition may be empty, then the one after counts
-    across = pending.join(head, (F.col("b.p") > F.col("a.p")) & F.expr("startswith(b.value, a.value)") & (F.col("b.p") <= F.col("a.p") + 1))
-    across = across.select(F.xxhash64("a.value").alias("key"), F.expr("substring(b.value, length(a.value) + 1, 8)").alias("goes_on"))
+    pending = scanned.where("what = 'pending'").select("p", F.col("value").alias("short"))  # one row a partition at most
+    head = scanned.where("what = 'head'").select(F.lag("p").over(Window.orderBy("p")).alias("p"), F.col("value").alias("long"))
+    across = pending.join(head, "p").where(F.expr("startswith(long, short)"))
+    across = across.select(F.xxhash64("short").alias("key"), F.expr("substring(long, length(short) + 1, 8)").alias("goes_on"))
     return found.unionAll(across)
 
 
@@ -200,8 +235,9 @@ def cut_texts(df: DataFrame, id: str, text: str, source: str) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             size = [len(t) if t else 0 for t in texts]
-            open_end = [bool(t) and not _END.search(t[-8:]) and not _END.search(tail_of(t[-400:])[0]) for t in texts]
-            out = [verdict(t[-400:] if len(t) > 400 else t, table, chunks) if o else "whole" for t, o in zip(texts, open_end)]
+            tails = [t[-TAIL:] if t and not _END.search(t[-8:]) else "" for t in texts]
+            open_end = [bool(t) and not _END.search(tail_of(t)[0][-8:]) for t in tails]
+            out = verdicts([t if o else "" for t, o in zip(tails, open_end)], table, chunks)
             yield pa.record_batch([*batch.columns, pa.array(out, pa.string()), pa.array(size, pa.int32()), pa.array(open_end, pa.bool_())], [*batch.schema.names, "verdict", "size", "open_end"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("verdict", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("open_end", T.BooleanType())])
