@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import lookalike, scans, truncation
+from clauseloom.llm import lookalike, nearcopies, scans, truncation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,19 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select(F.col("id").alias("finding_id"), "repaired")
 
 
+# --- problem 4
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = nearcopies.alike_pairs(_table(spark, sf_dir, "numeric_audit_findings"), "finding_id", "clause_text", t=0.5, size=3, least=20)
+    return pairs.select(F.col("id_a").alias("finding_id_a"), F.col("id_b").alias("finding_id_b"))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of at least 20 words with the class of their clause: five-word sequences, a share of 0.8."""
+    return nearcopies.classes(_table(spark, sf_dir, "numeric_audit_findings"), "finding_id", "clause_text", least=20)
+
+
 # --- problem 6
 
 
@@ -63,5 +76,5 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumn("share", F.col("cut") / F.col("findings"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p6_found": p6_found, "p6_rates": p6_rates}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p6_rates": p6_rates}
 SQL: dict[str, str] = {}
