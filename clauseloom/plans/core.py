@@ -1,4 +1,48 @@
 """Queries of the core: name -> callable(spark, sf_dir), and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clauseloom.operators import units
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers a query together with the SQL that says the same."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+# --- problem 5
+
+
+def _in_common_units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    schema = table(spark, sf_dir, "clauses_schema")
+    return units.common_units(table(spark, sf_dir, "numeric_audit_findings"), "finding_id", "clause_text", "fields", schema, "name")
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_common_units(spark, sf_dir)[0].withColumnRenamed("id", "finding_id")
+
+
+@query("p5_units")
+def p5_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unit each schema column was solved to, its mean log residual, and whether the solution is unique."""
+    return _in_common_units(spark, sf_dir)[1]
