@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clauseloom.functions.glyphs import broken, glyph_skeleton, unbroken
 from clauseloom.functions.plain import plain
 from clauseloom.llm.common import BITMAP_BITS, Hashes, bitmap, counted, shared
 from clauseloom.session import cut_lineage, tasks
@@ -34,13 +35,6 @@ MIN_ASSOCIATION = 0.5
 MIN_ASSOCIATION_LONG, LONG = -1.0, 6
 CONTEXTS, WINDOW = 512, 2
 
-# Glyphs that scanners take for each other, as classes of single signs, then as sequences.
-_GLYPHS = str.maketrans({"1": "l", "i": "l", "|": "l", "!": "l", "0": "o", "5": "s", "$": "s", "e": "c", "f": "t", "b": "h", "8": "h", "6": "h", "u": "h", "q": "g", "9": "g", "@": "a"})
-_SEQUENCES = re.compile("rn|vv|cl|ll")
-_AS_ONE = {"rn": "m", "vv": "w", "cl": "d", "ll": "h"}
-
-#: A word broken over lines: a letter, a hyphen-like mark, a line break, a letter.
-BROKEN = re.compile("([^\\W\\d_])[ \\t]?[-\u00ac\u00ad\u2010\u2011]\\s*\\n\\s*([^\\W\\d_])")
 # Forms of page stamps. "page 12 of the Policy Schedule" is none.
 STAMP = re.compile(
     r"(?:(?<=\n)|(?<=\s))(?:Page\s+\d{1,4}\s+of\s+\d{1,4}|Pg\.\s*\d{1,4}|\d{1,4}\s*\|\s*P\s*a\s*g\s*e)(?=\s)(?!\s+of\s+the)"
@@ -62,11 +56,6 @@ _WORD = re.compile(r"[A-Za-z@$|!0-9]*[A-Za-zÀ-ɏ@$][A-Za-zÀ-ɏ0-9@$]*|\d[\d.,]
 _PLAIN_WORD = re.compile("[a-zà-ɏ]+$")
 
 
-def glyph_skeleton(word: str) -> str:
-    """The same for a word and for what a scanner makes of it."""
-    return _SEQUENCES.sub(lambda m: _AS_ONE[m.group()], word.translate(_GLYPHS))
-
-
 class Words(dict):
     """What lies between blanks -> the words in it: small letters, numbers as 0, without punctuation."""
 
@@ -80,9 +69,7 @@ class Words(dict):
 
 def healed(text: str) -> str:
     """Plain form with broken words in one piece."""
-    if "\n" in text:
-        text = BROKEN.sub(r"\1\2", text)
-    return plain(text)
+    return plain(unbroken(text))
 
 
 def words_of(text: str, known: Words) -> list[str]:
@@ -334,7 +321,7 @@ def noise(df: DataFrame, id: str, text: str, policy: str, page: str) -> DataFram
                         suspects += [w for w in known[c] if mask[seen[w] >> (64 - BITMAP_BITS)]]
                 header = CUES.search(p) is not None
                 pieces = [] if header or p.isupper() else list({m.group() for m in _PIECE.finditer(p) if m.end() - m.start() >= CLIPPED})
-                out.append((BROKEN.search(t) is not None, bool(stamps(p, page, number, seen)), header, list(dict.fromkeys(suspects)), pieces, [{"line": a, "beside": b} for a, b in header_lines(p)]))
+                out.append((broken(t), bool(stamps(p, page, number, seen)), header, list(dict.fromkeys(suspects)), pieces, [{"line": a, "beside": b} for a, b in header_lines(p)]))
             a, b, c, d, e, f = zip(*out)
             flags = [pa.array(x, pa.bool_()) for x in (a, b, c)]
             yield pa.record_batch([batch.column(0), batch.column(3), *flags, pa.array(d, pa.list_(pa.string())), pa.array(e, pa.list_(pa.string())), pa.array(f, LINES)], names)
