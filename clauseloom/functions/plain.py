@@ -104,4 +104,4 @@ def plain(text: str | None) -> str | None:
             return all_lookalike(w) or w
         return w
 
-    return WORD.sub(word, text)
+    return " ".join([c if c.isascii() else WORD.sub(word, c) for c in text.split(" ")])
