@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from clauseloom.functions.glyphs import broken, glyph_skeleton, unbroken
 from clauseloom.functions.plain import plain
-from clauseloom.llm.common import BITMAP_BITS, Hashes, bitmap, counted, shared
+from clauseloom.llm.common import BITMAP_BITS, PARTIAL_ENTRIES, Hashes, bitmap, shared
 from clauseloom.session import cut_lineage, tasks
 
 #: How many times as frequent a word must be as the one it is misread into.
@@ -33,37 +34,77 @@ MIN_LETTERS, MIN_MIXED = 3, 4
 MIN_ASSOCIATION = 0.5
 #: The same for words of LONG letters or more, or with digits or signs among the letters: hardly a word by chance.
 MIN_ASSOCIATION_LONG, LONG = -1.0, 6
-CONTEXTS, WINDOW = 512, 2
+CONTEXTS = 512
+OFFSETS = (-1, 1)
 
 # Forms of page stamps. "page 12 of the Policy Schedule" is none.
-STAMP = re.compile(
-    r"(?:(?<=\n)|(?<=\s))(?:Page\s+\d{1,4}\s+of\s+\d{1,4}|Pg\.\s*\d{1,4}|\d{1,4}\s*\|\s*P\s*a\s*g\s*e)(?=\s)(?!\s+of\s+the)"
-    r"|(?<=\n)[ \t]*-\s*\d{1,4}\s*-[ \t]*(?=\n)"
-    r"|(?<=\n)[ \t\f]*\d{1,4}[ \t]*(?=\n)|\f\s*\d{1,4}(?=\s)"
-    r"|(?<=\s)\d{1,4} / \d{1,4}(?=\s)",
-    re.I,
-)
+_STAMPS = [
+    (("age ", "AGE "), re.compile(r"\b[Pp](?:age|AGE)\s+\d{1,4}\s+(?:of|OF)\s+\d{1,4}(?=\s)")),
+    (("g. ", "G. ", "g.", "G."), re.compile(r"\bP[gG]\.\s*\d{1,4}(?=\s)")),
+    (("a g e", "A G E"), re.compile(r"\d{1,4}\s*\|\s*[Pp]\s*(?:a\s*g\s*e|A\s*G\s*E)\b")),
+    ((" / ",), re.compile(r"(?<=\s)\d{1,4} / \d{1,4}(?=\s)")),
+    (("\f",), re.compile(r"\f\s*\d{1,4}(?=\s)")),
+    (("\n",), re.compile(r"\n[ \t\f]*(?:-[ \t]*\d{1,4}[ \t]*-|\d{1,4})[ \t]*(?=\n)")),
+]
 # Signs of a running header.
 CUES = re.compile(
     r"\|\s*(?:policy wordings?|customer information|cin\b)|policy wordings?\s+uin\b|\buin:?\s*[A-Z]{2}\w*\d|\bcin:?\s*[A-Z]{2}\d\w*"
     r"|\b(?:co\.?|company)\s+(?:ltd\.?|limited)\.?\s+policy wordings?\b|\bpol/\w+/v\.?\s?\d|\bprospectus cum wording\b",
     re.I,
 )
+_CUE_WORDS = ("wording", "customer information", "cin ", "cin:", "uin ", "uin:", "pol/")
+
+
+def cued(text: str) -> bool:
+    """Whether text holds a sign of a running header."""
+    low = text.lower()
+    return any(w in low for w in _CUE_WORDS) and CUES.search(text) is not None
+
+
 _HEADER = re.compile(r"(?:\S+[ \t]+){0,6}\S*(?:" + CUES.pattern + r")\S*(?:[ \t]*(?:[|–-])[ \t]*(?:\d{1,4}\b|CIN \S+|customer information|\S+))*", re.I)
-_BARE = re.compile(r"(?<=[^\W\d_])[,;]?\s+(\d{1,4})\s+(?=([^\W\d_]+))")
-_BEFORE = re.compile(r"([^\W\d_]+)[,;]?\s*$")
+_NUMBER = re.compile(r"\d{1,4}")
+_BEFORE = re.compile(r"([^\W\d_]+)[,;]?\s+$")
+_AFTER = re.compile(r"\s+([^\W\d_]+)")
 _WORD = re.compile(r"[A-Za-z@$|!0-9]*[A-Za-zÀ-ɏ@$][A-Za-zÀ-ɏ0-9@$]*|\d[\d.,]*")
 _PLAIN_WORD = re.compile("[a-zà-ɏ]+$")
 
 
-class Words(dict):
+def split_chunk(chunk: str) -> list[str]:
     """What lies between blanks -> the words in it: small letters, numbers as 0, without punctuation."""
+    return ["0" if w[0].isdigit() and not any(c.isalpha() for c in w) else w for w in _WORD.findall(chunk.lower())]
+
+
+class Words(dict):
+    """chunk -> its words."""
 
     def __missing__(self, chunk: str) -> tuple[str, ...]:
         if len(self) > 400_000:
             self.clear()
-        out = tuple("0" if not any(c.isalpha() for c in w) and w[0].isdigit() else w for w in _WORD.findall(chunk.lower()))
-        self[chunk] = out
+        out = self[chunk] = tuple(split_chunk(chunk))
+        return out
+
+
+class Ids(dict):
+    """chunk -> numbers of its words; hashes has a word's hash, words the word, by number."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.number: dict[str, int] = {}
+        self.words: list[str] = []
+        self.hashes: list[int] = []
+        self.seen = Hashes()
+        self.of("\n")
+
+    def of(self, word: str) -> int:
+        n = self.number.get(word)
+        if n is None:
+            n = self.number[word] = len(self.words)
+            self.words.append(word)
+            self.hashes.append(self.seen[word])
+        return n
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        out = self[chunk] = tuple(self.of(w) for w in split_chunk(chunk))
         return out
 
 
@@ -72,8 +113,43 @@ def healed(text: str) -> str:
     return plain(unbroken(text))
 
 
-def words_of(text: str, known: Words) -> list[str]:
-    return [w for c in healed(text).split() for w in known[c]]
+def word_counts(df: DataFrame, column: str) -> DataFrame:
+    """(word, n): occurrences of every word in all texts, and of "<" and a word before a number, ">" and one after.
+    What lies between blanks is counted where the rows are, then split into words, then summed by one shuffle."""
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, beside = Counter(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            words: Counter = Counter()
+            for chunk, n in seen.items():
+                for w in split_chunk(chunk):
+                    words[w] += n
+            for (a, b), n in beside.items():
+                a, b = split_chunk(a), split_chunk(b)
+                if b and b[0] == "0":
+                    words["<" + (a[-1] if a else "")] += n
+                if a and a[-1] == "0":
+                    words[">" + (b[0] if b else "")] += n
+            seen.clear(), beside.clear()
+            return pa.record_batch([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    chunks = healed(text).split()
+                    seen.update(chunks)
+                    numeric = [i for i, c in enumerate(chunks) if c[0] in "0123456789₹(" or c[-1].isdigit()]
+                    for i in numeric:
+                        if i:
+                            beside[chunks[i - 1], chunks[i]] += 1
+                        if i + 1 < len(chunks):
+                            beside[chunks[i], chunks[i + 1]] += 1
+            if len(seen) + len(beside) > PARTIAL_ENTRIES:
+                yield flush()
+        if seen:
+            yield flush()
+
+    return df.select(column).mapInArrow(part, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def links(counts: DataFrame) -> DataFrame:
@@ -102,44 +178,52 @@ def _context_ids(hashes: np.ndarray, offset: int) -> np.ndarray:
 
 def neighbours(df: DataFrame, column: str, wanted: np.ndarray) -> DataFrame:
     """(word, counts): for every word with its bit set in wanted, how often each class of neighbour stands at each of the
-    WINDOW places before and after it; all occurrences in all texts. Sums are made per task, then by a hash of the word."""
+    places before and after it; all occurrences in all texts. Sums are made per task, then by a hash of the word."""
     spark = df.sparkSession
     bits, shards = shared(spark, np.packbits(wanted)), 4 * tasks(spark)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, seen, known = np.unpackbits(bits.value).astype(bool), Hashes(), Words()
-        index: dict[str, int] = {}
+        mask, known = np.unpackbits(bits.value).astype(bool), Ids()
+        row_of, names = np.full(1024, -1), []
         table = np.zeros((1024, CONTEXTS), np.int32)
+        checked = 0
 
         def flush() -> pa.RecordBatch:
-            names = list(index)
+            nonlocal row_of, checked
             blobs = [zlib.compress(table[i].tobytes(), 1) for i in range(len(names))]
-            keys = [seen[w] % shards for w in names]
-            index.clear()
-            table[:] = 0
-            return pa.record_batch([pa.array(keys, pa.int32()), pa.array(names, pa.string()), pa.array(blobs, pa.binary())], ["shard", "word", "counts"])
+            out = pa.record_batch([pa.array([known.seen[w] % shards for w in names], pa.int32()), pa.array(names, pa.string()), pa.array(blobs, pa.binary())], ["shard", "word", "counts"])
+            known.clear(), known.number.clear(), known.words.clear(), known.hashes.clear(), names.clear()
+            known.of("\n")
+            row_of[:], table[:], checked = -1, 0, 0
+            return out
 
         for batch in batches:
             texts = [t for t in batch.column(0).to_pylist() if t]
             for at in range(0, len(texts), 1000):
-                flat: list[str] = []
+                flat: list[int] = []
                 for text in texts[at : at + 1000]:
-                    flat += words_of(text, known)
-                    flat += ["\n", "\n"]
-                h = np.array([seen[w] for w in flat], np.uint64)
-                places = np.flatnonzero(mask[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)])
-                rows = np.empty(len(places), np.int64)
-                for j, p in enumerate(places):
-                    rows[j] = index.setdefault(flat[p], len(index))
-                while len(index) > len(table):
+                    for c in healed(text).split():
+                        flat += known[c]
+                    flat.append(0)
+                for i in range(checked, len(known.words)):
+                    if i >= len(row_of):
+                        row_of = np.concatenate([row_of, np.full(len(row_of), -1)])
+                    if mask[known.hashes[i] >> (64 - BITMAP_BITS)]:
+                        row_of[i] = len(names)
+                        names.append(known.words[i])
+                checked = len(known.words)
+                while len(names) > len(table):
                     table = np.vstack([table, np.zeros_like(table)])
-                for offset in (-2, -1, 1, 2):
-                    context = _context_ids(np.roll(h, -offset), offset)[places]
-                    cells, n = np.unique(rows * CONTEXTS + context, return_counts=True)
-                    table.reshape(-1)[cells] += n.astype(np.int32)
-                if len(index) > 30_000:
+                ids = np.array(flat, np.int64)
+                rows = row_of[ids]
+                places = np.flatnonzero(rows >= 0)
+                h, cells = np.array(known.hashes, np.uint64), table.reshape(-1)
+                for offset in OFFSETS:
+                    context = _context_ids(h, offset)[np.roll(ids, -offset)[places]]
+                    np.add.at(cells, rows[places] * CONTEXTS + context, 1)
+                if len(names) > 30_000 or len(known) > 400_000:
                     yield flush()
-        if index:
+        if names:
             yield flush()
 
     def total(pieces: pa.Table) -> pa.Table:
@@ -169,7 +253,7 @@ def marginals(counts: DataFrame) -> np.ndarray:
         out, seen = np.zeros(CONTEXTS), Hashes()
         for batch in batches:
             h = np.array([seen[w] for w in batch.column(0).to_pylist()], np.uint64)
-            for offset in (-2, -1, 1, 2):
+            for offset in OFFSETS:
                 out += np.bincount(_context_ids(h, offset), batch.column(1).to_numpy(), CONTEXTS)
         yield pa.record_batch([pa.array(range(CONTEXTS), pa.int32()), pa.array(out)], ["k", "n"])
 
@@ -183,18 +267,7 @@ def marginals(counts: DataFrame) -> np.ndarray:
 def misreadings(df: DataFrame, column: str) -> tuple[DataFrame, np.ndarray]:
     """(word, fix) of the words that are misread in the texts, and a bit for each word that often stands before ("<" and the
     word) or after (">") a number."""
-    known = Words()
-
-    def units(text: str) -> list[str]:
-        """The words, and for each number the words before and after it, marked as such."""
-        words = words_of(text, known)
-        for i, w in enumerate(words):
-            if w == "0":
-                out = [x for j, v in enumerate(words) if v == "0" for x in ("<" + words[j - 1] if j else "<", ">" + words[j + 1] if j + 1 < len(words) else ">")]
-                return words + out
-        return words
-
-    everything = cut_lineage(counted(df, column, units))
+    everything = cut_lineage(word_counts(df, column))
     counts = everything.where("word not rlike '^[<>]'")
     beside = everything.where("word rlike '^[<>]'").select(F.col("word").alias("side"), F.expr("substring(word, 2)").alias("word"), F.col("n").alias("k"))
     number = bitmap(beside.join(counts, "word").where(F.col("k") >= NUMERIC * F.col("n")).select("side"), "side")
@@ -220,18 +293,18 @@ def misreadings(df: DataFrame, column: str) -> tuple[DataFrame, np.ndarray]:
     return cut_lineage(best), number
 
 
-_SHAPE = re.compile(r"[A-Z][\w.&'’-]*|[|–:/()-]+|\d+|[A-Z]+/\S+")
-
-
-_PIECE = re.compile(r"(?:[A-Z][\w.&'’/-]*|[|–:()]+|\d+)(?:\s+(?:[A-Z][\w.&'’/-]*|cum|[|–:()]+|\d+))+")
+_PIECE = re.compile(r"[A-Z|(/][^\s]*(?:\s+(?:[A-Z|–:(\d][^\s]*|cum))+")
 #: Shortest clipped piece of a header that counts.
 CLIPPED = 14
 
 
 def header_shaped(line: str) -> bool:
     """A line of capitalised words without an end, as headers are."""
+    if line[-1:] in ".;,:" or len(line) > 120:
+        return False
     parts = line.split()
-    return 2 <= len(parts) <= 16 and line[-1:] not in ".;,:" and sum(bool(_SHAPE.fullmatch(p)) for p in parts) >= 0.75 * len(parts) and sum(p[:1].isupper() for p in parts) >= 2
+    capitals = sum(p[0].isupper() for p in parts)
+    return 2 <= len(parts) <= 16 and capitals >= 2 and capitals + sum(not p[0].isalpha() for p in parts) >= 0.75 * len(parts)
 
 
 def header_lines(text: str) -> list[tuple[str, str]]:
@@ -272,19 +345,26 @@ def clipped_header(text: str, headers: list[str]) -> tuple[int, int] | None:
 
 def stamps(text: str, page: int | None, number: np.ndarray, seen: Hashes) -> list[tuple[int, int]]:
     """Spans of page stamps and of bare page numbers inside the text."""
-    out = [m.span() for m in STAMP.finditer(text) if 0 < m.start() and m.end() < len(text.rstrip())]
+    out = stamp_spans(text)
     if page is None:
         return out
-    for m in _BARE.finditer(text):
-        if abs(int(m.group(1)) - page) > 1:
+    for m in _NUMBER.finditer(text):
+        if abs(int(m.group()) - page) > 1 or text[m.start() - 1 : m.start()] not in (" ", "\n", "\t") or text[m.end() : m.end() + 1] not in (" ", "\n", "\t"):
             continue
-        before = _BEFORE.search(text, max(0, m.start() - 40), m.start(1))
-        sides = "<" + (before.group(1).lower() if before else ""), ">" + m.group(2).lower()
-        if not any(number[seen[x] >> (64 - BITMAP_BITS)] for x in sides):
-            out.append(m.span(1))
+        before, after = _BEFORE.search(text[max(0, m.start() - 40) : m.start()]), _AFTER.match(text, m.end())
+        if before and after:
+            sides = "<" + before.group(1).lower(), ">" + after.group(1).lower()
+            if not any(number[seen[x] >> (64 - BITMAP_BITS)] for x in sides):
+                out.append(m.span())
     return sorted(out)
 
 
+def stamp_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of page stamps by their form, inside the text."""
+    end = len(text.rstrip())
+    return sorted({m.span() for words, form in _STAMPS if any(w in text for w in words) for m in form.finditer(text) if 0 < m.start() and m.end() < end})
+
+
 #: Share of a word's occurrences that must have a number beside them for the number to belong to the wording.
 NUMERIC = 0.03
 
@@ -319,7 +399,7 @@ def noise(df: DataFrame, id: str, text: str, policy: str, page: str) -> DataFram
                         hit = odd[c] = any(mask[seen[w] >> (64 - BITMAP_BITS)] for w in known[c])
                     if hit:
                         suspects += [w for w in known[c] if mask[seen[w] >> (64 - BITMAP_BITS)]]
-                header = CUES.search(p) is not None
+                header = cued(p)
                 pieces = [] if header or p.isupper() else list({m.group() for m in _PIECE.finditer(p) if m.end() - m.start() >= CLIPPED})
                 out.append((broken(t), bool(stamps(p, page, number, seen)), header, list(dict.fromkeys(suspects)), pieces, [{"line": a, "beside": b} for a, b in header_lines(p)]))
             a, b, c, d, e, f = zip(*out)
@@ -357,8 +437,8 @@ _ITEM = re.compile(r"\n(?=\s*(?:\(?(?:[a-z]{1,2}|[ivxlcdm]{1,6}|\d{1,3})[.)]|[-
 def clean(text: str, fixes: dict[str, str], headers: list[str]) -> str:
     """One text repaired: furniture out, words healed and corrected, lines reflowed."""
     out = healed(text)
-    for span in reversed([m.span() for m in STAMP.finditer(out)]):
-        out = out[: span[0]] + out[span[1] :]
+    for a, b in reversed(stamp_spans(out)):
+        out = out[:a] + " " + out[b:]
     out = _HEADER.sub(" ", out)
     while (span := clipped_header(out, headers)) is not None:
         out = out[: span[0]] + out[span[1] :]
