@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import lookalike, nearcopies, scans, truncation
+from clauseloom.llm import lookalike, nearcopies, scans, truncation, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,16 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select(F.col("id").alias("finding_id"), "repaired")
 
 
+# --- problem 3
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _table(spark, sf_dir, "numeric_audit_findings").select("policy_id").distinct()
+    rows = _table(spark, sf_dir, "rebuild_embeddings").select("vec_id", "embedding", "policy_id").join(known, "policy_id", "left_semi")
+    pairs = vectors.nearest_pairs(vectors.usable(rows, "vec_id", "embedding", 96), 5)
+    return pairs.select(F.col("id_a").alias("vec_id_a"), F.col("id_b").alias("vec_id_b"))
+
+
 # --- problem 4
 
 
@@ -76,5 +86,5 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumn("share", F.col("cut") / F.col("findings"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p6_rates": p6_rates}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p6_rates": p6_rates}
 SQL: dict[str, str] = {}
