@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import lookalike, nearcopies, scans, truncation, vectors
+from clauseloom.llm import abuse, lookalike, nearcopies, scans, truncation, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,5 +86,26 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumn("share", F.col("cut") / F.col("findings"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p6_rates": p6_rates}
+# --- problem 9
+
+
+def _abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.abuse_scores(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "doc_labels"), "toxic", ["source"])
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse(spark, sf_dir).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse(spark, sf_dir)
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: documents, how many are found, their share."""
+    rates = _abuse(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("score") >= abuse.THRESHOLD).alias("found"))
+    return rates.withColumn("share", F.col("found") / F.col("documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p6_rates": p6_rates, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 SQL: dict[str, str] = {}
