@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import abuse, lookalike, nearcopies, scans, truncation, vectors
+from clauseloom.llm import abuse, lookalike, mixing, nearcopies, packing, scans, tokens, truncation, vectors
+from clauseloom.session import cut_lineage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +87,38 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumn("share", F.col("cut") / F.col("findings"))
 
 
+# --- problem 7
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, or its pieces, in a container of each capacity."""
+    sizes = cut_lineage(tokens.sized(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return packing.packed(sizes, _table(spark, sf_dir, "pack_sizes"), "doc_id", "pack_id", "capacity_tokens")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: containers, tokens in them, and the share of their space that is unused."""
+    held = p7_containers(spark, sf_dir).groupBy("pack_id", "capacity_tokens", "container").agg(F.sum("tokens").alias("tokens"))
+    fill = held.groupBy("pack_id", "capacity_tokens").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
+    return fill.withColumn("unused", 1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+
+
+# --- problem 8
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = tokens.sized(_table(spark, sf_dir, "documents"), "doc_id", "text", ["source"])
+    return mixing.mixed(sizes, _table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
 # --- problem 9
 
 
@@ -107,5 +140,5 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumn("share", F.col("found") / F.col("documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p6_rates": p6_rates, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p6_rates": p6_rates, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 SQL: dict[str, str] = {}
