@@ -8,6 +8,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Text = Column | str
 
@@ -36,13 +37,13 @@ def verbatim_key(text: str | None, marks: bool = True) -> str | None:
     return re.sub(r"(?<=\w)\s*-\s*(?=\w)", "", s).strip().lower()
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def n1(text: pa.Array) -> pa.Array:
     """verbatim_key with marks; the built-ins have no compatibility normalisation."""
     return pa.array([verbatim_key(t) for t in text.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def n2(text: pa.Array) -> pa.Array:
     """verbatim_key of quotes that never had page marks."""
     return pa.array([verbatim_key(t, marks=False) for t in text.to_pylist()], pa.string())
@@ -65,7 +66,7 @@ def n5(text: Text) -> Column:
 
 def n6(text: Text) -> Column:
     """Letters of any script only: what a line has in common over pages whose numbers differ."""
-    return F.trim(F.lower(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"(?U)[\d\W_]+", " ")))
+    return F.trim(F.lower(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"[^\p{L}\p{Nl}\p{No}]+", " ")))
 
 
 def n7(text: Text) -> Column:
@@ -80,9 +81,8 @@ def slug(text: Text) -> Column:
 def indian_digits(number: Text) -> Column:
     """12345678 as 1,23,45,678; null stays null, a sign stays in front."""
     whole = F.abs(F.round(_c(number))).cast("long").cast("string")
-    head = F.expr("substring({0}, 1, greatest(length({0}) - 3, 0))".format("x"))
-    grouped = F.transform(F.array(whole), lambda x: F.concat(F.regexp_replace(F.substring(x, F.lit(1), F.greatest(F.length(x) - 3, F.lit(0))), r"(\d)(?=(\d\d)+$)", "$1,"), F.when(F.length(x) > 3, ",").otherwise(""), F.right(x, F.lit(3))))[0]
-    del head
+    head = F.substring(whole, F.lit(1), F.greatest(F.length(whole) - 3, F.lit(0)))
+    grouped = F.concat(F.regexp_replace(head, r"(\d)(?=(\d\d)+$)", "$1,"), F.when(F.length(whole) > 3, ",").otherwise(""), F.right(whole, F.lit(3)))
     return F.when(_c(number) < 0, F.concat(F.lit("-"), grouped)).otherwise(grouped)
 
 

@@ -15,6 +15,12 @@ def vector_topk(vectors: DataFrame, query: DataFrame, k: int, where: Column, vec
     return near.withColumn("distance", F.round(1 - cosine(vector, "q"), 6)).where("distance is not null").drop("q").orderBy("distance", id).limit(k)
 
 
+def usable(vector: str = "embedding", size: int = 96) -> Column:
+    """Whether a vector has exactly size finite numbers, not all zero."""
+    v = F.col(vector)
+    return F.coalesce(v.isNotNull() & (F.size(v) == size) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
 def policy_listing(clauses: DataFrame) -> DataFrame:
     """(insurer, policy_id, policy_name, clauses): one row a policy; of several names the first in order."""
     return clauses.groupBy("insurer", "policy_id").agg(F.min("policy_name").alias("policy_name"), F.count("*").alias("clauses"))

@@ -109,7 +109,7 @@ def embedded(df: DataFrame, embed: Column, name: str = "embedding") -> DataFrame
     return df.withColumn(name, embed)
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def hashed_embedding(text):  # noqa: ANN001, ANN201
     """A deterministic stand-in for a model: counts of hashed words, of length one."""
     import math
