@@ -82,15 +82,10 @@ def masthead(contact: Column, text: str = "clause_text") -> Column:
 
 def wedged_numbers(text: str = "clause_text") -> Column:
     """Numbers of one to three digits that stand alone between two words, neither of which goes with numbers."""
-    t = F.concat(F.lit(" "), n7(text), F.lit(" "))
-    # a number with its neighbours; overlapping neighbours are found by two passes over words
-    words = F.split(t, " ")
-    near = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: F.struct(
-        F.lower(F.regexp_extract(F.get(words, i - 1), r"([A-Za-z]+)[^A-Za-z]*$", 1)).alias("b"),
-        F.regexp_extract(F.get(words, i), r"^[(\[,;:]*(\d{1,3})[)\],;:]*$", 1).alias("n"),
-        F.lower(F.regexp_extract(F.get(words, i + 1), r"^([A-Za-z]+)", 1)).alias("a"),
-    ))
-    good = F.filter(near, lambda x: (x["n"] != "") & (x["b"] != "") & (x["a"] != "") & ~x["b"].isin(NUMERIC_CONTEXT) & ~x["a"].isin(NUMERIC_CONTEXT))
+    t = n7(text)
+    pattern = F.lit(r"([A-Za-z]+)[^A-Za-z0-9_]*(?<![\w/.-])(\d{1,3})(?![\w/.%-])(?=\s*([A-Za-z]+))")
+    near = F.arrays_zip(*[F.regexp_extract_all(t, pattern, k).alias(c) for k, c in ((1, "b"), (2, "n"), (3, "a"))])
+    good = F.filter(near, lambda x: ~F.lower(x["b"]).isin(NUMERIC_CONTEXT) & ~F.lower(x["a"]).isin(NUMERIC_CONTEXT))
     return F.transform(good, lambda x: x["n"].cast("long"))
 
 

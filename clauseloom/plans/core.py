@@ -66,7 +66,7 @@ _USABLE = (
 
 @query(
     "j1_vector_topk",
-    f"""WITH u AS (SELECT * FROM rebuild_embeddings WHERE {_USABLE}), q AS (SELECT embedding AS qv, policy_id AS p FROM u ORDER BY vec_id LIMIT 1)
+    f"""WITH u AS MATERIALIZED (SELECT * FROM rebuild_embeddings WHERE {_USABLE}), q AS (SELECT embedding AS qv, policy_id AS p FROM u ORDER BY vec_id LIMIT 1)
     SELECT vec_id, clause_title, round(1 - list_dot_product(embedding, qv) / (sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product(qv, qv))), 6) AS distance
     FROM u, q WHERE policy_id = p ORDER BY distance, vec_id LIMIT 15""",
 )
