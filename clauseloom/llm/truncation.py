@@ -131,7 +131,7 @@ def verdicts(tails: list[str], counts: np.ndarray, chunks: Chunks) -> list[str]:
         bare, marked = tail_of(text)
         if not bare:
             out.append("whole")
-        elif marked and not _END.search(bare[-8:]):
+        elif marked and (not _END.search(bare[-8:]) or text.rstrip().endswith("]")):
             out.append("marked")
         elif _END.search(bare[-8:]) or bare[-1] in ")]”\"%" or bare.endswith("/-") or _ADDRESS.search(bare[-100:]):
             out.append("whole")
@@ -235,8 +235,8 @@ def cut_texts(df: DataFrame, id: str, text: str, source: str) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             size = [len(t) if t else 0 for t in texts]
-            tails = [t[-TAIL:] if t and not _END.search(t[-8:]) else "" for t in texts]
-            open_end = [bool(t) and not _END.search(tail_of(t)[0][-8:]) for t in tails]
+            tails = [t[-TAIL:] if t and (t[-1] not in ".!?।" or t.endswith("..")) else "" for t in texts]
+            open_end = [bool(t) and (not _END.search((b := tail_of(t))[0][-8:]) or b[1]) for t in tails]
             out = verdicts([t if o else "" for t, o in zip(tails, open_end)], table, chunks)
             yield pa.record_batch([*batch.columns, pa.array(out, pa.string()), pa.array(size, pa.int32()), pa.array(open_end, pa.bool_())], [*batch.schema.names, "verdict", "size", "open_end"])
 
