@@ -52,7 +52,7 @@ def test_truncated_calibrations(spark):
 
 
 def test_mid_sentence(spark):
-    for t, want in {"a If the Insured": False, "lf any claim": False, "e-Counseling": True, "and then": True, "i. Room rent": False, "": False}.items():
+    for t, want in {"a If the Insured": False, "lf any claim": False, "e-Counseling": False, "and then": True, "i. Room rent": False, "": False}.items():
         assert one(spark, gates.mid_sentence(F.col("t")), t=t) == want, t
 
 
@@ -101,7 +101,7 @@ def test_contained_keeps_the_longest(spark):
 
 def test_run_matches(spark):
     s = "doc string, seq int, page int, title string, text string"
-    a = spark.createDataFrame([("d", 1, 1, "T", "one"), ("d", 2, 1, "t", "two"), ("d", 3, 9, "x", "same words here")], s)
+    a = spark.createDataFrame([("d", 1, 1, "T", "one"), ("d", 2, 1, "t", "quite another thing"), ("d", 3, 9, "x", "same words here")], s)
     b = spark.createDataFrame([("d", 7, 1, "T.", "uno"), ("d", 8, 2, "y", "Same words here"), ("d", 9, 1, None, None)], s)
     m = matching.run_matches(a, b)
     assert {tuple(r)[1:] for r in m.collect()} == {(1, 7, 1), (3, 8, 2)}
