@@ -67,6 +67,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values of whole numbers; by sorting, which is far faster here than hashing them."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def hashed_counts(df: DataFrame, column: str, units: Callable[[list[str]], list[np.ndarray]], channels: int, bits: int) -> np.ndarray:
     """Counts over all rows in a table of fixed size, shape (channels, 2**bits): units turns a batch of texts into one
     array of 64-bit hashes per channel; a hash adds one to its cell. Every row of every task adds in; tables are summed
