@@ -118,8 +118,8 @@ def test_verbatim_and_runs(spark):
 
 
 def test_mentions_and_mismatch(spark):
-    names = ["Star Health", "Elevate", "Star Health Gold", "Care"]
-    assert matching.mentions("We elevate care. Star Health Gold applies.", names) == ["Star Health Gold"]
+    names = ["Aran Health", "Ascend", "Aran Health Gold", "Care"]
+    assert matching.mentions("We ascend with care. Aran Health Gold applies.", names) == ["Aran Health Gold"]
     assert matching.mentions(None, names) == [] and matching.mentions("Care", []) == []
     c = matching.mismatch(F.expr("n"), F.lit("P"), F.lit("I"), F.expr("array('P','P2')"), F.expr("array('I','I2')"))
     for named, want in (("array('P','P2')", False), ("array('P2')", True), ("array('I')", False), ("array('I2')", True), ("cast(array() as array<string>)", False)):
@@ -203,7 +203,7 @@ def test_streaming_gates(spark, tmp_path):
 def test_text_helpers(spark):
     assert one(spark, text.indian_digits("n"), n=12345678) == "1,23,45,678" and one(spark, text.indian_digits("n"), n=-1234) == "-1,234" and one(spark, text.indian_digits("n"), n=12) == "12"
     assert [x["before"] for x in one(spark, text.occurrences("t", "day"), t="day 5 day")] == ["", "day 5 "]
-    assert one(spark, text.slug("t"), t="Star Health & Co.") == "star_health_co"
+    assert one(spark, text.slug("t"), t="Aran Health & Co.") == "aran_health_co"
 
 
 def test_empty_tables(spark):
