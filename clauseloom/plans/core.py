@@ -558,10 +558,11 @@ def a27_pass_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g16_evidence_gate")
 def g16_evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corrections by why their evidence is refused, or ok: a share of its own units, judged by the evidence alone."""
-    log = table(spark, sf_dir, "numeric_pass_log").where("field rlike '(?i)percent|pct'").distinct()
-    found = log.withColumn("c", audits.percents("evidence"))
-    return found.groupBy("field", audits.span_supports(F.col("after"), F.col("evidence"), F.col("evidence"), F.col("c"), 0.01).alias("reason")).agg(F.count("*").alias("n"))
+    """Corrections of every field by why their evidence is refused, or ok: a number of its own kind and unit, read from the
+    evidence alone, which a finding of its page must hold."""
+    log = table(spark, sf_dir, "numeric_pass_log").distinct()
+    texts = table(spark, sf_dir, "numeric_audit_findings").select("policy_id", "source_page", "clause_text")
+    return audits.evidence_reasons(log, texts).groupBy("field", "reason").agg(F.count("*").alias("n"))
 
 
 @query("a21_manifest_rates", "SELECT run_id, round(verbatim_rejected / nullif(records_extracted + verbatim_rejected, 0), 6) AS rate, len(chunks_failed) AS failed FROM run_manifest")

@@ -160,6 +160,19 @@ def test_judge(spark):
     assert tuple(got) == ("agree", "missed", "zero", "disagree", "agree_literal")
 
 
+def test_evidence_gate_judges_every_field_by_its_page(spark):
+    text_ = "A waiting period of 36 months applies; the limit is Rs. 50,000 or 10% of it, at most 800 bps, after 10 weeks."
+    rows = [
+        ("waiting_period_months", 36.0, "36 months"), ("wait_yrs", 3.0, "36 months"), ("waitPeriodWeeks", 10.0, "10 weeks"), ("cap_inr_thousand", 50.0, "Rs. 50,000"), ("monetary_cap", 50000.0, "rs. 50,000"),
+        ("cap_bps", 800.0, "800 bps"), ("capFraction", 0.1, "10%"), ("CAP_PCT", 12.0, "10%"), ("percent_cap", 20.0, "20%"), ("percent_cap", None, "10%"), ("capPaise", 1.0, " "), ("no_such", 1.0, "10%"),
+    ]
+    log = spark.createDataFrame([("p", 1, *r) for r in rows] + [("p", 2, "waiting_period_days", 30.0, "30 days")], "policy_id string, source_page long, field string, after double, evidence string")
+    texts = spark.createDataFrame([("p", 1, text_), ("p", 1, None), ("p", 2, "Pay within 30 days."), ("q", 1, "20%")], "policy_id string, source_page long, clause_text string")
+    got = {(r["field"], r["after"]): r["reason"] for r in audits.evidence_reasons(log, texts).collect()}
+    bad = {("wait_yrs", 3.0): "not_derivable", ("CAP_PCT", 12.0): "not_derivable", ("percent_cap", 20.0): "not_in_text", ("percent_cap", None): "null", ("capPaise", 1.0): "no_evidence", ("no_such", 1.0): "not_derivable", ("waiting_period_days", 30.0): "no_wait_wording"}
+    assert got == {(f, v): "ok" for f, v, _ in rows} | bad
+
+
 def test_acceptance(spark):
     f = spark.createDataFrame([("truncated", i) for i in (1, 2, 3)] + [("no_terminal_punctuation", 4)], "kind string, seq int")
     assert {r["seq"] for r in gates.accepted(f, {"truncated": 2}).where("blocked").collect()} == {3}
