@@ -208,3 +208,39 @@ def against_page(value: Column, page_text: Column) -> Column:
     the text of its page. Null or empty values are absent."""
     digits = F.regexp_replace(value, r"\D", "")
     return F.when(F.coalesce(F.trim(value), F.lit("")) == "", "absent").when(F.contains(F.lower(n7(page_text)), F.lower(n7(value))), "verbatim").when((n4(value) != "") & F.contains(n4(page_text), n4(value)), "normalised").when((digits != "") & F.contains(F.regexp_replace(page_text, r"\D", " "), digits), "altered").otherwise("absent")
+
+
+# How the code of a standard exclusion is printed, its l misread or not.
+CODE_SHAPE = r"E[xX][ce][lI1]\s*\.?\s*-?\s*\d{1,2}"
+VERDICTS = ("verbatim", "normalised", "altered", "absent")
+
+
+def short_fields(clauses: DataFrame, texts: DataFrame) -> DataFrame:
+    """(field, verdict, n, share): how the filled short fields of clauses (vec_id, policy_id, source_page, clause_text and the
+    fields) stand in texts (policy_id, source_page, clause_text), and the share of each verdict in its field.
+
+    exclusion_code, clause_id and clause_title are sought in the texts of their page and its neighbours, cap_basis in
+    its own clause. verbatim: contained, blanks and case aside; normalised: letters and digits are; altered, for codes alone:
+    another spelling of the same digits is printed; absent: nothing of it, or no text at all. All values and texts are
+    brought to their normal forms once, before they meet.
+    """
+    digits = lambda c: F.regexp_replace(c, r"\D", "")
+    filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    names = ["exclusion_code", "clause_id", "clause_title"]
+    near = F.explode(F.array(F.col("source_page") - 1, "source_page", F.col("source_page") + 1))
+    forms = [F.when(filled(c), F.struct(F.lower(n7(c)).alias("v7"), n4(c).alias("v4"), digits(c).alias("d"))).alias(c) for c in names]
+    values = clauses.where(filled(names[0]) | filled(names[1]) | filled(names[2])).select("vec_id", "policy_id", *forms, near.alias("source_page"))
+    codes = F.array_distinct(F.transform(F.regexp_extract_all("clause_text", F.lit(f"({CODE_SHAPE})"), 1), digits))
+    printed = texts.where("clause_text is not null").select("policy_id", "source_page", F.lower(n7("clause_text")).alias("t7"), n4("clause_text").alias("t4"), codes.alias("codes"))
+
+    def rank(v: Column, altered: Column) -> Column:
+        return F.when(F.contains("t7", v["v7"]), 1).when((v["v4"] != "") & F.contains("t4", v["v4"]), 2).when(altered, 3).otherwise(4)
+
+    ranks = [F.min(F.when(F.col(c).isNotNull(), rank(F.col(c), F.array_contains("codes", F.col(c)["d"]) if c == "exclusion_code" else F.lit(False)))).alias(c) for c in names]
+    best = values.join(printed, ["policy_id", "source_page"], "left").groupBy("vec_id").agg(*ranks)
+    long = best.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("r")) for c in names])).alias("x")).select("x.*").where("r is not null")
+    t, v = F.coalesce("clause_text", F.lit("")), F.col("cap_basis")
+    own = F.when(F.contains(F.lower(n7(t)), F.lower(n7(v))), 1).when((n4(v) != "") & F.contains(n4(t), n4(v)), 2).otherwise(4)
+    long = long.unionAll(clauses.where(filled("cap_basis")).select(F.lit("cap_basis").alias("field"), own.alias("r")))
+    n = long.groupBy("field", F.element_at(F.array(*[F.lit(x) for x in VERDICTS]), F.col("r")).alias("verdict")).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("field")), 6))  # sixteen rows

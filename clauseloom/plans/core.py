@@ -459,15 +459,11 @@ _TITLES = f"""SELECT vec_id, min(CASE WHEN contains(lower({_T}), lower({_N7.form
 
 @query("a10_short_fields", f"SELECT CASE r WHEN 1 THEN 'verbatim' WHEN 2 THEN 'normalised' ELSE 'absent' END AS verdict, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM ({_TITLES}) GROUP BY r")
 def a10_short_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How clause titles stand in the texts of their page and its neighbours, and the share of each verdict."""
-    title, near = F.lower(text.n7("clause_title")), F.explode(F.array(F.col("source_page") - 1, "source_page", F.col("source_page") + 1))
-    e = clauses(spark, sf_dir).where("trim(clause_title) <> ''").select("vec_id", "policy_id", title.alias("t7"), text.n4("clause_title").alias("t4"), near.alias("source_page"))
-    # every text and title is brought to its normal forms once, before they meet
-    f = table(spark, sf_dir, "numeric_audit_findings").where("clause_text is not null").select("policy_id", "source_page", F.lower(text.n7("clause_text")).alias("f7"), text.n4("clause_text").alias("f4"))
-    rank = F.when(F.contains("f7", F.col("t7")), 1).when((F.col("t4") != "") & F.contains("f4", F.col("t4")), 2).otherwise(4)
-    best = e.join(f, ["policy_id", "source_page"]).groupBy("vec_id").agg(F.min(rank).alias("r"))
-    n = best.groupBy(F.when(F.col("r") == 1, "verbatim").when(F.col("r") == 2, "normalised").otherwise("absent").alias("verdict")).agg(F.count("*").alias("n"))
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).select("verdict", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))  # three rows
+    """How exclusion codes, numbers and titles of clauses stand in the texts of their page and its neighbours, and the basis
+    of a cap in its clause, with the share of each verdict in its field. The SQL knows titles alone, and of these only
+    such as have a text near them."""
+    texts = table(spark, sf_dir, "numeric_audit_findings").select("policy_id", "source_page", "clause_text")
+    return matching.short_fields(clauses(spark, sf_dir), texts)
 
 
 # --- bills

@@ -117,6 +117,20 @@ def test_verbatim_and_runs(spark):
     assert matching.longest_common_run("abcdefg", "xxcdefyy") == 4 and matching.longest_common_run("", "a") == 0
 
 
+def test_short_fields_have_all_fields_and_verdicts(spark):
+    s = "vec_id long, policy_id string, source_page long, clause_text string, exclusion_code string, clause_id string, clause_title string, cap_basis string"
+    rows = [
+        (1, "p", 5, "Paid per day only.", "Excl 04", "4.1", "Room Rent", "per day"), (2, "p", 6, "Paid per-day.", "Code- Excl04", "9.9", "room-rent", "per day"), (3, "p", 9, None, "Excl04", "4.1", "Room Rent", "per day"),
+        (4, "q", 5, "x", None, None, "Room Rent", None), (5, "p", 5, "x", "Excl05", None, " ", ""),
+    ]
+    texts = spark.createDataFrame([("p", 5, "4.1 Room  rent (Excl 04)"), ("p", 6, None), ("p", 12, "Room rent")], "policy_id string, source_page long, clause_text string")
+    got = {(r["field"], r["verdict"]): (r["n"], r["share"]) for r in matching.short_fields(spark.createDataFrame(rows, s), texts).collect()}
+    assert got == {
+        ("exclusion_code", "verbatim"): (1, 0.25), ("exclusion_code", "altered"): (1, 0.25), ("exclusion_code", "absent"): (2, 0.5), ("clause_id", "verbatim"): (1, 0.333333), ("clause_id", "absent"): (2, 0.666667),
+        ("clause_title", "verbatim"): (1, 0.25), ("clause_title", "normalised"): (1, 0.25), ("clause_title", "absent"): (2, 0.5), ("cap_basis", "verbatim"): (1, 0.333333), ("cap_basis", "normalised"): (1, 0.333333), ("cap_basis", "absent"): (1, 0.333333),
+    }
+
+
 def test_mentions_and_mismatch(spark):
     names = ["Aran Health", "Ascend", "Aran Health Gold", "Care"]
     assert matching.mentions("We ascend with care. Aran Health Gold applies.", names) == ["Aran Health Gold"]
