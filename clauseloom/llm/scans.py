@@ -375,6 +375,11 @@ LINES = pa.list_(pa.struct([("line", pa.string()), ("beside", pa.string())]))
 def noise(df: DataFrame, id: str, text: str, policy: str, page: str) -> DataFrame:
     """One row per row of df: id, text, broken, stamp, header (flags), headers learned for the policy, and fixes, a map
     of misread words to what they read. Null and empty texts have no noise; a null policy or page only goes without its clues."""
+    return _noise(df, id, text, policy, page)[0]
+
+
+def _noise(df: DataFrame, id: str, text: str, policy: str, page: str) -> tuple[DataFrame, object]:
+    """noise, and the broadcast bits of the words that numbers belong beside."""
     spark = df.sparkSession
     rows = df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(policy).alias("policy"), F.col(page).alias("page"))
     linked, number = misreadings(rows, "text")
@@ -400,7 +405,8 @@ def noise(df: DataFrame, id: str, text: str, policy: str, page: str) -> DataFram
                     if hit:
                         suspects += [w for w in known[c] if mask[seen[w] >> (64 - BITMAP_BITS)]]
                 header = cued(p)
-                pieces = [] if header or p.isupper() else list({m.group() for m in _PIECE.finditer(p) if m.end() - m.start() >= CLIPPED})
+                rest = _HEADER.sub(" ", p) if header else p  # beside a whole header there may be a clipped one
+                pieces = [] if p.isupper() else list({m.group() for m in _PIECE.finditer(rest) if m.end() - m.start() >= CLIPPED})
                 out.append((broken(t), bool(stamps(p, page, number, seen)), header, list(dict.fromkeys(suspects)), pieces, [{"line": a, "beside": b} for a, b in header_lines(p)]))
             a, b, c, d, e, f = zip(*out)
             flags = [pa.array(x, pa.bool_()) for x in (a, b, c)]
@@ -414,32 +420,46 @@ def noise(df: DataFrame, id: str, text: str, policy: str, page: str) -> DataFram
     clipped = found.select("id", "policy", F.explode("pieces").alias("piece")).join(heads, "policy").select("id", match("piece", "headers").alias("clipped")).where("clipped is not null")
     clipped = clipped.groupBy("id").agg(F.collect_set("clipped").alias("clipped"))
     out = found.select("id", "broken", "stamp", "header").join(fixes, "id", "left").join(clipped, "id", "left")
-    return out.withColumn("header", F.col("header") | F.col("clipped").isNotNull())
+    return out.withColumn("header", F.col("header") | F.col("clipped").isNotNull()), beside
 
 
 def repaired(df: DataFrame, id: str, text: str, policy: str, page: str) -> DataFrame:
     """(id, text, repaired): the texts that have noise, and what they read without: words healed and corrected, headers
     and stamps dropped, lines reflowed except before list items. All other texts are clean as they are."""
-    found = noise(df, id, text, policy, page).where("broken or stamp or header or fixes is not null")
+    found, beside = _noise(df, id, text, policy, page)
+    found = found.where("broken or stamp or header or fixes is not null")
     both = found.join(df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(page).alias("page")), "id")
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, seen = np.unpackbits(beside.value).astype(bool), Hashes()
         for batch in batches:
-            out = [clean(t, dict(f or ()), c or []) for t, f, c in zip(*(batch.column(c).to_pylist() for c in ("text", "fixes", "clipped")))]
+            out = [clean(t, dict(f or ()), c or [], p, number, seen) for t, f, c, p in zip(*(batch.column(c).to_pylist() for c in ("text", "fixes", "clipped", "page")))]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["id", "text", "repaired"])
 
-    return both.select("id", "text", "fixes", "clipped").mapInArrow(repair, "id long, text string, repaired string")
+    return both.select("id", "text", "fixes", "clipped", "page").mapInArrow(repair, "id long, text string, repaired string")
 
 
 _ITEM = re.compile(r"\n(?=\s*(?:\(?(?:[a-z]{1,2}|[ivxlcdm]{1,6}|\d{1,3})[.)]|[-•*])\s)")
 
 
-def clean(text: str, fixes: dict[str, str], headers: list[str]) -> str:
-    """One text repaired: furniture out, words healed and corrected, lines reflowed."""
-    out = healed(text)
-    for a, b in reversed(stamp_spans(out)):
-        out = out[:a] + " " + out[b:]
-    out = _HEADER.sub(" ", out)
+def without_stamps(text: str, page: int | None, number: np.ndarray, seen: Hashes) -> str:
+    """text without the spans of stamps(); those that overlap go as one."""
+    spans: list[tuple[int, int]] = []
+    for a, b in stamps(text, page, number, seen):
+        if spans and a < spans[-1][1]:
+            spans[-1] = spans[-1][0], max(b, spans[-1][1])
+        else:
+            spans.append((a, b))
+    for a, b in reversed(spans):
+        text = text[:a] + " " + text[b:]
+    return text
+
+
+def clean(text: str, fixes: dict[str, str], headers: list[str], page: int | None, number: np.ndarray, seen: Hashes) -> str:
+    """One text repaired: furniture and what stamps() finds out, words healed and corrected, lines reflowed."""
+    out = without_stamps(healed(text), page, number, seen)
+    if CUES.search(out):  # no header is without one, and the longer pattern is slow
+        out = _HEADER.sub(" ", out)
     while (span := clipped_header(out, headers)) is not None:
         out = out[: span[0]] + out[span[1] :]
     if fixes:
@@ -448,5 +468,6 @@ def clean(text: str, fixes: dict[str, str], headers: list[str]) -> str:
             return w if fix is None else fix.upper() if w.isupper() and len(w) > 1 else fix.capitalize() if w[:1].isupper() else fix
 
         out = _WORD.sub(fixed, out)
+    out = without_stamps(out, page, number, seen)  # a number beside a header or a misread word shows only now
     items = [re.sub(r"\s+", " ", x).strip() for x in _ITEM.split(out)]
     return "\n".join(x for x in items if x)

@@ -44,6 +44,20 @@ def test_scan_noise(spark):
     assert all(fixed[i] == clean for i in (100, 101, 102))
 
 
+def test_repair_cuts_all_that_is_found(spark):
+    clean = "the hospital charges shall apply to the covered member under the policy wording for each admission"
+    head, mast = "Aran Health Gold Shield Plan Booklet", "ABC COMPANY LIMITED | POLICY WORDINGS under"
+    rows = [(i, clean, "p", 3) for i in range(60)] + [(100, clean.replace("member", "member 3"), "p", 3), (101, clean.replace("charges", "charges 9"), "p", 3), (102, clean.replace("each", "each\nPage 3 of 4\n").replace("policy", "policy 4"), "p", 3)]
+    rows += [(110 + i, clean.replace(w, f"{w}\n{head}\n"), "p", 3) for i, w in enumerate(("charges", "covered"))]
+    rows += [(120, clean.replace("under", mast).replace("hospital", f"hospital {head[12:]}"), "p", 3), (121, clean.replace("hospital", f"hospital {head[12:]}"), "p", 3)]
+    df = spark.createDataFrame(rows, "id long, t string, p string, page long")
+    fixed = {r["id"]: r["repaired"] for r in scans.repaired(df, "id", "t", "p", "page").collect()}
+    assert 101 not in fixed
+    assert fixed[100] == clean and fixed[102] == clean
+    assert head[12:] not in fixed[120] and head[12:] not in fixed[121] and "POLICY WORDINGS" not in fixed[120]
+    assert fixed[121] == clean
+
+
 # --- problem 3
 
 
