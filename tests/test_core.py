@@ -64,6 +64,16 @@ def test_masthead_and_splice(spark):
     assert one(spark, gates.page_splice("p", "t"), t="30 days", p=None) is None
 
 
+def test_survey_counts_all_three_kinds(spark, tmp_path):
+    from clauseloom.plans import core
+
+    lead = "The Insured Person shall give notice of the claim to us "
+    rows = [("p", lead + "GOLD SHIELD PLAN BOOKLET and wait."), ("p", lead + "by LIST I: GOLD SHIELD PLAN BOOKLET"), ("p", "GOLD SHIELD PLAN BOOKLET " + lead), ("p", "a | b"), ("q", lead + "ABC COMPANY LIMITED, POLICY WORDINGS"), ("q", None)]
+    spark.createDataFrame(rows, "policy_id string, clause_text string").write.parquet(str(tmp_path / "numeric_audit_findings.parquet"))
+    got = {tuple(r) for r in core.QUERIES["a23_survey"](spark, str(tmp_path)).collect()}
+    assert got == {("p", "caps_run", 1), ("p", "pipe", 1), ("q", "masthead_caps", 1), ("q", "caps_run", 1)}
+
+
 def test_furniture_and_folio(spark):
     rows = [("d", p, f"HEAD OF PAGE {p}\nbody {chr(96 + p)} text\n{p + 4}") for p in range(1, 7)]
     lines = pages.page_lines(spark.createDataFrame(rows, "d string, p int, t string"), "d", "p", "t")
