@@ -98,6 +98,19 @@ def contained(records: DataFrame, least: int = 25) -> DataFrame:
     return keyed.join(dropped.select(F.col("a").alias("_id")), "_id", "left_anti").drop("_n", "_len", "_id")
 
 
+def successive_runs(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Earlier and later records (doc, seq, page, title, text, source_file) of every two successive runs of a document,
+    without source_file; doc becomes (doc, run), run the number of the later one. A run is a file; a document's files are in
+    the order of the version in their name, then of the name."""
+    file = F.coalesce("source_file", F.lit(""))
+    files = records.select("doc", file.alias("_f")).distinct()
+    version = F.regexp_extract("_f", r"_v(\d+)", 1).try_cast("int")
+    files = files.withColumn("_run", F.row_number().over(Window.partitionBy("doc").orderBy(version, "_f"))).withColumn("_last", F.count("*").over(Window.partitionBy("doc")))
+    numbered = records.withColumn("_f", file).join(files, ["doc", "_f"])
+    as_of = lambda d, run: d.select(F.struct("doc", run.alias("run")).alias("doc"), *[c for c in records.columns if c not in ("doc", "source_file")])
+    return as_of(numbered.where("_run < _last"), F.col("_run") + 1), as_of(numbered.where("_run > 1"), F.col("_run"))
+
+
 def run_matches(a: DataFrame, b: DataFrame) -> DataFrame:
     """(doc, seq_a, seq_b, tier): records (doc, seq, page, title, text) of two runs of the same documents, one to one.
 

@@ -354,9 +354,9 @@ def u5_pages_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two runs of the same policies: the records of their v15 and v16 files."""
+    """Every two successive runs of a policy, the earlier and the later records. The SQL knows the v15 and v16 files alone."""
     f = table(spark, sf_dir, "numeric_audit_findings").select(F.col("policy_id").alias("doc"), F.col("finding_id").alias("seq"), F.col("source_page").alias("page"), F.col("clause_title").alias("title"), F.col("clause_text").alias("text"), "source_file")
-    return f.where(F.contains("source_file", F.lit("_v15_"))).drop("source_file"), f.where(F.contains("source_file", F.lit("_v16_"))).drop("source_file")
+    return matching.successive_runs(f)
 
 
 _MATCH = f"""WITH f AS (SELECT policy_id AS doc, finding_id AS seq, source_page AS page, {_N4.format("clause_title")} AS k1, left({_N4.format("clause_text")}, 70) AS k2, {_T} AS t, source_file FROM numeric_audit_findings),
@@ -369,7 +369,8 @@ _MATCH = f"""WITH f AS (SELECT policy_id AS doc, finding_id AS seq, source_page
 
 @query("j2_run_matches", _MATCH + " SELECT doc, seq_a, seq_b, tier FROM m")
 def j2_run_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.run_matches(*_runs(spark, sf_dir))
+    """Records of a run matched with those of the run before it."""
+    return matching.run_matches(*_runs(spark, sf_dir)).withColumn("doc", F.col("doc.doc"))
 
 
 @query(
@@ -378,15 +379,16 @@ def j2_run_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(*) FILTER (WHERE length(b.t) < length(a.t)) AS shorter, CAST(sum(length(b.t) - length(a.t)) AS BIGINT) AS delta FROM m JOIN a ON m.seq_a = a.seq JOIN b ON m.seq_b = b.seq GROUP BY m.doc""",
 )
 def a20_diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed between runs of a policy, summed over all its successive ones."""
     a, b = _runs(spark, sf_dir)
-    return matching.diff_stats(matching.run_matches(a, b), a, b)
+    return matching.diff_stats(*[d.withColumn("doc", F.col("doc.doc")) for d in (matching.run_matches(a, b), a, b)])
 
 
 @query("j4_gone")
 def j4_gone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the earlier run that the later one neither matches nor contains."""
+    """Records of a run that the next one neither matches nor contains."""
     a, b = _runs(spark, sf_dir)
-    return matching.gone(a, b, matching.run_matches(a, b)).select("doc", "seq", "page", "title")
+    return matching.gone(a, b, matching.run_matches(a, b)).select("doc.doc", "seq", "page", "title")
 
 
 @query("t5_contained")

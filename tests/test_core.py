@@ -118,6 +118,18 @@ def test_run_matches(spark):
     assert {r["seq"] for r in matching.gone(a, b, m).collect()} == {2}
 
 
+def test_every_run_meets_the_one_before_it(spark, tmp_path):
+    from clauseloom.plans import core
+
+    rows = [("p", 1, "p_v9_x", "one"), ("p", 2, "p_v10_x", "one"), ("p", 3, "p_v17_x", "one and more"), ("p", 4, "p_v9_x", "lost"), ("q", 5, "q_v15_x", "one"), ("q", 6, "q_v17_x", "one"), ("r", 7, "r_v16_x", "one"), ("q", 8, "q_v15_x", None)]
+    full = [(d, i, 1, "T" if t and t.startswith("one") else f"only {i}", t, f) for d, i, f, t in rows]
+    spark.createDataFrame(full, "policy_id string, finding_id long, source_page long, clause_title string, clause_text string, source_file string").write.parquet(str(tmp_path / "numeric_audit_findings.parquet"))
+    run = lambda name: core.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in run("j2_run_matches")} == {("p", 1, 2, 1), ("p", 2, 3, 1), ("q", 5, 6, 1)}
+    assert {(r["doc"], r["matched"], r["same"], r["changed"], r["delta"]) for r in run("a20_diff_stats")} == {("p", 2, 1, 1, 9), ("q", 1, 1, 0, 0)}
+    assert {(r["doc"], r["seq"]) for r in run("j4_gone")} == {("p", 4)}
+
+
 def test_verbatim_and_runs(spark):
     source = "The Insured Person shall give notice with-\nin ten days of “discharge” and nothing else will be asked of them by the Company at all."
     quote = "shall give notice within ten days of \"discharge\""
