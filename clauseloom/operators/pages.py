@@ -49,26 +49,31 @@ def folio_offsets(lines: DataFrame, share: float = 0.3) -> DataFrame:
 
 
 def stripped(lines: DataFrame, furniture: DataFrame, offsets: DataFrame) -> DataFrame:
-    """The lines that are wording: no learned furniture, folio or furniture by pattern."""
-    keyed = lines.withColumn("key", n6("line"))
-    kept = keyed.join(furniture.select("doc", "key"), ["doc", "key"], "left_anti").join(offsets.select("doc", "off"), "doc", "left")
+    """The lines that are wording: no learned furniture, folio, piece of learned furniture or furniture by pattern. Pieces
+    agree in 22 letters if their key is among the first or last two lines of the page, in 44 elsewhere."""
+    on_page = Window.partitionBy("doc", "page")
+    outer = F.least(F.dense_rank().over(on_page.orderBy("pos")), F.dense_rank().over(on_page.orderBy(F.desc("pos")))) <= 2
+    keyed = lines.withColumn("key", n6("line")).withColumn("_outer", outer).withColumn("_edge", F.max("_outer").over(Window.partitionBy("doc", "page", "key")))
+    known = furniture.groupBy("doc").agg(F.collect_set("key").alias("_known"))  # on a tenth of the pages or more each: as many as a few pages have lines
+    kept = keyed.join(furniture.select("doc", "key"), ["doc", "key"], "left_anti").join(offsets.select("doc", "off"), "doc", "left").join(known, "doc", "left")
     folio = F.col("line").rlike(r"^\s*\d{1,4}\s*$") & (F.trim("line").cast("long") - F.col("page") == F.col("off"))
+    piece = fuzzy_furniture(F.col("line"), F.col("_known"), F.when(F.col("_edge"), 22).otherwise(44))
     pattern = F.lit(False)
     for p in FURNITURE:
         pattern = pattern | F.col("line").rlike("(?i)" + p)
-    return kept.where(~F.coalesce(folio, F.lit(False)) & ~pattern).drop("key", "off")
+    return kept.where(~F.coalesce(folio, F.lit(False)) & ~F.coalesce(piece, F.lit(False)) & ~pattern).drop("key", "off", "_outer", "_edge", "_known")
 
 
-def fuzzy_furniture(line: Column, known: Column, least: int = 22) -> Column:
+def fuzzy_furniture(line: Column, known: Column, least: Column | int = 22) -> Column:
     """Whether a line is a piece of known furniture: its key is one, or of 25 letters and inside one, or agrees with one
     at the front in `least` letters and three fifths of the shorter."""
     key = n6(line)
 
-    def common(k: Column) -> Column:
-        most = F.least(F.length(key), F.length(k))
-        return F.size(F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda i: F.substring(key, F.lit(1), i) == F.substring(k, F.lit(1), i)))
+    def close(k: Column) -> Column:
+        shorter = F.least(F.length(key), F.length(k))
+        need = F.greatest(F.lit(least) if isinstance(least, int) else least, F.ceil(0.6 * shorter).cast("int"))
+        return (shorter >= need) & (F.left(key, need) == F.left(k, need)) & (F.length(key) <= F.length(k) + 32)
 
-    close = lambda k: (common(k) >= least) & (common(k) >= 0.6 * F.least(F.length(key), F.length(k))) & (F.length(key) <= F.length(k) + 32)
     return (F.length(line) <= MAX_LINE) & (key != "") & F.exists(known, lambda k: (k == key) | ((F.length(key) >= 25) & F.contains(k, key)) | close(k))
 
 

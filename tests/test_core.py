@@ -86,6 +86,16 @@ def test_furniture_and_folio(spark):
     assert pages.folio_offsets(lines.where("page < 3")).count() == 0
 
 
+def test_stripped_drops_pieces_of_furniture(spark):
+    head = "Aran Health General Assurance Wording of the Gold Shield Plan"
+    rows = [("d", p, f"{head}\nfirst {c}\nsecond {c}\nthird {c}\nlast {c}") for p, c in enumerate("abcd", 1)]
+    rows += [("d", 5, f"{head[12:]}\nx\ny\nz"), ("d", 6, f"{head[:26]} claims\nx b\ny b\nz b"), ("d", 7, f"x c\ny c\n{head[:26]} claims\nz c\nw c"), ("e", 1, f"{head[12:]}\nv")]
+    lines = pages.page_lines(spark.createDataFrame(rows, "d string, p int, t string"), "d", "p", "t")
+    left = pages.stripped(lines, pages.learned_furniture(lines), pages.folio_offsets(lines)).collect()
+    assert {(r["doc"], r["page"]) for r in left if "Shield" in r["line"] or "Aran" in r["line"]} == {("d", 7), ("e", 1)}
+    assert len(left) == 16 + 3 + 3 + 5 + 2
+
+
 def test_chunks_carry_only_where_length_ends_them():
     got = pages.chunked([(1, "a", "x" * 40), (2, "a", "y" * 40), (3, "b", "z")], 60, 10)
     assert [(s, a, b) for s, _, a, b in got] == [("a", 1, 1), ("a", 1, 2), ("b", 3, 3)]
