@@ -293,14 +293,17 @@ def misreadings(df: DataFrame, column: str) -> tuple[DataFrame, np.ndarray]:
     return cut_lineage(best), number
 
 
+_MARKED = re.compile(r"(?:\(?(?:[a-z]{1,2}|[ivxlcdm]{1,6}|\d{1,3})[.)]|[-•*])\s", re.I)
 _PIECE = re.compile(r"[A-Z|(/][^\s]*(?:\s+(?:[A-Z|–:(\d][^\s]*|cum))+")
 #: Shortest clipped piece of a header that counts.
 CLIPPED = 14
+#: Share of a header's places, at least, between lines that it stands between only there.
+SCATTERED = 0.3
 
 
 def header_shaped(line: str) -> bool:
-    """A line of capitalised words without an end, as headers are."""
-    if line[-1:] in ".;,:" or len(line) > 120:
+    """A line of capitalised words without an end, as headers are; an item of a list is none."""
+    if line[-1:] in ".;,:" or len(line) > 120 or _MARKED.match(line):
         return False
     parts = line.split()
     capitals = sum(p[0].isupper() for p in parts)
@@ -314,11 +317,14 @@ def header_lines(text: str) -> list[tuple[str, str]]:
 
 
 def learned_headers(found: DataFrame) -> DataFrame:
-    """(policy, headers): lines of one policy alone that look like a header and stand in two findings or more, between different lines."""
+    """(policy, headers): lines of one policy alone that look like a header and stand in two findings or more. A header
+    falls anywhere into the text, so the lines beside it differ from one place to the next: in SCATTERED of its places
+    at least; a line of the wording has its own neighbours."""
     seen = found.where("policy is not null").select("policy", F.explode("lines").alias("x")).select("policy", "x.line", "x.beside")
-    kept = seen.groupBy("policy", "line").agg(F.approx_count_distinct("beside").alias("n"))
-    own = kept.groupBy("line").agg(F.count("*").alias("policies"), F.max("n").alias("n"), F.max("policy").alias("policy"))
-    return own.where("policies = 1 and n >= 2").groupBy("policy").agg(F.collect_set("line").alias("headers"))  # the forms of one policy's header
+    places = seen.groupBy("policy", "line", "beside").agg(F.count("*").alias("k"))
+    kept = places.groupBy("policy", "line").agg(F.count("*").alias("n"), F.sum("k").alias("all"))
+    own = kept.groupBy("line").agg(F.count("*").alias("policies"), F.max("n").alias("n"), F.max("all").alias("all"), F.max("policy").alias("policy"))
+    return own.where("policies = 1 and n >= 2").where(F.col("n") >= SCATTERED * F.col("all")).groupBy("policy").agg(F.collect_set("line").alias("headers"))  # the forms of one policy's header
 
 
 def clipped_header(text: str, headers: list[str]) -> tuple[int, int] | None:
