@@ -327,25 +327,38 @@ def learned_headers(found: DataFrame) -> DataFrame:
     return own.where("policies = 1 and n >= 2").where(F.col("n") >= SCATTERED * F.col("all")).groupBy("policy").agg(F.collect_set("line").alias("headers"))  # the forms of one policy's header
 
 
+_SIGN = re.compile(r"[^\W_]*[|/:()\d–][^\W_]*|wording|customer information", re.I)
+
+
+def telling(header: str, at: int, upto: int) -> bool:
+    """Whether header[at:upto] can be nothing but a piece of the header: it breaks a word, has a sign or a word that
+    headers have, or is most of a header without any. What is left may be the company's name in a sentence."""
+    inside = lambda i: 0 < i < len(header) and header[i - 1].isalnum() and header[i].isalnum()
+    if inside(at) or inside(upto) or _SIGN.search(header[at:upto]):
+        return True
+    return not _SIGN.search(header) and upto - at >= 0.6 * len(header)
+
+
 def clipped_header(text: str, headers: list[str]) -> tuple[int, int] | None:
-    """Where text holds a piece of a learned header, cut at its front or back, of 14 characters or more."""
+    """Where text holds a telling piece of a learned header, cut at its front or back, of CLIPPED characters or more."""
     for h in headers:
         if len(h) < CLIPPED:
             continue
         for probe, back in ((h[-CLIPPED:], True), (h[:CLIPPED], False)):
             at = text.find(probe)
-            if at < 0:
-                continue
-            a, b = (at, at + CLIPPED)
-            if back:
-                i = len(h) - CLIPPED
-                while i > 0 and a > 0 and text[a - 1] == h[i - 1]:
-                    a, i = a - 1, i - 1
-            else:
-                i = CLIPPED
-                while i < len(h) and b < len(text) and text[b] == h[i]:
-                    b, i = b + 1, i + 1
-            return a, b
+            while at >= 0:
+                a, b = at, at + CLIPPED
+                if back:
+                    i, j = len(h) - CLIPPED, len(h)
+                    while i > 0 and a > 0 and text[a - 1] == h[i - 1]:
+                        a, i = a - 1, i - 1
+                else:
+                    i, j = 0, CLIPPED
+                    while j < len(h) and b < len(text) and text[b] == h[j]:
+                        b, j = b + 1, j + 1
+                if telling(h, i, j) and not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum()):
+                    return a, b
+                at = text.find(probe, at + 1)
     return None
 
 
