@@ -38,7 +38,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scans.noise(_table(spark, sf_dir, "numeric_audit_findings"), "finding_id", "clause_text", "policy_id", "source_page")
-    return found.where("broken or stamp or header or fixes is not null").select(F.col("id").alias("finding_id"))
+    return found.where(scans.NOISY).select(F.col("id").alias("finding_id"))
 
 
 def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """P2: noise in text from scanned pages, found and repaired.
 
-Skip-gram vectors are learned over all texts (positive shifted mutual information of a word and its
-neighbours, which is what skip-gram with negative sampling converges to). A word is linked to a far
-more frequent one that a scanner could have misread into it (same glyph skeleton); the link holds if
-the neighbours of the rare word are those the frequent word is met with. Running headers are learned
-per policy, page stamps by form and by the page a row is from. Repair heals broken words, replaces
-linked words, drops the furniture and reflows the lines.
+Skip-gram vectors are learned over all texts: the mutual information of a word and its neighbours,
+which is what skip-gram with negative sampling converges to. The most frequent words of the corpus
+are dimensions of their own. A word is linked to the far more frequent ones that a scanner could have
+misread into it (same glyph skeleton) if its neighbours are those they are met with; where several
+are left, each occurrence is decided by the words beside it. Running headers are learned per policy,
+page stamps by form and by the page a row is from. Repair heals broken words, replaces linked words,
+drops the furniture and reflows the lines.
 """
 
 from __future__ import annotations
@@ -34,8 +35,13 @@ MIN_LETTERS, MIN_MIXED = 3, 4
 MIN_ASSOCIATION = 0.5
 #: The same for words of LONG letters or more, or with digits or signs among the letters: hardly a word by chance.
 MIN_ASSOCIATION_LONG, LONG = -1.0, 6
-CONTEXTS = 512
+#: Dimensions of a vector for each of the two places beside a word: the OWN most frequent words of the corpus have one
+#: each, all other words share the rest by a hash.
+PLACES, OWN = 512, 448
+CONTEXTS = 2 * PLACES
 OFFSETS = (-1, 1)
+#: Words whose neighbours a task counts at once: bounds its memory, changes no result.
+PARTIAL_WORDS = 12_000
 
 # Forms of page stamps. "page 12 of the Policy Schedule" is none.
 _STAMPS = [
@@ -61,7 +67,6 @@ def cued(text: str) -> bool:
     return any(w in low for w in _CUE_WORDS) and CUES.search(text) is not None
 
 
-_HEADER = re.compile(r"(?:\S+[ \t]+){0,6}\S*(?:" + CUES.pattern + r")\S*(?:[ \t]*(?:[|–-])[ \t]*(?:\d{1,4}\b|CIN \S+|customer information|\S+))*", re.I)
 _NUMBER = re.compile(r"\d{1,4}")
 _BEFORE = re.compile(r"([^\W\d_]+)[,;]?\s+$")
 _AFTER = re.compile(r"\s+([^\W\d_]+)")
@@ -85,13 +90,15 @@ class Words(dict):
 
 
 class Ids(dict):
-    """chunk -> numbers of its words; hashes has a word's hash, words the word, by number."""
+    """chunk -> numbers of its words; by number: hashes has a word's hash, words the word, dims its dimension beside others."""
 
-    def __init__(self) -> None:
+    def __init__(self, frequent: dict[str, int]) -> None:
         super().__init__()
+        self.frequent = frequent
         self.number: dict[str, int] = {}
         self.words: list[str] = []
         self.hashes: list[int] = []
+        self.dims: list[int] = []
         self.seen = Hashes()
         self.of("\n")
 
@@ -101,12 +108,29 @@ class Ids(dict):
             n = self.number[word] = len(self.words)
             self.words.append(word)
             self.hashes.append(self.seen[word])
+            self.dims.append(dimension(word, self.frequent, self.seen))
         return n
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
         out = self[chunk] = tuple(self.of(w) for w in split_chunk(chunk))
         return out
 
+    def forget(self) -> None:
+        for x in (self, self.number, self.words, self.hashes, self.dims):
+            x.clear()
+        self.of("\n")
+
+
+def dimension(word: str, frequent: dict[str, int], seen: Hashes) -> int:
+    """The dimension of a vector that a word beside another one counts in, of those of one place."""
+    own = frequent.get(word)
+    return OWN + (seen[word] >> 32) % (PLACES - OWN) if own is None else own
+
+
+def frequent_words(counts: DataFrame) -> dict[str, int]:
+    """The OWN most frequent words, ties in order of the alphabet, and their dimensions."""
+    return {r["word"]: k for k, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(OWN).select("word").collect())}
+
 
 def healed(text: str) -> str:
     """Plain form with broken words in one piece."""
@@ -171,19 +195,14 @@ def links(counts: DataFrame) -> DataFrame:
     return pairs.where(~swapped & (F.length("a.word") >= least) & (F.length("b.word") >= MIN_LETTERS)).select(F.col("a.word").alias("word"), F.col("b.word").alias("fix"), F.col("a.n").alias("n"), F.col("b.n").alias("n_fix"))
 
 
-def _context_ids(hashes: np.ndarray, offset: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((hashes + np.uint64(offset + 8)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 9)).astype(np.int64)
-
-
-def neighbours(df: DataFrame, column: str, wanted: np.ndarray) -> DataFrame:
-    """(word, counts): for every word with its bit set in wanted, how often each class of neighbour stands at each of the
-    places before and after it; all occurrences in all texts. Sums are made per task, then by a hash of the word."""
+def neighbours(df: DataFrame, column: str, wanted: np.ndarray, frequent: object) -> DataFrame:
+    """(word, counts): for every word with its bit set in wanted, how often each dimension stands before and after it; all
+    occurrences in all texts. Sums are made per task, then by a hash of the word. frequent is a broadcast of frequent_words."""
     spark = df.sparkSession
     bits, shards = shared(spark, np.packbits(wanted)), 4 * tasks(spark)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, known = np.unpackbits(bits.value).astype(bool), Ids()
+        mask, known = np.unpackbits(bits.value).astype(bool), Ids(frequent.value)
         row_of, names = np.full(1024, -1), []
         table = np.zeros((1024, CONTEXTS), np.int32)
         checked = 0
@@ -192,8 +211,7 @@ def neighbours(df: DataFrame, column: str, wanted: np.ndarray) -> DataFrame:
             nonlocal row_of, checked
             blobs = [zlib.compress(table[i].tobytes(), 1) for i in range(len(names))]
             out = pa.record_batch([pa.array([known.seen[w] % shards for w in names], pa.int32()), pa.array(names, pa.string()), pa.array(blobs, pa.binary())], ["shard", "word", "counts"])
-            known.clear(), known.number.clear(), known.words.clear(), known.hashes.clear(), names.clear()
-            known.of("\n")
+            known.forget(), names.clear()
             row_of[:], table[:], checked = -1, 0, 0
             return out
 
@@ -217,11 +235,11 @@ def neighbours(df: DataFrame, column: str, wanted: np.ndarray) -> DataFrame:
                 ids = np.array(flat, np.int64)
                 rows = row_of[ids]
                 places = np.flatnonzero(rows >= 0)
-                h, cells = np.array(known.hashes, np.uint64), table.reshape(-1)
-                for offset in OFFSETS:
-                    context = _context_ids(h, offset)[np.roll(ids, -offset)[places]]
+                dims, cells = np.array(known.dims, np.int64), table.reshape(-1)
+                for k, offset in enumerate(OFFSETS):
+                    context = dims[np.roll(ids, -offset)[places]] + k * PLACES
                     np.add.at(cells, rows[places] * CONTEXTS + context, 1)
-                if len(names) > 30_000 or len(known) > 400_000:
+                if len(names) > PARTIAL_WORDS or len(known) > 400_000:
                     yield flush()
         if names:
             yield flush()
@@ -238,7 +256,7 @@ def neighbours(df: DataFrame, column: str, wanted: np.ndarray) -> DataFrame:
 
 
 def association(counts: np.ndarray, marginal: np.ndarray) -> np.ndarray:
-    """A word's skip-gram vector over the classes of neighbours: mutual information in nats, from its counts."""
+    """A word's skip-gram vector: mutual information in nats with each dimension, from its counts."""
     share = (counts + 0.5 * marginal) / (counts.sum() + 0.5)
     return np.log(share / marginal)
 
@@ -247,50 +265,65 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), np.int64)
 
 
-def marginals(counts: DataFrame) -> np.ndarray:
-    """The share of each class of neighbour among all places beside a word, from the counts of all words."""
+def marginals(counts: DataFrame, frequent: object) -> np.ndarray:
+    """The share of each dimension among all places beside a word, from the counts of all words."""
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, seen = np.zeros(CONTEXTS), Hashes()
+        out, seen = np.zeros(PLACES), Hashes()
         for batch in batches:
-            h = np.array([seen[w] for w in batch.column(0).to_pylist()], np.uint64)
-            for offset in OFFSETS:
-                out += np.bincount(_context_ids(h, offset), batch.column(1).to_numpy(), CONTEXTS)
-        yield pa.record_batch([pa.array(range(CONTEXTS), pa.int32()), pa.array(out)], ["k", "n"])
+            dims = [dimension(w, frequent.value, seen) for w in batch.column(0).to_pylist()]
+            out += np.bincount(np.array(dims, np.int64), batch.column(1).to_numpy(), PLACES)
+        yield pa.record_batch([pa.array(range(PLACES), pa.int32()), pa.array(out)], ["k", "n"])
 
     got = counts.select("word", "n").mapInArrow(part, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    out = np.ones(CONTEXTS)  # never zero
+    out = np.ones(PLACES)  # never zero
     for k, n in got:
         out[k] += n
-    return out / out.sum()
+    return np.tile(out / out.sum() / 2, 2)
 
 
-def misreadings(df: DataFrame, column: str) -> tuple[DataFrame, np.ndarray]:
-    """(word, fix) of the words that are misread in the texts, and a bit for each word that often stands before ("<" and the
-    word) or after (">") a number."""
+def misreadings(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame, object]:
+    """((word, reads), (side), frequent): the words that are misread in the texts with what each may read, best first: an
+    array of (fix, score, vector), vector only where there are several; the words that often stand before ("<" and the
+    word) or after (">") a number; a broadcast of the frequent words."""
     everything = cut_lineage(word_counts(df, column))
     counts = everything.where("word not rlike '^[<>]'")
     beside = everything.where("word rlike '^[<>]'").select(F.col("word").alias("side"), F.expr("substring(word, 2)").alias("word"), F.col("n").alias("k"))
-    number = bitmap(beside.join(counts, "word").where(F.col("k") >= NUMERIC * F.col("n")).select("side"), "side")
+    numeric = beside.join(counts, "word").where(F.col("k") >= NUMERIC * F.col("n")).select("side")
+    frequent = shared(df.sparkSession, frequent_words(counts))
     pairs = cut_lineage(links(counts))
     wanted = bitmap(pairs.select(F.explode(F.array("word", "fix")).alias("w")), "w")
-    vectors = cut_lineage(neighbours(df, column, wanted))
-    marginal = marginals(counts)
+    vectors = cut_lineage(neighbours(df, column, wanted, frequent))
+    marginal = marginals(counts, frequent)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, held = [], []
             for mine, theirs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = _unpacked(mine)
-                out.append(float(association(_unpacked(theirs), marginal) @ own / max(1, own.sum())))
+                own, vector = _unpacked(mine), association(_unpacked(theirs), marginal)
+                out.append(float(vector @ own / max(1, own.sum())))
+                held.append(vector.astype("<f2").tobytes())
             rest = [batch.column(i) for i in range(2, batch.num_columns)]
-            yield pa.record_batch([*rest, pa.array(out, pa.float64())], ["word", "fix", "n", "n_fix", "score"])
+            yield pa.record_batch([*rest, pa.array(out, pa.float64()), pa.array(held, pa.binary())], ["word", "fix", "n", "n_fix", "score", "vector"])
 
     joined = pairs.join(vectors, "word").join(vectors.select(F.col("word").alias("fix"), F.col("counts").alias("theirs")), "fix").select("counts", "theirs", "word", "fix", "n", "n_fix")
-    scored = joined.mapInArrow(score, "word string, fix string, n long, n_fix long, score double")
+    scored = joined.mapInArrow(score, "word string, fix string, n long, n_fix long, score double, vector binary")
     sure = (F.length("word") >= LONG) | F.col("word").rlike("[0-9@$|!]")
-    scored = scored.where(F.col("score") >= F.when(sure, MIN_ASSOCIATION_LONG).otherwise(MIN_ASSOCIATION))
-    best = scored.groupBy("word").agg(F.max_by("fix", F.struct("score", "n_fix", "fix")).alias("fix"), F.max("score").alias("score"))
-    return cut_lineage(best), number
+    scored = cut_lineage(scored.where(F.col("score") >= F.when(sure, MIN_ASSOCIATION_LONG).otherwise(MIN_ASSOCIATION)))
+    # what is misread itself is no reading: its own readings are among the word's
+    rooted = scored.join(scored.select(F.col("word").alias("fix")).distinct(), "fix", "left_anti")
+    reads = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), (-F.col("n_fix")).alias("rare"), "fix", "vector")))
+    best = rooted.groupBy("word").agg(reads.alias("r"))
+    alone = F.size("r") == 1
+    best = best.select("word", F.transform("r", lambda x: F.struct(x["fix"].alias("fix"), (-x["far"]).alias("score"), F.when(~alone, x["vector"]).alias("vector"))).alias("reads"))
+    return cut_lineage(best), cut_lineage(numeric), frequent
+
+
+def read_as(reads: list[dict], before: int, after: int) -> str:
+    """What an occurrence of a misread word reads, by the dimensions of the words beside it and its word's readings."""
+    if len(reads) == 1:
+        return reads[0]["fix"]
+    vectors = [np.frombuffer(r["vector"], "<f2") for r in reads]
+    return reads[int(np.argmax([r["score"] + float(v[before]) + float(v[PLACES + after]) for r, v in zip(reads, vectors)]))]["fix"]
 
 
 _MARKED = re.compile(r"(?:\(?(?:[a-z]{1,2}|[ivxlcdm]{1,6}|\d{1,3})[.)]|[-•*])\s", re.I)
@@ -356,26 +389,26 @@ def clipped_header(text: str, headers: list[str]) -> tuple[int, int] | None:
                     i, j = 0, CLIPPED
                     while j < len(h) and b < len(text) and text[b] == h[j]:
                         b, j = b + 1, j + 1
+                while h[i].isspace():  # a blank beside a piece is the text's
+                    a, i = a + 1, i + 1
+                while h[j - 1].isspace():
+                    b, j = b - 1, j - 1
                 if telling(h, i, j) and not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum()):
                     return a, b
                 at = text.find(probe, at + 1)
     return None
 
 
-def stamps(text: str, page: int | None, number: np.ndarray, seen: Hashes) -> list[tuple[int, int]]:
-    """Spans of page stamps and of bare page numbers inside the text."""
-    out = stamp_spans(text)
-    if page is None:
-        return out
-    for m in _NUMBER.finditer(text):
+def bare_numbers(text: str, page: int | None) -> list[tuple[int, int, str, str]]:
+    """Bare numbers between words that can be the page's: where they are, and the words before and after as sides."""
+    out = []
+    for m in _NUMBER.finditer(text) if page is not None else ():
         if abs(int(m.group()) - page) > 1 or text[m.start() - 1 : m.start()] not in (" ", "\n", "\t") or text[m.end() : m.end() + 1] not in (" ", "\n", "\t"):
             continue
         before, after = _BEFORE.search(text[max(0, m.start() - 40) : m.start()]), _AFTER.match(text, m.end())
         if before and after:
-            sides = "<" + before.group(1).lower(), ">" + after.group(1).lower()
-            if not any(number[seen[x] >> (64 - BITMAP_BITS)] for x in sides):
-                out.append(m.span())
-    return sorted(out)
+            out.append((*m.span(), "<" + before.group(1).lower(), ">" + after.group(1).lower()))
+    return out
 
 
 def stamp_spans(text: str) -> list[tuple[int, int]]:
@@ -392,101 +425,164 @@ LINES = pa.list_(pa.struct([("line", pa.string()), ("beside", pa.string())]))
 
 
 def noise(df: DataFrame, id: str, text: str, policy: str, page: str) -> DataFrame:
-    """One row per row of df: id, text, broken, stamp, header (flags), headers learned for the policy, and fixes, a map
-    of misread words to what they read. Null and empty texts have no noise; a null policy or page only goes without its clues."""
-    return _noise(df, id, text, policy, page)[0]
+    """One row per row of df: id, broken, stamp, header (flags), fixes: an array of a misread word, its occurrence among
+    those of the word in the text, and what it reads; headers: what is learned for the policy where the text has a header
+    or a piece of one; numbers: spans of bare page numbers in the healed text.
 
-
-def _noise(df: DataFrame, id: str, text: str, policy: str, page: str) -> tuple[DataFrame, object]:
-    """noise, and the broadcast bits of the words that numbers belong beside."""
+    Null and empty texts have no noise; a null policy or page only goes without its clues."""
     spark = df.sparkSession
     rows = df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(policy).alias("policy"), F.col(page).alias("page"))
-    linked, number = misreadings(rows, "text")
-    bits, beside = shared(spark, np.packbits(bitmap(linked, "word"))), shared(spark, np.packbits(number))
+    linked, numeric, frequent = misreadings(rows, "text")
+    bits = shared(spark, np.packbits(bitmap(linked, "word")))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, number, seen, known = np.unpackbits(bits.value).astype(bool), np.unpackbits(beside.value).astype(bool), Hashes(), Words()
+        mask, seen, known, common = np.unpackbits(bits.value).astype(bool), Hashes(), Words(), frequent.value
         odd: dict[str, bool] = {}
+
+        def suspects(p: str) -> list[dict]:
+            chunks, out, times = p.split(), [], Counter()
+            for i, c in enumerate(chunks):
+                hit = odd.get(c)
+                if hit is None:
+                    if len(odd) > 400_000:
+                        odd.clear()
+                    hit = odd[c] = any(mask[seen[w] >> (64 - BITMAP_BITS)] for w in known[c])
+                if hit:
+                    near = ["\n", *(w for x in chunks[max(0, i - 2) : i] for w in known[x]), *known[c], *(w for x in chunks[i + 1 : i + 3] for w in known[x]), "\n"]
+                    at = len(near) - 1 - sum(len(known[x]) for x in chunks[i + 1 : i + 3]) - len(known[c])
+                    for k, w in enumerate(known[c], at):
+                        if mask[seen[w] >> (64 - BITMAP_BITS)]:
+                            out.append({"word": w, "nth": times[w], "before": dimension(near[k - 1], common, seen), "after": dimension(near[k + 1], common, seen)})
+                            times[w] += 1
+            return out
+
         for batch in batches:
             out = []
             for t, page in zip(*(batch.column(c).to_pylist() for c in ("text", "page"))):
                 if not t:
-                    out.append((False, False, False, [], [], []))
+                    out.append((False, False, False, [], [], [], []))
                     continue
                 p = healed(t)
-                suspects = []
-                for c in p.split():
-                    hit = odd.get(c)
-                    if hit is None:
-                        if len(odd) > 400_000:
-                            odd.clear()
-                        hit = odd[c] = any(mask[seen[w] >> (64 - BITMAP_BITS)] for w in known[c])
-                    if hit:
-                        suspects += [w for w in known[c] if mask[seen[w] >> (64 - BITMAP_BITS)]]
                 header = cued(p)
-                rest = _HEADER.sub(" ", p) if header else p  # beside a whole header there may be a clipped one
+                rest = without_cued(p) if header else p  # beside a whole header there may be a clipped one
                 pieces = [] if p.isupper() else list({m.group() for m in _PIECE.finditer(rest) if m.end() - m.start() >= CLIPPED})
-                out.append((broken(t), bool(stamps(p, page, number, seen)), header, list(dict.fromkeys(suspects)), pieces, [{"line": a, "beside": b} for a, b in header_lines(p)]))
-            a, b, c, d, e, f = zip(*out)
-            flags = [pa.array(x, pa.bool_()) for x in (a, b, c)]
-            yield pa.record_batch([batch.column(0), batch.column(3), *flags, pa.array(d, pa.list_(pa.string())), pa.array(e, pa.list_(pa.string())), pa.array(f, LINES)], names)
-
-    names = ["id", "policy", "broken", "stamp", "header", "suspects", "pieces", "lines"]
-    found = cut_lineage(rows.select("id", "text", "page", "policy").where("text is not null").mapInArrow(look, "id long, policy string, broken boolean, stamp boolean, header boolean, suspects array<string>, pieces array<string>, lines array<struct<line: string, beside: string>>"))
-    fixes = found.select("id", F.explode("suspects").alias("word")).join(linked, "word").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "fix"))).alias("fixes"))
+                numbers = [dict(zip(("start", "end", "left", "right"), x)) for x in bare_numbers(p, page)]
+                out.append((broken(t), bool(stamp_spans(p)), header, suspects(p), pieces, [{"line": a, "beside": b} for a, b in header_lines(p)], numbers))
+            flags, rest = list(zip(*out))[:3], list(zip(*out))[3:]
+            types = (SUSPECTS, pa.list_(pa.string()), LINES, NUMBERS)
+            yield pa.record_batch([batch.column(0), batch.column(3), *(pa.array(x, pa.bool_()) for x in flags), *(pa.array(x, kind) for x, kind in zip(rest, types))], names)
+
+    names = ["id", "policy", "broken", "stamp", "header", "suspects", "pieces", "lines", "numbers"]
+    found = rows.select("id", "text", "page", "policy").where("text is not null").mapInArrow(
+        look,
+        "id long, policy string, broken boolean, stamp boolean, header boolean, suspects array<struct<word: string, nth: int, before: int, after: int>>, pieces array<string>,"
+        " lines array<struct<line: string, beside: string>>, numbers array<struct<start: int, end: int, left: string, right: string>>",
+    )
+    found = cut_lineage(found)
     heads = learned_headers(found)
-    match = F.arrow_udf(lambda p, h: pa.array([next((x for x in hs if clipped_header(t, [x])), None) for t, hs in zip(p.to_pylist(), h.to_pylist())], pa.string()), "string")
-    clipped = found.select("id", "policy", F.explode("pieces").alias("piece")).join(heads, "policy").select("id", match("piece", "headers").alias("clipped")).where("clipped is not null")
-    clipped = clipped.groupBy("id").agg(F.collect_set("clipped").alias("clipped"))
-    out = found.select("id", "broken", "stamp", "header").join(fixes, "id", "left").join(clipped, "id", "left")
-    return out.withColumn("header", F.col("header") | F.col("clipped").isNotNull()), beside
+    reading = F.arrow_udf(lambda r, a, b: pa.array([read_as(*x) for x in zip(r.to_pylist(), a.to_pylist(), b.to_pylist())], pa.string()), "string")
+    # one row an occurrence: a word that is misread very often is hot, so the few words are sent to the occurrences where they fit
+    fixes = found.select("id", F.explode("suspects").alias("s")).select("id", "s.*").join(linked, "word").select("id", "word", "nth", reading("reads", "before", "after").alias("fix"))
+    fixes = fixes.groupBy("id").agg(F.collect_list(F.struct("word", "nth", "fix")).alias("fixes"))
+    # a number belongs to the wording if either word beside it often has one
+    sides = found.select("id", F.explode("numbers").alias("x")).select("id", "x.*")
+    taken = sides.select("id", "start", F.explode(F.array("left", "right")).alias("side")).join(numeric, "side", "left_semi").select("id", "start").distinct()
+    bare = sides.join(taken, ["id", "start"], "left_anti").groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("numbers"))
+    match = F.arrow_udf(lambda p, h: pa.array([clipped_header(t, hs) is not None for t, hs in zip(p.to_pylist(), h.to_pylist())], pa.bool_()), "boolean")
+    clipped = found.select("id", "policy", F.explode("pieces").alias("piece")).join(heads, "policy").where(match("piece", "headers")).select("id", F.lit(True).alias("clipped")).distinct()
+    out = found.select("id", "policy", "broken", "stamp", "header").join(fixes, "id", "left").join(clipped, "id", "left").join(bare, "id", "left")
+    out = out.withColumn("header", F.col("header") | F.col("clipped").isNotNull()).withColumn("stamp", F.col("stamp") | F.col("numbers").isNotNull())
+    return out.join(heads.withColumnRenamed("policy", "p"), F.col("header") & (F.col("policy") == F.col("p")), "left").drop("p", "clipped", "policy")
+
+
+SUSPECTS = pa.list_(pa.struct([("word", pa.string()), ("nth", pa.int32()), ("before", pa.int32()), ("after", pa.int32())]))
+NUMBERS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("left", pa.string()), ("right", pa.string())]))
+NOISY = "broken or stamp or header or fixes is not null"
 
 
 def repaired(df: DataFrame, id: str, text: str, policy: str, page: str) -> DataFrame:
     """(id, text, repaired): the texts that have noise, and what they read without: words healed and corrected, headers
     and stamps dropped, lines reflowed except before list items. All other texts are clean as they are."""
-    found, beside = _noise(df, id, text, policy, page)
-    found = found.where("broken or stamp or header or fixes is not null")
-    both = found.join(df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(page).alias("page")), "id")
+    found = noise(df, id, text, policy, page).where(NOISY)
+    both = found.join(df.select(F.col(id).alias("id"), F.col(text).alias("text")), "id")
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, seen = np.unpackbits(beside.value).astype(bool), Hashes()
         for batch in batches:
-            out = [clean(t, dict(f or ()), c or [], p, number, seen) for t, f, c, p in zip(*(batch.column(c).to_pylist() for c in ("text", "fixes", "clipped", "page")))]
+            out = [clean(t, {(x["word"], x["nth"]): x["fix"] for x in f or ()}, h or [], [(x["start"], x["end"]) for x in n or ()]) for t, f, h, n in zip(*(batch.column(c).to_pylist() for c in ("text", "fixes", "headers", "numbers")))]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["id", "text", "repaired"])
 
-    return both.select("id", "text", "fixes", "clipped", "page").mapInArrow(repair, "id long, text string, repaired string")
+    return both.select("id", "text", "fixes", "headers", "numbers").mapInArrow(repair, "id long, text string, repaired string")
 
 
 _ITEM = re.compile(r"\n(?=\s*(?:\(?(?:[a-z]{1,2}|[ivxlcdm]{1,6}|\d{1,3})[.)]|[-•*])\s)")
 
 
-def without_stamps(text: str, page: int | None, number: np.ndarray, seen: Hashes) -> str:
-    """text without the spans of stamps(); those that overlap go as one."""
-    spans: list[tuple[int, int]] = []
-    for a, b in stamps(text, page, number, seen):
-        if spans and a < spans[-1][1]:
-            spans[-1] = spans[-1][0], max(b, spans[-1][1])
-        else:
-            spans.append((a, b))
-    for a, b in reversed(spans):
-        text = text[:a] + " " + text[b:]
-    return text
-
-
-def clean(text: str, fixes: dict[str, str], headers: list[str], page: int | None, number: np.ndarray, seen: Hashes) -> str:
-    """One text repaired: furniture and what stamps() finds out, words healed and corrected, lines reflowed."""
-    out = without_stamps(healed(text), page, number, seen)
-    if CUES.search(out):  # no header is without one, and the longer pattern is slow
-        out = _HEADER.sub(" ", out)
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without the spans, blanks instead; those that overlap go as one."""
+    kept, at = [], 0
+    for a, b in sorted(spans):
+        if b > at:
+            kept.append(text[at : max(a, at)])
+            at = b
+    return " ".join([*kept, text[at:]])
+
+
+_UPRIGHT = re.compile(r"(?:[A-Z(][^\s]*|[|–&-])$")
+_REST = re.compile(r"[^\s|]*(?:[ \t]*[|–-][ \t]*(?:\d{1,4}\b|(?i:CIN \S+)|(?i:customer information)|[A-Z]\S*))*")
+
+
+def without_cued(text: str) -> str:
+    """text without what is a header by its sign: the capitalised words that lead up to the sign on its line, six at
+    most, and what hangs on behind it by bars and dashes; the whole line where all of it looks like a header. Words of
+    the wording, in small letters, stay."""
+    spans = []
+    for m in CUES.finditer(text):
+        a = m.start()
+        line = text.rfind("\n", 0, a) + 1
+        end = text.find("\n", m.end()) if "\n" in text[m.end() :] else len(text)
+        if header_shaped(text[line:end].strip()):
+            spans.append((line, end))
+            continue
+        joined = a > line and not text[a - 1].isspace()
+        for k, w in enumerate(reversed(re.findall(r"[ \t]+|[^ \t]+", text[line:a]))):
+            if k > 13 or not (w.isspace() or joined or _UPRIGHT.match(w)):
+                break
+            a, joined = a - len(w), False
+        a += len(text[a : m.start()]) - len(text[a : m.start()].lstrip())
+        spans.append((a, _REST.match(text, m.end()).end()))
+    return without(text, spans)
+
+
+def clean(text: str, fixes: dict[tuple[str, int], str], headers: list[str], numbers: list[tuple[int, int]]) -> str:
+    """One text repaired: words healed and corrected, furniture out, lines reflowed. fixes has what the nth occurrence of
+    a word reads, headers the policy's forms, numbers the spans of bare page numbers in the healed text."""
+    out = healed(text)
+    seen: Counter = Counter()
+    spans, fixed, at = [*numbers, *stamp_spans(out)], [], 0
+    if fixes:  # before anything is cut, as occurrences are counted in the whole text; a sign in front keeps spans right
+        wrong = {w for w, _ in fixes}
+        for m in _WORD.finditer(out):
+            low = m.group().lower()
+            if low in wrong:
+                if (fix := fixes.get((low, seen[low]))) is not None:
+                    fixed.append((*m.span(), fix))
+                seen[low] += 1
+    pieces = []
+    for a, b, kind in sorted([*((a, b, None) for a, b in spans), *fixed], key=lambda x: x[:2]):
+        if a < at:
+            at = max(at, b) if kind is None else at
+            continue
+        w = out[a:b]
+        pieces += [out[at:a], " " if kind is None else kind.upper() if w.isupper() and len(w) > 1 else kind.capitalize() if w[:1].isupper() else kind]
+        at = b
+    out = "".join([*pieces, out[at:]])
+    for h in sorted(headers, key=len, reverse=True):
+        if h in out:
+            out = re.sub(re.escape(h) + r"(?:[ \t]*[|–-][ \t]*\d{1,4}\b)?", " ", out)
     while (span := clipped_header(out, headers)) is not None:
-        out = out[: span[0]] + out[span[1] :]
-    if fixes:
-        def fixed(m: re.Match) -> str:
-            w, fix = m.group(), fixes.get(m.group().lower())
-            return w if fix is None else fix.upper() if w.isupper() and len(w) > 1 else fix.capitalize() if w[:1].isupper() else fix
-
-        out = _WORD.sub(fixed, out)
-    out = without_stamps(out, page, number, seen)  # a number beside a header or a misread word shows only now
+        out = out[: span[0]] + " " + out[span[1] :]
+    if cued(out):
+        out = without_cued(out)
+    out = without(out, stamp_spans(out))  # a stamp beside a header shows only now
     items = [re.sub(r"\s+", " ", x).strip() for x in _ITEM.split(out)]
     return "\n".join(x for x in items if x)

@@ -41,7 +41,7 @@ def test_scan_noise(spark):
     found = {r["id"] for r in scans.noise(df, "id", "t", "p", "page").where("broken or stamp or header or fixes is not null").collect()}
     assert found == {100, 101, 102, 103, 104}
     fixed = {r["id"]: r["repaired"] for r in scans.repaired(df, "id", "t", "p", "page").collect()}
-    assert all(fixed[i] == clean for i in (100, 101, 102))
+    assert all(fixed[i] == clean for i in (100, 101, 102, 103, 104))
 
 
 def test_repair_cuts_all_that_is_found(spark):
@@ -58,6 +58,39 @@ def test_repair_cuts_all_that_is_found(spark):
     assert fixed[121] == clean
 
 
+def test_repair_keeps_the_wording(spark):
+    text = "the company shall pay the sum insured to the nominee within thirty days of the claim being filed under section nine"
+    words = text.split()
+    rng = random.Random(3)
+    rows = [(i, text, "p", 40 + i) for i in range(50)]
+    for i in range(50, 90):
+        k = rng.randrange(1, len(words) - 1)
+        noise = ["Acme Health Co. Ltd. Policy Wordings", "ACME HEALTH COMPANY LIMITED | POLICY WORDINGS", "\nAcme Health | Customer Information | CIN ZX12345\n", "\nPage 7 of 9\n", "\f7"][i % 5]
+        rows.append((i, " ".join([*words[:k], noise, *words[k:]]), "p", 7))
+    fixed = {r["id"]: r["repaired"] for r in scans.repaired(spark.createDataFrame(rows, "id long, t string, p string, page long"), "id", "t", "p", "page").collect()}
+    assert set(fixed) == set(range(50, 90)) and set(fixed.values()) == {text}
+
+
+def test_a_company_named_in_a_sentence_is_no_header(spark):
+    head = "Pol/Gold/V.8 Sahya Meadow Health"
+    say = ["notice to Sahya Meadow Health Company Limited is valid at the branch office", "the insured may write to Sahya Meadow Health about each claim", "3) Notice to Sahya Meadow Health Company Limited"]
+    rows = [(i, f"line {'abcdefghij'[i % 10]} ends here\n{head}\nand goes on for {'klmnopqrst'[i % 10]}", "p", 3) for i in range(10)] + [(20 + i, f"a line\n{t}\nanother line", "p", 3) for i, t in enumerate(say * 4)]
+    rows += [(50, "the claim is l/Gold/V.8 Sahya Meadow Health paid", "p", 3)]
+    df = spark.createDataFrame(rows, "id long, t string, p string, page long")
+    assert {r["id"] for r in scans.noise(df, "id", "t", "p", "page").where(scans.NOISY).collect()} == {*range(10), 50}
+
+
+def test_an_occurrence_reads_what_stands_beside_it():
+    frequent = {"long": 0, "paid": 1}
+    vectors = []
+    for near in ("long", "paid"):
+        v = np.full(scans.CONTEXTS, -1.0)
+        v[[frequent[near], scans.PLACES + frequent[near]]] = 3.0
+        vectors.append(v.astype("<f2").tobytes())
+    reads = [{"fix": "term", "score": 1.0, "vector": vectors[0]}, {"fix": "form", "score": 1.2, "vector": vectors[1]}]
+    assert scans.read_as(reads, 0, 0) == "term" and scans.read_as(reads, 1, 1) == "form" and scans.read_as(reads[:1], 1, 1) == "term"
+
+
 # --- problem 3
 
 
