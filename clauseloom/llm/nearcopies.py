@@ -25,9 +25,11 @@ from clauseloom.session import cut_lineage, tasks
 
 #: Cells of the table that orders sequences by frequency: 2**ORDER_BITS bytes, whatever the input.
 ORDER_BITS = 22
-#: Minima in the sketch, two bits of each: a pair at t = 0.5 has too few that agree with a chance under 1e-3, and of
-#: pairs that share little not one in ten thousand has enough.
-MINIMA = 96
+#: Minima in the sketch, two bits of each, and how many standard deviations below what a pair at the threshold has on
+#: average may agree: such a pair has fewer with a chance of some 3e-7. exact=True does without the sketch.
+MINIMA, DEVIATIONS = 128, 5.0
+#: Postings a bucket has on average at most; sets from which a sequence's postings are dealt into tiles.
+POSTINGS, HOT = 2_000_000, 1 << 19
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -94,30 +96,32 @@ def _needed(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
 
 
-_SEEDS = (mixed(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)).astype(np.uint32)
+_SEEDS = (mixed(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)).astype(np.uint16)
+_SHIFTS = (mixed(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Two bits for each of MINIMA minima over the set s: the first bits of 64, the second of them, both of the rest."""
+    """Two bits for each of MINIMA minima over the set s: the first bits of all in two words, then the second ones."""
     with np.errstate(over="ignore"):
-        x = (s ^ (s >> np.uint32(16)))[:, None] * _SEEDS[None, :]
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
-        low = x.min(0) * np.uint32(0x297A2D39)  # the least ones are alike in their first bits only
-    one, two = (low >> np.uint32(30) & np.uint32(1)).astype(np.uint8), (low >> np.uint32(31)).astype(np.uint8)
-    return np.packbits(np.concatenate([one[:64], two[:64], one[64:], two[64:]])).view("<u8")
+        x = (s ^ (s >> np.uint32(16))).astype(np.uint16)[:, None] * _SEEDS[None, :]
+        x += _SHIFTS[None, :]  # else 0 were the least of all by every seed
+        x ^= x >> np.uint16(7)
+        x *= np.uint16(0x2C1B)
+        x ^= x >> np.uint16(9)
+        x *= np.uint16(0x9E35)
+        low = x.min(0) * np.uint16(0xB525)  # the least ones are alike in their first bits only
+    return np.packbits(np.concatenate([low >> np.uint16(14) & np.uint16(1), low >> np.uint16(15)]).astype(np.uint8)).view("<u8")
 
 
 def unlike(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """How many minima differ in their bits, between sketches given as three arrays of words."""
-    rest = x[2] ^ y[2]
-    return np.bitwise_count((x[0] ^ y[0]) | (x[1] ^ y[1])) + np.bitwise_count((rest | rest >> np.uint64(32)) & np.uint64(0xFFFFFFFF))
+    """How many minima differ in their bits, between sketches given as four arrays of words."""
+    return np.bitwise_count((x[0] ^ y[0]) | (x[2] ^ y[2])) + np.bitwise_count((x[1] ^ y[1]) | (x[3] ^ y[3]))
 
 
 def agreeing(t: float) -> int:
-    """Minima that must agree: three and a third standard deviations below what a pair at t has."""
+    """Minima that must agree: DEVIATIONS standard deviations below what a pair at t has."""
     p = t + (1 - t) / 4
-    return math.floor(MINIMA * p - 3.35 * math.sqrt(MINIMA * p * (1 - p)))
+    return max(0, math.floor(MINIMA * p - DEVIATIONS * math.sqrt(MINIMA * p * (1 - p))))
 
 
 def groups(df: DataFrame, id: str, text: str, size: int, least: int) -> tuple[DataFrame, DataFrame]:
@@ -156,30 +160,56 @@ def maybe_in(few: DataFrame, column: str) -> Callable:
     return test
 
 
-def order_table(sets: DataFrame) -> np.ndarray:
-    """A byte a cell: how frequent the sequences of the cell are over all sets, an eighth of a power of two a step."""
+def order_table(sets: DataFrame) -> tuple[np.ndarray, int]:
+    """A byte a cell: how frequent the sequences of the cell are over all sets, an eighth of a power of two a step; and
+    how many sequences all sets hold."""
     def units(raw: list[bytes]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(raw), np.uint32).astype(np.uint64) << np.uint64(32)]
 
-    return np.rint(8 * np.log2(1.0 + hashed_counts(sets, "set", units, 1, ORDER_BITS)[0])).astype(np.uint8)
+    counts = hashed_counts(sets, "set", units, 1, ORDER_BITS)[0]
+    return np.rint(8 * np.log2(1.0 + counts)).astype(np.uint8), int(counts.sum())
 
 
-_DOC = np.dtype([("gid", "<i8"), ("size", "<u4"), ("sketch", "<u8", (3,))])
+_DOC = np.dtype([("gid", "<i8"), ("size", "<u4"), ("sketch", "<u8", (4,))])
 BLOCK = 20_000  # sets a task packs together; places of a block fit 16 bits
 #: Postings under one sequence from which they are compared as a whole block.
 DENSE = 32
 
 
-def candidates(sets: DataFrame, order: np.ndarray, t: float) -> DataFrame:
+def tiled(token: np.ndarray, place: np.ndarray, freq: np.ndarray, gid: int) -> tuple[np.ndarray, np.ndarray]:
+    """Postings of one set with those of hot sequences dealt into tiles. The sets of a sequence that more than HOT have
+    fall into parts; a tile has the postings of one or two parts, and its own name in place of the sequence. What is in
+    a tile of two is marked by its part, 1 or 2, above the place: only sets of different parts meet there."""
+    parts = np.ceil((2.0 ** (freq / 8) - 1) / HOT).astype(np.int64)
+    hot = np.flatnonzero(parts > 1)
+    if not len(hot):
+        return token, place
+    names, places = [np.delete(token, hot)], [np.delete(place, hot)]
+    for k in hot.tolist():
+        n, own = int(parts[k]), gid % int(parts[k])
+        other = np.arange(n)
+        low, high = np.minimum(own, other), np.maximum(own, other)
+        names.append((mixed(np.uint64(token[k]) << np.uint64(32) | (low * n + high).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32))
+        places.append(place[k] + np.where(other == own, 0, np.where(own == low, PLACE, 2 * PLACE)))
+    return np.concatenate(names), np.concatenate(places)
+
+
+#: Places are told apart up to here; what stands further back counts as standing here, which only lets more pass.
+PLACE = 1 << 14
+
+
+def candidates(sets: DataFrame, order: np.ndarray, total: int, t: float, exact: bool = False) -> DataFrame:
     """(a, b): pairs of groups that pass the prefix, size, place and sketch filters; a pair comes up to a few times.
 
     Blocks of sets are packed for each bucket of sequences: what a group needs for the filters is
-    shipped once per bucket, a posting takes eight bytes before compression. Buckets grow in number
-    with the session's shuffle partitions; a sequence met by very many sets is worked off in tiles,
-    and only if it is among the rarest of each of them.
+    shipped once per bucket, a posting takes eight bytes before compression. There are as many buckets
+    as postings need; a sequence that very many sets hold is dealt into tiles over the buckets. Of two
+    sets the place of the common sequence in the smaller one bounds the size of the larger, so only a
+    stretch of the sets in order of size is looked at.
     """
     spark = sets.sparkSession
-    table, buckets, limit = shared(spark, order), tasks(spark), MINIMA - agreeing(t)
+    table, limit = shared(spark, order), MINIMA - (0 if exact else agreeing(t))
+    buckets = tasks(spark, math.ceil((1 - t) * total / POSTINGS))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = table.value
@@ -198,7 +228,7 @@ def candidates(sets: DataFrame, order: np.ndarray, t: float) -> DataFrame:
                 if b > a:
                     used, mine = np.unique(doc[a:b], return_inverse=True)
                     step = np.diff(token[a:b], prepend=np.uint32(0))  # small numbers, which the shuffle's compression likes
-                    columns = step.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + mine.astype("<u2").tobytes() + np.minimum(place[a:b], 65535).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+                    columns = step.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + mine.astype("<u2").tobytes() + place[a:b].astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
                     keys.append(k)
                     blobs.append(np.array([len(used), b - a], "<u4").tobytes() + d[used].tobytes() + columns)
             for x in (docs, tokens, places, counts):
@@ -212,7 +242,8 @@ def candidates(sets: DataFrame, order: np.ndarray, t: float) -> DataFrame:
                 # by frequency, then by hash: s is sorted, so a stable sort keeps that
                 prefix = np.argsort(f, kind="stable")[: threshold_prefix(len(s), t)]
                 place = np.flatnonzero(f[prefix] > 8)  # a cell that counts one has one set: no partner
-                tokens.append(s[prefix[place]])
+                token, place = tiled(s[prefix[place]], np.minimum(place, PLACE - 1), f[prefix[place]], gid)
+                tokens.append(token)
                 places.append(place)
                 counts.append(len(place))
                 docs.append((gid, len(s), sketch(s)))
@@ -237,40 +268,49 @@ def candidates(sets: DataFrame, order: np.ndarray, t: float) -> DataFrame:
         size = sizes[doc]
         by = np.argsort(token.astype(np.uint64) << np.uint64(32) | size.astype(np.uint64))  # within a sequence from the smallest set up
         token, doc, place, size = token[by], doc[by], place[by], size[by]
-        marks = [np.ascontiguousarray(d["sketch"][:, w])[doc] for w in range(3)]
+        part, place = place // PLACE, place % PLACE
+        marks = [np.ascontiguousarray(d["sketch"][:, w])[doc] for w in range(4)]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         runs = np.diff(np.append(starts, len(token)))
+        # the larger set has at most size / t sequences, and so few that what is left of the smaller one is enough
+        most = np.minimum(size / t, (size - place) * ((1 + t) / t) - size) + 1e-6
+        keys = token.astype(np.float64) * 2.0**21 + np.minimum(size, 2**20)
+        upto = np.searchsorted(keys, token.astype(np.float64) * 2.0**21 + np.clip(most, 0, 2**20), "right")
+        upto = np.where(most >= 2**20, np.repeat(starts + runs, runs), upto)
         got: list[np.ndarray] = []
 
         def keep(left: np.ndarray, right: np.ndarray) -> None:
             """Of pairs of postings that agree by their sketches, left not larger than right: those that may be alike by
             size and by what is left after their places."""
             need = _needed(size[left], size[right], t)
-            ok = (size[left] >= t * size[right] - 1e-9) & (size[left] - place[left] >= need) & (size[right] - place[right] >= need)
+            meet = part[left] + part[right]
+            ok = (size[left] >= t * size[right] - 1e-9) & (size[left] - place[left] >= need) & (size[right] - place[right] >= need) & ((meet == 0) | (meet == 3))
             if ok.any():
                 got.append(distinct(doc[left[ok]].astype(np.int64) << 32 | doc[right[ok]]))
 
-        # short runs: all their pairs, listed
-        short = np.flatnonzero((runs > 1) & (runs < DENSE))
-        for group in np.array_split(short, max(1, int((runs[short] ** 2).sum() / 2 // TILE) + 1)):
-            n = runs[group]
-            row = np.repeat(starts[group], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            later = np.repeat(starts[group] + n, n) - row - 1
-            left = np.repeat(row, later)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(later) - later, later)
+        later = np.maximum(0, upto - np.arange(len(token)) - 1)
+        # short runs: their pairs, listed
+        short = np.flatnonzero((later > 0) & np.repeat(runs < DENSE, runs))
+        for group in np.array_split(short, max(1, int(later[short].sum() // TILE) + 1)):
+            n = later[group]
+            left = np.repeat(group, n)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
             close = unlike([m[left] for m in marks], [m[right] for m in marks]) <= limit
             keep(left[close], right[close])
-        # long runs: blocks against blocks
+        # long runs: blocks of postings that reach as far, against what they reach
         for k in np.flatnonzero(runs >= DENSE).tolist():
             a, b = int(starts[k]), int(starts[k] + runs[k])
-            for i in range(a, b, SIDE):
-                upto = int(np.searchsorted(size[a:b], size[min(i + SIDE, b) - 1] / t + 1e-6, "right")) + a
-                for j in range(i, upto, 16 * SIDE):
-                    x, y = slice(i, min(i + SIDE, b)), slice(j, min(j + 16 * SIDE, upto))
-                    left, right = np.nonzero(unlike([m[x, None] for m in marks], [m[None, y] for m in marks]) <= limit)
+            reach = np.flatnonzero(later[a:b] > 0) + a
+            reach = reach[np.argsort(upto[reach], kind="stable")]
+            for i in range(0, len(reach), SIDE):
+                mine = reach[i : i + SIDE]
+                x = [m[mine, None] for m in marks]
+                for j in range(int(mine.min()) + 1, int(upto[mine[-1]]), 16 * SIDE):
+                    y = slice(j, min(j + 16 * SIDE, int(upto[mine[-1]])))
+                    left, right = np.nonzero(unlike(x, [m[None, y] for m in marks]) <= limit)
                     if not len(left):
                         continue
-                    left, right = left + i, right + j
+                    left, right = mine[left], right + j
                     kept = left < right
                     keep(left[kept], right[kept])
         pairs = distinct(np.concatenate(got)) if got else np.zeros(0, np.int64)
@@ -283,14 +323,14 @@ def candidates(sets: DataFrame, order: np.ndarray, t: float) -> DataFrame:
 
 
 #: Postings in the shorter side of a block.
-SIDE = 192
+SIDE = 128
 #: Pairs of postings held at once.
 TILE = 2_000_000
 
 
-def alike_groups(sets: DataFrame, order: np.ndarray, t: float) -> DataFrame:
+def alike_groups(sets: DataFrame, t: float, exact: bool = False) -> DataFrame:
     """(a, b): pairs of different groups whose sets share at least t of their union, each once; verified on the whole sets."""
-    pairs = cut_lineage(candidates(sets, order, t).distinct())
+    pairs = cut_lineage(candidates(sets, *order_table(sets), t, exact).distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,17 +348,35 @@ def alike_groups(sets: DataFrame, order: np.ndarray, t: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def alike_pairs(df: DataFrame, id: str, text: str, t: float, size: int, least: int = 0) -> DataFrame:
+#: Members of a group that are joined as one block.
+MEMBERS = 1000
+
+
+def alike_pairs(df: DataFrame, id: str, text: str, t: float, size: int, least: int = 0, exact: bool = False) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of rows whose texts share at least t of their distinct runs of `size` words.
 
     Null texts and texts of fewer than `least` words have no pairs; rows with equal sets are pairs.
+    Pairs are found between groups and expanded last; a group of very many members in blocks, so that
+    none is a hot key. exact does without the sketch filter, which loses a pair at t itself once in
+    some millions; it compares far more.
     """
     sets, members = groups(df, id, text, size, least)
-    pairs = alike_groups(sets, order_table(sets), t)
-    across = pairs.join(members.select(F.col("gid").alias("a"), F.col("id").alias("i")), "a").join(members.select(F.col("gid").alias("b"), F.col("id").alias("j")), "b")
-    x, y = members.alias("x"), members.alias("y")
-    within = x.join(y, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("i"), F.col("y.id").alias("j"))
-    both = across.select("i", "j").unionAll(within)
+    pairs = alike_groups(sets, t, exact)
+    blocks = members.groupBy("gid").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / MEMBERS).cast("int"))
+    dealt = cut_lineage(members.join(blocks.where("n > 1"), "gid", "left").select("gid", "id", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    wide = dealt.where("block = 0").select("gid", "blocks").distinct().where("blocks > 1")
+
+    def side(pairs: DataFrame, c: str, to: str) -> DataFrame:
+        split = pairs.join(wide.select(F.col("gid").alias(c), "blocks"), c, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        return split.withColumn("block", every).join(dealt.select(F.col("gid").alias(c), F.col("id").alias(to), "block"), [c, "block"]).drop("blocks", "block")
+
+    across = side(side(pairs, "a", "i"), "b", "j")
+    many = dealt.join(blocks.where("n > 1").select("gid"), "gid", "left_semi")
+    x = many.select("gid", F.col("id").alias("i"), F.col("block").alias("k"), every.alias("l"))
+    y = many.select("gid", F.col("id").alias("j"), F.col("block").alias("l"), every.alias("k"))
+    within = x.join(y, ["gid", "k", "l"]).where("i < j")
+    both = across.select("i", "j").unionAll(within.select("i", "j"))
     return both.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
 
 
@@ -327,7 +385,7 @@ def classes(df: DataFrame, id: str, text: str, t: float = 0.8, size: int = 5, le
     over any number of alike texts, and how many other rows are alike to it directly. Copies are not expanded into pairs."""
     sets, members = groups(df, id, text, size, least)
     tops = cut_lineage(members.groupBy("gid").agg(F.min("id").alias("root"), F.count("*").alias("n")))
-    pairs = cut_lineage(alike_groups(sets, order_table(sets), t))
+    pairs = cut_lineage(alike_groups(sets, t))
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     beside = both.join(tops.select(F.col("gid").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others"))
     label = components(tops.select("gid", "root"), both)

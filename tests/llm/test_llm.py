@@ -114,7 +114,10 @@ def test_nearest_pairs_against_brute_force(spark):
 # --- problem 4
 
 
-def test_alike_pairs_against_brute_force(spark):
+@pytest.mark.parametrize("hot, members, exact", [(1 << 19, 1000, False), (8, 2, False), (1 << 19, 1000, True)])
+def test_alike_pairs_against_brute_force(spark, monkeypatch, hot, members, exact):
+    monkeypatch.setattr(nearcopies, "HOT", hot)
+    monkeypatch.setattr(nearcopies, "MEMBERS", members)
     rng = random.Random(1)
     words = [f"w{i}" for i in range(400)]
     base = [[rng.choice(words) for _ in range(40)] for _ in range(60)]
@@ -124,11 +127,14 @@ def test_alike_pairs_against_brute_force(spark):
         for _ in range(rng.randint(1, 6)):
             c[rng.randrange(40)] = "new"
         texts.append(" ".join(c))
-    texts += [texts[0], texts[0].upper(), "too short", None, ""]
+    texts += [" ".join(base[k] + base[59][:20]) for k in range(30, 50)]
+    texts += [texts[0], texts[0].upper(), texts[0] + ".", texts[0] + "!", "too short", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in enumerate(texts) if t and len(w := t.lower().split()) >= 20}
     want = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
-    assert {tuple(r) for r in nearcopies.alike_pairs(df, "id", "t", 0.5, 3, 20).collect()} == want
+    assert {tuple(r) for r in nearcopies.alike_pairs(df, "id", "t", 0.5, 3, 20, exact).collect()} == want
+    if hot == 8 or exact:
+        return
     got = {r["id"]: (r["class"], r["links"]) for r in nearcopies.classes(df, "id", "t", 0.5, 3, 20).collect()}
     assert set(got) == set(sets)
     assert all(got[i][0] == got[j][0] for i, j in want)
