@@ -26,8 +26,8 @@ from clauseloom.session import cut_lineage, tasks
 #: Cells of the table that orders sequences by frequency: 2**ORDER_BITS bytes, whatever the input.
 ORDER_BITS = 22
 #: Minima in the sketch, two bits of each, and how many standard deviations below what a pair at the threshold has on
-#: average may agree: such a pair has fewer with a chance of some 3e-7. exact=True does without the sketch.
-MINIMA, DEVIATIONS = 128, 5.0
+#: average may agree: such a pair has fewer with a chance of some 2e-6. exact=True does without the sketch.
+MINIMA, DEVIATIONS = 128, 4.4
 #: Postings a bucket has on average at most; sets from which a sequence's postings are dealt into tiles.
 POSTINGS, HOT = 2_000_000, 1 << 19
 WORD = re.compile(r"[^\W_]+")
@@ -86,11 +86,6 @@ class Sequences:
         return [both[cuts[i] : cuts[i + 1]] if n[i] >= self.least else None for i in range(len(n))]
 
 
-def threshold_prefix(n: int, t: float) -> int:
-    """Sequences of a set of n that must hold one in common with every set alike at t and no larger."""
-    return n - math.ceil(t * n) + 1
-
-
 def _needed(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     """Common sequences that two sets of sizes a and b need to be alike at t."""
     return np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
@@ -100,17 +95,26 @@ _SEEDS = (mixed(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB8
 _SHIFTS = (mixed(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Two bits for each of MINIMA minima over the set s: the first bits of all in two words, then the second ones."""
+def sketches(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Two bits for each of MINIMA minima over each of the sets, none empty, that lie one behind the other in tokens and
+    begin at starts: four words a set, the first bits of all, then the second ones."""
+    out = np.empty((len(starts), MINIMA), np.uint16)
+    small = (tokens ^ (tokens >> np.uint32(16))).astype(np.uint16)
+    ends = np.append(starts[1:], len(tokens))
+    for i in range(0, len(starts), 16):
+        a, b = int(starts[i]), int(ends[min(i + 16, len(starts)) - 1])
+        with np.errstate(over="ignore"):
+            x = small[a:b, None] * _SEEDS
+            x += _SHIFTS  # else 0 were the least of all by every seed
+            x ^= x >> np.uint16(7)
+            x *= np.uint16(0x2C1B)
+        out[i : i + 16] = np.minimum.reduceat(x, starts[i : i + 16] - a, axis=0)
     with np.errstate(over="ignore"):
-        x = (s ^ (s >> np.uint32(16))).astype(np.uint16)[:, None] * _SEEDS[None, :]
-        x += _SHIFTS[None, :]  # else 0 were the least of all by every seed
-        x ^= x >> np.uint16(7)
-        x *= np.uint16(0x2C1B)
-        x ^= x >> np.uint16(9)
-        x *= np.uint16(0x9E35)
-        low = x.min(0) * np.uint16(0xB525)  # the least ones are alike in their first bits only
-    return np.packbits(np.concatenate([low >> np.uint16(14) & np.uint16(1), low >> np.uint16(15)]).astype(np.uint8)).view("<u8")
+        low = out * np.uint16(0xB525)  # the least ones are alike in their first bits only
+        low ^= low >> np.uint16(8)
+        low *= np.uint16(0x9E35)
+    bits = np.concatenate([low >> np.uint16(14) & np.uint16(1), low >> np.uint16(15)], axis=1).astype(np.uint8)
+    return np.packbits(bits, axis=1).view("<u8")
 
 
 def unlike(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -176,22 +180,24 @@ BLOCK = 20_000  # sets a task packs together; places of a block fit 16 bits
 DENSE = 32
 
 
-def tiled(token: np.ndarray, place: np.ndarray, freq: np.ndarray, gid: int) -> tuple[np.ndarray, np.ndarray]:
-    """Postings of one set with those of hot sequences dealt into tiles. The sets of a sequence that more than HOT have
-    fall into parts; a tile has the postings of one or two parts, and its own name in place of the sequence. What is in
-    a tile of two is marked by its part, 1 or 2, above the place: only sets of different parts meet there."""
+def tiled(token: np.ndarray, place: np.ndarray, doc: np.ndarray, freq: np.ndarray, gid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings (token, place, doc) with those of hot sequences dealt into tiles. The sets of a sequence that more than HOT
+    have fall into parts; a tile has the postings of one or two parts, and its own name in place of the sequence. What is
+    in a tile of two is marked by its part, 1 or 2, above the place: only sets of different parts meet there."""
     parts = np.ceil((2.0 ** (freq / 8) - 1) / HOT).astype(np.int64)
     hot = np.flatnonzero(parts > 1)
     if not len(hot):
-        return token, place
-    names, places = [np.delete(token, hot)], [np.delete(place, hot)]
-    for k in hot.tolist():
-        n, own = int(parts[k]), gid % int(parts[k])
-        other = np.arange(n)
-        low, high = np.minimum(own, other), np.maximum(own, other)
-        names.append((mixed(np.uint64(token[k]) << np.uint64(32) | (low * n + high).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32))
-        places.append(place[k] + np.where(other == own, 0, np.where(own == low, PLACE, 2 * PLACE)))
-    return np.concatenate(names), np.concatenate(places)
+        return token, place, doc
+    n = parts[hot]
+    k, n = np.repeat(hot, n), np.repeat(n, n)
+    other = np.arange(len(k)) - np.repeat(np.cumsum(parts[hot]) - parts[hot], parts[hot])
+    own = gid[doc[k]] % n
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    with np.errstate(over="ignore"):
+        name = (mixed(token[k].astype(np.uint64) << np.uint64(32) | (low * n + high).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    cold = parts <= 1
+    side = np.where(other == own, 0, np.where(own == low, PLACE, 2 * PLACE))
+    return np.concatenate([token[cold], name]), np.concatenate([place[cold], place[k] + side]), np.concatenate([doc[cold], doc[k]])
 
 
 #: Places are told apart up to here; what stands further back counts as standing here, which only lets more pass.
@@ -211,46 +217,44 @@ def candidates(sets: DataFrame, order: np.ndarray, total: int, t: float, exact:
     table, limit = shared(spark, order), MINIMA - (0 if exact else agreeing(t))
     buckets = tasks(spark, math.ceil((1 - t) * total / POSTINGS))
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = table.value
-        docs, tokens, places, counts = [], [], [], []
-
-        def flush() -> pa.RecordBatch:
-            d, token, place = np.array(docs, _DOC), np.concatenate(tokens), np.concatenate(places)
-            doc = np.repeat(np.arange(len(docs), dtype=np.uint32), counts)
-            bucket = (token * np.uint32(2654435761) >> np.uint32(8)) % np.uint32(buckets)
-            by = np.argsort(bucket.astype(np.uint64) << np.uint64(32) | token)
-            bucket, token, doc, place = bucket[by], token[by], doc[by], place[by]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            keys, blobs = [], []
-            for k in range(buckets):
-                a, b = cuts[k], cuts[k + 1]
-                if b > a:
-                    used, mine = np.unique(doc[a:b], return_inverse=True)
-                    step = np.diff(token[a:b], prepend=np.uint32(0))  # small numbers, which the shuffle's compression likes
-                    columns = step.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + mine.astype("<u2").tobytes() + place[a:b].astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
-                    keys.append(k)
-                    blobs.append(np.array([len(used), b - a], "<u4").tobytes() + d[used].tobytes() + columns)
-            for x in (docs, tokens, places, counts):
-                x.clear()
-            return pa.record_batch([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+    def packed(gid: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
+        """The postings of a block of sets, for every bucket."""
+        tokens, n = np.frombuffer(b"".join(raw), np.uint32), np.array([len(x) // 4 for x in raw])
+        starts = np.cumsum(n) - n
+        docs = np.empty(len(n), _DOC)
+        docs["gid"], docs["size"], docs["sketch"] = gid, n, sketches(tokens, starts)
+        f, doc = table.value[tokens >> np.uint32(32 - ORDER_BITS)], np.repeat(np.arange(len(n)), n)
+        by = np.argsort(doc.astype(np.uint64) << np.uint64(40) | f.astype(np.uint64) << np.uint64(32) | tokens)  # rare ones first
+        place = np.arange(len(tokens)) - starts[doc]
+        f, tokens = f[by], tokens[by]
+        used = (place < (n - np.ceil(t * n - 1e-9) + 1)[doc]) & (f > 8)  # a cell that counts one has one set: no partner
+        token, place, doc = tiled(tokens[used], np.minimum(place[used], PLACE - 1), doc[used], f[used], gid)
+        bucket = (token * np.uint32(2654435761) >> np.uint32(8)) % np.uint32(buckets)
+        by = np.argsort(bucket.astype(np.uint64) << np.uint64(32) | token)
+        bucket, token, doc, place = bucket[by], token[by], doc[by], place[by]
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        keys, blobs = [], []
+        for k in range(buckets):
+            a, b = cuts[k], cuts[k + 1]
+            if b > a:
+                mine, number = np.unique(doc[a:b], return_inverse=True)
+                step = np.diff(token[a:b], prepend=np.uint32(0))  # small numbers, which the shuffle's compression likes
+                columns = step.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + number.astype("<u2").tobytes() + place[a:b].astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+                keys.append(k)
+                blobs.append(np.array([len(mine), b - a], "<u4").tobytes() + docs[mine].tobytes() + columns)
+        return pa.record_batch([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gids, raw = [], []
         for batch in batches:
-            for gid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = np.frombuffer(raw, np.uint32)
-                f = freq[s >> np.uint32(32 - ORDER_BITS)]
-                # by frequency, then by hash: s is sorted, so a stable sort keeps that
-                prefix = np.argsort(f, kind="stable")[: threshold_prefix(len(s), t)]
-                place = np.flatnonzero(f[prefix] > 8)  # a cell that counts one has one set: no partner
-                token, place = tiled(s[prefix[place]], np.minimum(place, PLACE - 1), f[prefix[place]], gid)
-                tokens.append(token)
-                places.append(place)
-                counts.append(len(place))
-                docs.append((gid, len(s), sketch(s)))
-                if len(docs) == BLOCK:
-                    yield flush()
-        if docs:
-            yield flush()
+            for g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                gids.append(g)
+                raw.append(x)
+                if len(raw) == BLOCK:
+                    yield packed(np.array(gids, np.int64), raw)
+                    gids, raw = [], []
+        if raw:
+            yield packed(np.array(gids, np.int64), raw)
 
     def join(key: tuple, pieces: pa.Table) -> pa.Table:
         docs, posts, base = [], [], 0
@@ -318,8 +322,7 @@ def candidates(sets: DataFrame, order: np.ndarray, total: int, t: float, exact:
         kept = a != b
         return pa.table({"a": np.minimum(a, b)[kept], "b": np.maximum(a, b)[kept]})
 
-    packed = sets.mapInArrow(post, "bucket int, blob binary")
-    return packed.groupBy("bucket").applyInArrow(join, "a long, b long")
+    return sets.mapInArrow(post, "bucket int, blob binary").groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
 #: Postings in the shorter side of a block.
@@ -362,20 +365,26 @@ def alike_pairs(df: DataFrame, id: str, text: str, t: float, size: int, least: i
     """
     sets, members = groups(df, id, text, size, least)
     pairs = alike_groups(sets, t, exact)
-    blocks = members.groupBy("gid").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / MEMBERS).cast("int"))
-    dealt = cut_lineage(members.join(blocks.where("n > 1"), "gid", "left").select("gid", "id", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block")))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    wide = dealt.where("block = 0").select("gid", "blocks").distinct().where("blocks > 1")
+    many = members.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1")
+    wide = cut_lineage(many.where(F.col("n") > MEMBERS).select("gid", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks")))
+    keys, every = ["gid"], F.lit(0)
+    if not wide.isEmpty():
+        members = members.join(wide, "gid", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        keys, every = ["gid", "k", "l"], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
 
     def side(pairs: DataFrame, c: str, to: str) -> DataFrame:
+        """pairs with the members of a group as column to, one block of them at a time."""
+        if keys == ["gid"]:
+            return pairs.join(members.select(F.col("gid").alias(c), F.col("id").alias(to)), c)
         split = pairs.join(wide.select(F.col("gid").alias(c), "blocks"), c, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        return split.withColumn("block", every).join(dealt.select(F.col("gid").alias(c), F.col("id").alias(to), "block"), [c, "block"]).drop("blocks", "block")
+        return split.withColumn("block", every).join(members.select(F.col("gid").alias(c), F.col("id").alias(to), "block"), [c, "block"]).drop("blocks", "block")
 
     across = side(side(pairs, "a", "i"), "b", "j")
-    many = dealt.join(blocks.where("n > 1").select("gid"), "gid", "left_semi")
-    x = many.select("gid", F.col("id").alias("i"), F.col("block").alias("k"), every.alias("l"))
-    y = many.select("gid", F.col("id").alias("j"), F.col("block").alias("l"), every.alias("k"))
-    within = x.join(y, ["gid", "k", "l"]).where("i < j")
+    copies = members.join(many.select("gid"), "gid", "left_semi")
+    x, y = copies.withColumnRenamed("id", "i"), copies.withColumnRenamed("id", "j")
+    if keys != ["gid"]:
+        x, y = x.withColumn("l", every).withColumnRenamed("block", "k"), y.withColumn("k", every).withColumnRenamed("block", "l")
+    within = x.select(*keys, "i").join(y.select(*keys, "j"), keys).where("i < j")
     both = across.select("i", "j").unionAll(within.select("i", "j"))
     return both.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
 
