@@ -26,8 +26,8 @@ from clauseloom.session import cut_lineage, tasks
 #: Cells of the table that orders sequences by frequency: 2**ORDER_BITS bytes, whatever the input.
 ORDER_BITS = 22
 #: Minima in the sketch, two bits of each, and how many standard deviations below what a pair at the threshold has on
-#: average may agree: such a pair has fewer with a chance of some 2e-6. exact=True does without the sketch.
-MINIMA, DEVIATIONS = 128, 4.4
+#: average may agree: such a pair has fewer with a chance of some 3e-5. exact=True does without the sketch.
+MINIMA, DEVIATIONS = 128, 4.0
 #: Postings a bucket has on average at most; sets from which a sequence's postings are dealt into tiles.
 POSTINGS, HOT = 2_000_000, 1 << 19
 WORD = re.compile(r"[^\W_]+")
@@ -361,7 +361,7 @@ def alike_pairs(df: DataFrame, id: str, text: str, t: float, size: int, least: i
     Null texts and texts of fewer than `least` words have no pairs; rows with equal sets are pairs.
     Pairs are found between groups and expanded last; a group of very many members in blocks, so that
     none is a hot key. exact does without the sketch filter, which loses a pair at t itself once in
-    some millions; it compares far more.
+    some thirty thousand; it compares far more.
     """
     sets, members = groups(df, id, text, size, least)
     pairs = alike_groups(sets, t, exact)
