@@ -107,19 +107,19 @@ def hashed_counts(df: DataFrame, column: str, units: Callable[[list[str]], list[
                 for s in range(spans):
                     piece = table[c, s * width : (s + 1) * width]
                     keys.append(c * spans + s)
-                    blobs.append(zlib.compress(piece.astype("<u4" if piece.max() < 2**32 else "<u8").tobytes(), 1))
-            yield pa.record_batch([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["k", "blob"])
+                    blobs.append(zlib.compress(piece.astype("<u4").tobytes(), 1))
+            yield pa.record_batch([pa.array(keys, pa.int32()), pa.array([_group()] * len(keys), pa.int32()), pa.array(blobs, pa.binary())], ["k", "g", "blob"])
 
     def total(pieces: pa.Table) -> pa.Table:
         out = np.zeros(width, np.int64)
         for blob in pieces["blob"].to_pylist():
             raw = zlib.decompress(blob)
-            out += np.frombuffer(raw, "<u4" if len(raw) == 4 * width else "<u8")
+            out += np.frombuffer(raw, "<u4" if len(raw) == 4 * width else "<i8")
         return pa.table({"k": pieces["k"][:1], "blob": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
 
-    partial = df.select(column).mapInArrow(part, "k int, blob binary")
+    partial = df.select(column).mapInArrow(part, "k int, g int, blob binary")
     result = np.zeros((channels, cells), np.int64)
-    for k, blob in partial.groupBy("k").applyInArrow(total, "k int, blob binary").collect():
+    for k, blob in _merged(partial, total, "k int, blob binary").collect():
         result[k // spans, k % spans * width : (k % spans + 1) * width] = np.frombuffer(zlib.decompress(blob), "<i8")
     return result
 
@@ -129,21 +129,52 @@ def shared(spark: SparkSession, value: object) -> object:
     return spark.sparkContext.broadcast(value)
 
 
+#: Parts of a bit map, summed apart.
+PARTS = 16
+
+
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """A bit for the hash of every value of column, in a map of fixed size."""
+    """A bit for the hash of every value of column, in a map of fixed size; whole numbers are hashes themselves. Parts of
+    the map meet by their place, first those of neighbouring tasks, so that no task reads one of every other."""
+    number = dict(df.dtypes)[column] == "bigint"
+    width = 1 << BITMAP_BITS >> 3
+    width //= PARTS
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.zeros(1 << BITMAP_BITS, bool), Hashes()
+        bits, seen, any_row = np.zeros(1 << BITMAP_BITS, bool), Hashes(), False
         for batch in batches:
-            for w in batch.column(0).to_pylist():
-                bits[seen[w] >> (64 - BITMAP_BITS)] = True
-        yield pa.record_batch([pa.array([0]), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["k", "bits"])
+            any_row |= batch.num_rows > 0
+            values = batch.column(0)
+            at = values.to_numpy().view(np.uint64) if number else np.array([seen[w] for w in values.to_pylist()], np.uint64)
+            bits[at >> np.uint64(64 - BITMAP_BITS)] = True
+        if any_row:
+            packed = np.packbits(bits).reshape(PARTS, width)
+            used = np.flatnonzero(packed.any(1))
+            yield pa.record_batch([pa.array(used), pa.array([_group()] * len(used), pa.int32()), pa.array([zlib.compress(packed[k].tobytes(), 1) for k in used], pa.binary())], ["k", "g", "bits"])
 
     def either(pieces: pa.Table) -> pa.Table:
-        out = np.zeros(1 << BITMAP_BITS >> 3, np.uint8)
+        out = np.zeros(width, np.uint8)
         for x in pieces["bits"].to_pylist():
             out |= np.frombuffer(zlib.decompress(x), np.uint8)
         return pa.table({"k": pieces["k"][:1], "bits": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
 
-    got = df.select(column).mapInArrow(part, "k long, bits binary").groupBy("k").applyInArrow(either, "k long, bits binary").collect()
-    return np.unpackbits(np.frombuffer(zlib.decompress(got[0]["bits"]), np.uint8)).astype(bool) if got else np.zeros(1 << BITMAP_BITS, bool)
+    parts = df.select(column).mapInArrow(part, "k long, g int, bits binary")
+    out = np.zeros((PARTS, width), np.uint8)
+    for k, x in _merged(parts, either, "k long, bits binary").collect():
+        out[k] = np.frombuffer(zlib.decompress(x), np.uint8)
+    return np.unpackbits(out.reshape(-1)).astype(bool)
+
+
+#: Tasks whose partial tables are summed together first.
+TOGETHER = 128
+
+
+def _group() -> int:
+    from pyspark import TaskContext
+
+    return (TaskContext.get().partitionId() if TaskContext.get() else 0) // TOGETHER
+
+
+def _merged(parts: DataFrame, total: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """parts (k, g, blob) summed by k, those of TOGETHER neighbouring tasks first."""
+    return parts.groupBy("k", "g").applyInArrow(total, schema).groupBy("k").applyInArrow(total, schema)

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions.plain import plain
-from clauseloom.llm.common import BITMAP_BITS, Hashes, bitmap, distinct, hashed_counts, mixed, shared
-from clauseloom.session import cut_lineage, tasks
+from clauseloom.llm.common import BITMAP_BITS, bitmap, distinct, hashed_counts, mixed, shared
+from clauseloom.session import cut_lineage
 
 #: Cells of the table that orders sequences by frequency: 2**ORDER_BITS bytes, whatever the input.
 ORDER_BITS = 22
@@ -129,7 +129,7 @@ def agreeing(t: float) -> int:
 
 
 def groups(df: DataFrame, id: str, text: str, size: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """((gid, set), (gid, id)): the distinct sets with their hash as gid, and who has them. Null and short texts are in none."""
+    """((gid, set), (id, gid, set)): the distinct sets with their hash as gid, and who has them. Null and short texts are in none."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequences = Sequences(size, least)
         for batch in batches:
@@ -149,17 +149,18 @@ def groups(df: DataFrame, id: str, text: str, size: int, least: int) -> tuple[Da
     # what only shares a bit with a repeated set is no repetition
     alone = made.where(again("gid")).join(twice.select("gid"), "gid", "left_anti")
     sets = made.where(~again("gid")).select("gid", "set").unionAll(first.select("gid", "set")).unionAll(alone.select("gid", "set"))
-    return sets, made.select("gid", "id")
+    return sets, made
 
 
-def maybe_in(few: DataFrame, column: str) -> Callable:
-    """A test in columns for values of few, by a bit map of fixed size: no for most that are not there, yes for all that are."""
-    bits = shared(few.sparkSession, np.packbits(bitmap(few.select(F.col(column).cast("string").alias(column)), column)))
+def maybe_in(few: DataFrame, gid: str) -> Callable:
+    """A test in columns for values of few, which are hashes, by a bit map of fixed size: no for most that are not there, yes
+    for all that are."""
+    bits = shared(few.sparkSession, np.packbits(bitmap(few, gid)))
 
     @F.arrow_udf("boolean")
     def test(values: pa.Array) -> pa.Array:
-        mask, seen = np.unpackbits(bits.value).astype(bool), Hashes()
-        return pa.array([bool(mask[seen[str(v)] >> (64 - BITMAP_BITS)]) for v in values.to_pylist()], pa.bool_())
+        at = values.to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+        return pa.array(bits.value[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1 > 0)
 
     return test
 
@@ -177,7 +178,7 @@ def order_table(sets: DataFrame) -> tuple[np.ndarray, int]:
 _DOC = np.dtype([("gid", "<i8"), ("size", "<u4"), ("sketch", "<u8", (4,))])
 BLOCK = 20_000  # sets a task packs together; places of a block fit 16 bits
 #: Postings under one sequence from which they are compared as a whole block.
-DENSE = 32
+DENSE = 128
 
 
 def tiled(token: np.ndarray, place: np.ndarray, doc: np.ndarray, freq: np.ndarray, gid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,7 +216,7 @@ def candidates(sets: DataFrame, order: np.ndarray, total: int, t: float, exact:
     """
     spark = sets.sparkSession
     table, limit = shared(spark, order), MINIMA - (0 if exact else agreeing(t))
-    buckets = tasks(spark, math.ceil((1 - t) * total / POSTINGS))
+    buckets = max(1, math.ceil((1 - t) * total / POSTINGS))
 
     def packed(gid: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
         """The postings of a block of sets, for every bucket."""
@@ -280,7 +281,8 @@ def candidates(sets: DataFrame, order: np.ndarray, total: int, t: float, exact:
         most = np.minimum(size / t, (size - place) * ((1 + t) / t) - size) + 1e-6
         keys = token.astype(np.float64) * 2.0**21 + np.minimum(size, 2**20)
         upto = np.searchsorted(keys, token.astype(np.float64) * 2.0**21 + np.clip(most, 0, 2**20), "right")
-        upto = np.where(most >= 2**20, np.repeat(starts + runs, runs), upto)
+        upto = np.where(most >= 2**20, np.repeat(starts + runs, runs), upto).astype(np.int32)
+        del keys, most, by, docs, posts
         got: list[np.ndarray] = []
 
         def keep(left: np.ndarray, right: np.ndarray) -> None:
@@ -292,7 +294,7 @@ def candidates(sets: DataFrame, order: np.ndarray, total: int, t: float, exact:
             if ok.any():
                 got.append(distinct(doc[left[ok]].astype(np.int64) << 32 | doc[right[ok]]))
 
-        later = np.maximum(0, upto - np.arange(len(token)) - 1)
+        later = np.maximum(0, upto - np.arange(len(token), dtype=np.int32) - 1)
         # short runs: their pairs, listed
         short = np.flatnonzero((later > 0) & np.repeat(runs < DENSE, runs))
         for group in np.array_split(short, max(1, int(later[short].sum() // TILE) + 1)):
@@ -331,9 +333,10 @@ SIDE = 128
 TILE = 2_000_000
 
 
-def alike_groups(sets: DataFrame, t: float, exact: bool = False) -> DataFrame:
-    """(a, b): pairs of different groups whose sets share at least t of their union, each once; verified on the whole sets."""
-    pairs = cut_lineage(candidates(sets, *order_table(sets), t, exact).distinct())
+def alike_groups(sets: DataFrame, made: DataFrame, t: float, exact: bool = False) -> DataFrame:
+    """(a, b): pairs of different groups whose sets share at least t of their union, each once; verified on the whole sets.
+    sets has each set once, made every member's (gid, set)."""
+    pairs = cut_lineage(candidates(sets, *order_table(made), t, exact).distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,7 +349,7 @@ def alike_groups(sets: DataFrame, t: float, exact: bool = False) -> DataFrame:
             yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
-    few = cut_lineage(sets.where(maybe_in(needed, "gid")("gid")).join(needed, "gid", "left_semi"))
+    few = made.where(maybe_in(needed, "gid")("gid")).join(needed, "gid", "left_semi").groupBy("gid").agg(F.first("set").alias("set"))
     left, right = few.select(F.col("gid").alias("a"), F.col("set").alias("x")), few.select(F.col("gid").alias("b"), F.col("set").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
@@ -363,8 +366,8 @@ def alike_pairs(df: DataFrame, id: str, text: str, t: float, size: int, least: i
     none is a hot key. exact does without the sketch filter, which loses a pair at t itself once in
     some thirty thousand; it compares far more.
     """
-    sets, members = groups(df, id, text, size, least)
-    pairs = alike_groups(sets, t, exact)
+    sets, made = groups(df, id, text, size, least)
+    pairs, members = alike_groups(sets, made, t, exact), made.select("gid", "id")
     many = members.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1")
     wide = cut_lineage(many.where(F.col("n") > MEMBERS).select("gid", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks")))
     keys, every = ["gid"], F.lit(0)
@@ -392,9 +395,10 @@ def alike_pairs(df: DataFrame, id: str, text: str, t: float, size: int, least: i
 def classes(df: DataFrame, id: str, text: str, t: float = 0.8, size: int = 5, least: int = 0) -> DataFrame:
     """(id, class, links): one row per row of df with a text of at least `least` words: the least id that is linked to it
     over any number of alike texts, and how many other rows are alike to it directly. Copies are not expanded into pairs."""
-    sets, members = groups(df, id, text, size, least)
+    sets, made = groups(df, id, text, size, least)
+    members = made.select("gid", "id")
     tops = cut_lineage(members.groupBy("gid").agg(F.min("id").alias("root"), F.count("*").alias("n")))
-    pairs = cut_lineage(alike_groups(sets, t))
+    pairs = cut_lineage(alike_groups(sets, made, t))
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     beside = both.join(tops.select(F.col("gid").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others"))
     label = components(tops.select("gid", "root"), both)
