@@ -1,16 +1,16 @@
 """P6: texts that were cut off, mid-word or mid-sentence.
 
-A text without an end is held against longer copies elsewhere: values are sorted, and a value that
-is a strict prefix of the next one was cut where the longer one goes on. Where no longer copy
-exists, the corpus says how its last words go on: a last word that occurs nowhere else is half a
-word, and last words that elsewhere never end a sentence are in mid-sentence. A source's length
-limit and the marks a cut leaves count too.
+Every text without an end is held against longer copies elsewhere: values are sorted, and a value that
+is a strict prefix of the next one was cut where the longer one goes on. Most cut texts have no longer
+copy; for them the corpus says how their last words go on: a last word that occurs nowhere else is
+half a word, and last words that elsewhere never end a sentence are in mid-sentence. How often they
+occur is counted over all texts, exactly. A source's length limit and the marks a cut leaves count too.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clauseloom.functions.plain import INVISIBLE, plain
-from clauseloom.llm.common import BITMAP_BITS, Hashes, bitmap, hashed_counts, mixed, shared
+from clauseloom.llm.common import BITMAP_BITS, bitmap, mixed, shared
 from clauseloom.session import cut_lineage
 
-BITS = 21
 #: Sentences must end after the last words in at least this share of their occurrences for the text to be whole.
 END_SHARE = 0.02
 #: Shortest prefix, in letters and digits, for which a longer copy is looked for.
@@ -92,25 +91,43 @@ def _grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return mixed(h), g2, mixed(g2 + two * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _channels() -> Callable[[list[str]], list[np.ndarray]]:
-    chunks = Chunks()
+#: Occurrences a task holds before it sums them: bounds its memory, changes no result.
+HELD = 1_000_000
 
-    def of(texts: list[str]) -> list[np.ndarray]:
-        """For one, two and three units: their hashes where something follows, and where a sentence ends."""
-        h, ends, last = chunks.units(texts)
-        seen = ends | ~last  # what stops without an end is what is to be judged, not evidence
-        return [x for g in _grams(h) for x in (g[seen], g[ends])]
 
-    return of
+def run_counts(df: DataFrame, column: str, asked: DataFrame) -> DataFrame:
+    """(key, seen, ends): how often each asked run of one, two or three units (key, a hash of 64 bits) occurs before another
+    unit or an end, and before an end, over all texts. A bit map of fixed size rules out most other runs where the texts
+    are; what it lets through is counted too and joins nothing."""
+    bits = shared(df.sparkSession, np.packbits(bitmap(asked, "key")))
 
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask, chunks = np.unpackbits(bits.value).astype(bool), Chunks()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
 
-def end_counts(df: DataFrame, column: str) -> np.ndarray:
-    """How often one, two and three units occur before another one and before an end, over all texts: one byte a cell,
-    an eighth of a power of two a step, so that the table an executor gets has 6 * 2**BITS bytes."""
-    return np.rint(8 * np.log2(1.0 + hashed_counts(df, column, _channels(), 6, BITS))).astype(np.uint8)
+        def flush() -> pa.RecordBatch:
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            n, e = np.bincount(at, minlength=len(keys)), np.bincount(at, np.concatenate([e for _, e in held]), len(keys)).astype(np.int64)
+            held.clear()
+            return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(e)], ["key", "seen", "ends"])
 
-
-_COUNT = 2.0 ** (np.arange(256) / 8) - 1
+        for batch in batches:
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            for at in range(0, len(texts), 2000):
+                h, ends, last = chunks.units(texts[at : at + 2000])
+                seen = ends | ~last  # what stops without an end is what is to be judged, not evidence
+                for g in _grams(h):
+                    ok = seen & mask[g >> np.uint64(64 - BITMAP_BITS)]
+                    held.append((g[ok], ends[ok]))
+                    waiting += int(ok.sum())
+                if waiting > HELD:
+                    yield flush()
+                    waiting = 0
+        if held:
+            yield flush()
+
+    return df.select(column).mapInArrow(part, "key long, seen long, ends long").groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
 
 
 def tail_of(text: str) -> tuple[str, bool]:
@@ -123,51 +140,45 @@ def tail_of(text: str) -> tuple[str, bool]:
 MARK_CHARS = 24
 
 
-def verdicts(tails: list[str], counts: np.ndarray, chunks: Chunks) -> list[str]:
-    """Of each text's last characters: 'whole', 'marked', 'word' (half a word) or 'sentence' (mid-sentence), by the text
-    and the corpus alone."""
-    out, asked = [], []
-    for text in tails:
-        bare, marked = tail_of(text)
-        if not bare:
-            out.append("whole")
-        elif marked and (not _END.search(bare[-8:]) or text.rstrip().endswith("]")):
-            out.append("marked")
-        elif _END.search(bare[-8:]) or bare[-1] in ")]”\"%" or bare.endswith("/-") or _ADDRESS.search(bare[-100:]):
-            out.append("whole")
-        elif bare[-1] in ",;:-–—(“[/&+":
-            out.append("sentence")
-        else:
-            asked.append((len(out), bare))
-            out.append("")
-    if not asked:
-        return out
-    h, _, last = chunks.units([bare[-TAIL:] for _, bare in asked])
-    at = np.flatnonzero(last)
-    length = np.diff(at, prepend=-1) - 1
-    shift = np.uint64(64 - BITS)
-    seen = [(_COUNT[counts[2 * i, g[at] >> shift]], _COUNT[counts[2 * i + 1, g[at] >> shift]]) for i, g in enumerate(_grams(h))]
-    (t1, e1), (t2, e2), (t3, e3) = seen
-    t2, e2 = np.minimum(t1, t2), np.minimum(e1, e2)  # cells are shared: a longer run is never more frequent than a shorter one
-    t3, e3 = np.minimum(t2, t3), np.minimum(e2, e3)
-    for i, (k, bare) in enumerate(asked):
-        line = bare[bare.rfind("\n") + 1 :]
-        if t1[i] < 1.9:
-            out[k] = "word"
-        elif t2[i] >= 1.9 and len(line) < 80 and len(line.split()) <= ROW_WORDS:
-            out[k] = "whole"  # a heading or a row
-        elif t2[i] < 1.9:
-            out[k] = "whole" if 2 * e1[i] >= t1[i] and length[i] > 2 else "sentence"
-        else:
-            total, ends = (t3[i], e3[i]) if t3[i] >= 5 else (t2[i], e2[i])
-            out[k] = "whole" if ends and ends >= END_SHARE * total else "sentence"
-    return out
-
-
-def _norm(text: str) -> Column:
+def first_verdict(text: str) -> tuple[str, str]:
+    """Of a text's last characters 'whole', 'marked' or 'sentence' (mid-sentence) by themselves, or '' where the corpus has
+    to be asked; and the text without a cut's mark."""
+    bare, marked = tail_of(text)
+    if not bare:
+        return "whole", bare
+    if marked and (not _END.search(bare[-8:]) or text.rstrip().endswith("]")):
+        return "marked", bare
+    if _END.search(bare[-8:]) or bare[-1] in ")]”\"%" or bare.endswith("/-") or _ADDRESS.search(bare[-100:]):
+        return "whole", bare
+    return ("sentence" if bare[-1] in ",;:-–—(“[/&+" else ""), bare
+
+
+def is_row(bare: str) -> bool:
+    """Whether the last line of a text is short as a heading or a table row is."""
+    line = bare[bare.rfind("\n") + 1 :]
+    return len(line) < 80 and len(line.split()) <= ROW_WORDS
+
+
+def asked_verdict(n: Column, e: Column) -> Column:
+    """'whole', 'word' (half a word) or 'sentence' of a text by how often its last one, two and three units occur (n, arrays of
+    three) and end a sentence (e); columns is_row and units say the rest."""
+    t1, t2, t3 = (n[i] for i in range(3))
+    total, ends = F.when(t3 >= 5, t3).otherwise(t2), F.when(t3 >= 5, e[2]).otherwise(e[1])
+    often = F.when((ends > 0) & (ends >= END_SHARE * total), "whole").otherwise("sentence")
+    rare = F.when((2 * e[0] >= t1) & (F.col("units") > 2), "whole").otherwise("sentence")
+    return F.when(t1 < 2, "word").when((t2 >= 2) & F.col("is_row"), "whole").when(t2 < 2, rare).otherwise(often)
+
+
+def _norm(text: str | Column) -> Column:
     return F.lower(F.regexp_replace(text, "[^A-Za-z0-9.]+", ""))
 
 
+def _head(text: str) -> Column:
+    """The first MIN_PREFIX characters of the normal form; the rest of a text is looked at only where its front has too few."""
+    front = F.substring(_norm(F.substring(text, 1, 4 * MIN_PREFIX)), 1, MIN_PREFIX)
+    return F.when(F.length(front) < MIN_PREFIX, F.substring(_norm(text), 1, MIN_PREFIX)).otherwise(front)
+
+
 def longer_copies(texts: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """(key, goes_on): for each wanted text that is a strict prefix of a longer one, the next characters of that.
 
@@ -176,20 +187,20 @@ def longer_copies(texts: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     MIN_PREFIX characters with a wanted one are sorted; equal texts count once, so no key is hot.
     """
     spark = texts.sparkSession
-    heads, keys = (shared(spark, np.packbits(bitmap(wanted.select(F.col(c).cast("string").alias(c)), c))) for c in ("head", "key"))
+    heads, keys = (shared(spark, np.packbits(bitmap(wanted.select(c).distinct(), c))) for c in ("head", "key"))
 
     def held_by(bits: object) -> object:
         """Whether a hash may be one of those in the map; a wrong yes only adds a row that joins nothing."""
         @F.arrow_udf("boolean")
         def test(values: pa.Array) -> pa.Array:
-            mask, seen = np.unpackbits(bits.value).astype(bool), Hashes()
-            return pa.array([bool(mask[seen[v] >> (64 - BITMAP_BITS)]) for v in values.to_pylist()], pa.bool_())
+            at = values.to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+            return pa.array(bits.value[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1 > 0)
 
         return test
 
-    norm = texts.select(_norm(text).alias("norm")).withColumn("head", F.xxhash64(F.substring("norm", 1, MIN_PREFIX)).cast("string"))
-    near = norm.where(held_by(heads)("head")).select("norm").distinct()
-    near = near.withColumn("key", F.xxhash64("norm").cast("string")).select("norm", held_by(keys)("key").alias("wanted"))
+    fronts = texts.where(F.col(text).isNotNull()).select(text, F.xxhash64(_head(text)).alias("head"))
+    near = fronts.where(held_by(heads)("head")).select(_norm(text).alias("norm")).distinct()
+    near = near.withColumn("key", F.xxhash64("norm")).select("norm", held_by(keys)("key").alias("wanted"))
     ordered = near.repartitionByRange(F.col("norm")).sortWithinPartitions("norm").withColumn("p", F.spark_partition_id())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,30 +237,48 @@ def cut_texts(df: DataFrame, id: str, text: str, source: str) -> DataFrame:
     Null and empty texts are not cut. Rows delivered twice are judged alike. A text ending in an
     address, a closed bracket or an end of sentence is whole unless a longer copy goes on in mid-word.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(source).alias("source"))
-    counts = shared(spark, end_counts(rows, "text"))  # 6 * 2**BITS counts, whatever the input
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, table = Chunks(), counts.value
+        chunks = Chunks()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             size = [len(t) if t else 0 for t in texts]
-            tails = [t[-TAIL:] if t and (t[-1] not in ".!?।" or t.endswith("..")) else "" for t in texts]
-            open_end = [bool(t) and (not _END.search((b := tail_of(t))[0][-8:]) or b[1]) for t in tails]
-            out = verdicts([t if o else "" for t, o in zip(tails, open_end)], table, chunks)
-            yield pa.record_batch([*batch.columns, pa.array(out, pa.string()), pa.array(size, pa.int32()), pa.array(open_end, pa.bool_())], [*batch.schema.names, "verdict", "size", "open_end"])
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("verdict", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("open_end", T.BooleanType())])
+            out, open_end, asked = [], [], []
+            for i, t in enumerate(texts):
+                t = t[-TAIL:] if t and (t[-1] not in ".!?।" or t.endswith("..")) else ""
+                bare, marked = tail_of(t) if t else ("", False)
+                open_ = bool(t) and (not _END.search(bare[-8:]) or marked)
+                verdict, bare = first_verdict(t) if open_ else ("whole", "")
+                out.append(verdict), open_end.append(open_)
+                if not verdict:
+                    asked.append((i, bare))
+            row, units, keys = [False] * len(texts), [0] * len(texts), [None] * len(texts)
+            if asked:
+                h, _, last = chunks.units([bare[-TAIL:] for _, bare in asked])
+                at = np.flatnonzero(last)
+                grams = np.stack([g[at].view(np.int64) for g in _grams(h)], axis=1).tolist()
+                for (i, bare), n, g in zip(asked, np.diff(at, prepend=-1) - 1, grams):
+                    row[i], units[i], keys[i] = is_row(bare), int(n), g
+            more = [pa.array(out, pa.string()), pa.array(size, pa.int32()), pa.array(open_end, pa.bool_()), pa.array(row, pa.bool_()), pa.array(units, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch([*batch.columns, *more], [*batch.schema.names, *names])
+
+    names = ["verdict", "size", "open_end", "is_row", "units", "keys"]
+    kinds = [T.StringType(), T.IntegerType(), T.BooleanType(), T.BooleanType(), T.IntegerType(), T.ArrayType(T.LongType())]
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))])
     judged = rows.mapInArrow(judge, schema).withColumn("norm", F.when(F.col("open_end"), _norm("text")))
-    judged = judged.select("id", "source", "verdict", "size", "open_end", F.xxhash64("norm").alias("key"), F.xxhash64(F.substring("norm", 1, MIN_PREFIX)).alias("head"), F.length("norm").alias("letters"))
+    judged = judged.select("id", "source", *names, F.xxhash64("norm").alias("key"), F.xxhash64(F.substring("norm", 1, MIN_PREFIX)).alias("head"), F.length("norm").alias("letters"))
     judged = cut_lineage(judged)
+    asked = judged.where("keys is not null").select("id", "is_row", "units", F.posexplode("keys").alias("pos", "key"))
+    counts = run_counts(rows, "text", asked.select("key").distinct())
+    told = asked.join(counts, "key", "left").groupBy("id").agg(F.first("is_row").alias("is_row"), F.first("units").alias("units"), F.array_sort(F.collect_list(F.struct("pos", F.coalesce("seen", F.lit(0)).alias("n"), F.coalesce("ends", F.lit(0)).alias("e")))).alias("x"))
+    told = told.select("id", asked_verdict(F.transform("x", lambda x: x["n"]), F.transform("x", lambda x: x["e"])).alias("told"))
     tops = judged.groupBy("source").agg(F.max("size").alias("top"))
     tops = judged.select("source", "size").join(tops, "source").where(F.col("size") >= F.col("top") - SLACK).groupBy("source", "top").count()
     limits = tops.where(F.col("count") >= LIMIT_ROWS).select("source", "top")
-    wanted = judged.where("open_end and verdict = 'whole'").where(F.col("letters") >= MIN_PREFIX).select("key", "head")
+    wanted = judged.where("open_end").where(F.col("letters") >= MIN_PREFIX).select("key", "head")
     copies = longer_copies(rows, "text", wanted).groupBy("key").agg(F.max(F.expr("goes_on rlike '^[a-z0-9]'")).alias("goes_on"))
-    out = judged.join(limits, "source", "left").join(copies, "key", "left")
+    out = judged.join(limits, "source", "left").join(copies, "key", "left").join(told, "id", "left").withColumn("verdict", F.coalesce("told", "verdict"))
     at_limit = F.col("open_end") & (F.col("size") >= F.col("top") - SLACK)
     goes_on = F.col("open_end") & F.col("goes_on")
     cut = (F.col("verdict") != "whole") | F.coalesce(at_limit, F.lit(False)) | F.coalesce(goes_on, F.lit(False))

@@ -1,10 +1,11 @@
 """P3: the most similar vectors of every vector, by a hash-prefix forest.
 
 Each tree gives a vector a long hash string, one bit per hyperplane, and holds all of them as a
-sorted array. Going down, a query meets the longest prefix it shares with others; going up again,
-level by level and in all trees at once, it meets more. Here a tree's array is cut at prefixes of
-varying length into blocks of about BLOCK strings, the deepest level at which a query still meets
-enough others; within a block all pairs are scored at once, and the trees' best are merged.
+sorted array. A query goes down to the longest prefix it shares with others, then up again, a bit at
+a time and in all trees at once, until the strings below its prefixes are enough candidates; all of
+them are scored and the best are kept. How many strings are below a prefix is known from a table of
+fixed size, so a query's level is found before anything moves. A tree's array lies in blocks of
+neighbouring strings, one a task at a time; a query visits those its prefix covers.
 """
 
 from __future__ import annotations
@@ -20,11 +21,16 @@ from pyspark.sql import functions as F
 from clauseloom.llm.common import shared
 from clauseloom.session import cut_lineage
 
-#: Trees, bits of a hash string, and bits by which arrays are cut (longer ones for full prefixes).
-TREES, BITS, CUT_BITS = 10, 48, 14
-#: Strings in a block at most, unless vectors cannot be told apart by CUT_BITS bits.
+#: Trees, and bits of a hash string.
+TREES, BITS = 10, 48
+#: Bits of a prefix that the table of counts knows: enough to tell blocks apart, within these bounds.
+LEAST_BITS, MOST_BITS = 10, 18
+#: Strings in a block; says how the arrays lie, not what is found.
 BLOCK = 1536
-#: Vectors from which the centre and the medians of the hyperplanes are fitted: a bounded sample; every vector is indexed.
+#: Candidates at which a query stops going up, for up to COMFORT vectors; beyond, they grow with the power GROWTH of their
+#: number, as more vectors are nearer to each other.
+WANT, COMFORT, GROWTH = 14_000, 100_000, 0.2
+#: Vectors from which the centre and the medians of the hyperplanes are fitted, about: a bounded sample; every vector is indexed.
 SAMPLE = 20_000
 SEED = 7
 
@@ -81,87 +87,126 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 
 def cuts(counts: np.ndarray, most: int) -> np.ndarray:
-    """The block of every prefix of CUT_BITS bits of one tree: prefixes are shortened as long as those that share them
-    fit one block together."""
-    first = np.zeros(len(counts), bool)
-    sums = np.concatenate([[0], np.cumsum(counts)])
-
-    def down(a: int, b: int) -> None:
-        if sums[b] - sums[a] <= most or b - a == 1:
-            first[a] = True
-        else:
-            down(a, (a + b) // 2)
-            down((a + b) // 2, b)
-
-    down(0, len(counts))
-    # neighbours in the array that fit one block stay together: going up beyond the prefix
-    out, total = [], most + 1
-    for a, b in zip(np.flatnonzero(first), np.append(np.flatnonzero(first)[1:], len(counts))):
-        n = sums[b] - sums[a]
-        fresh = total + n > most
-        total = n if fresh else total + n
-        out.append((a, fresh))
-    starts = np.zeros(len(counts), np.int64)
-    starts[[a for a, fresh in out if fresh]] = 1
-    return np.cumsum(starts) - 1
+    """The block of every cell, a prefix of full length, of one tree: neighbours in the array stay together while they fit."""
+    out, total, block = np.empty(len(counts), np.int64), 0, 0
+    for i, n in enumerate(counts.tolist()):
+        if total and total + n > most:
+            block, total = block + 1, 0
+        total += n
+        out[i] = block
+    return out
+
+
+class Levels:
+    """How many strings of every tree are below every prefix, and in which block each cell lies."""
+
+    def __init__(self, table: np.ndarray, want: float):
+        self.bits = int(table.shape[1]).bit_length() - 1
+        self.want = want
+        self.counts = [table]  # from the longest prefixes to none
+        while self.counts[-1].shape[1] > 1:
+            self.counts.append(self.counts[-1].reshape(len(table), -1, 2).sum(2))
+        self.blocks = np.stack([cuts(c, BLOCK) for c in table])
+        self.offsets = np.concatenate([[0], np.cumsum(self.blocks.max(1) + 1)])
+        # a cell too full for a block is cut by its further bits
+        self.deeper = np.ceil(np.log2(np.maximum(1, table / BLOCK))).astype(np.int64)
+        self.parts = [np.ones(b.max() + 1, np.int64) for b in self.blocks]
+        for own, b, d in zip(self.parts, self.blocks, self.deeper):
+            np.maximum.at(own, b, 1 << d)
+
+    def ascent(self, cells: np.ndarray) -> np.ndarray:
+        """By how many bits each query (a row of its cells in all trees) goes up from the longest prefix."""
+        up = np.full(len(cells), self.bits, np.int64)
+        trees = np.arange(cells.shape[1])
+        for k in range(self.bits, -1, -1):
+            below = self.counts[k][trees[None, :], cells >> k].sum(1)
+            up[below >= self.want] = k
+        return up
 
 
 def nearest(dirs: DataFrame, k: int) -> DataFrame:
     """(id, near, cosine): for each direction the up to k most similar other directions that the forest finds."""
     spark = dirs.sparkSession
-    sample = dirs.orderBy(F.xxhash64("id")).limit(SAMPLE).select("u").collect()
-    if not sample:
+    n = dirs.count()
+    if not n:
         return spark.createDataFrame([], "id long, near long, cosine double")
+    sample = dirs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / n))).select("u").collect()
+    sample = sample or dirs.select("u").limit(SAMPLE).collect()
     forest = shared(spark, Forest(np.frombuffer(b"".join(r["u"] for r in sample), "<f2").reshape(len(sample), -1).astype(np.float32)))
+    bits = int(np.clip(np.ceil(np.log2(max(1, n / BLOCK))) + 4, LEAST_BITS, MOST_BITS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((TREES, 1 << CUT_BITS), np.int64)
+        out = np.zeros((TREES, 1 << bits), np.int64)
         for batch in batches:
             x = _rows(batch.column(0)) if batch.num_rows else None
             for t in range(TREES if x is not None else 0):
-                out[t] += np.bincount((forest.value.strings(x, t) >> np.uint64(BITS - CUT_BITS)).astype(np.int64), minlength=1 << CUT_BITS)
+                out[t] += np.bincount((forest.value.strings(x, t) >> np.uint64(BITS - bits)).astype(np.int64), minlength=1 << bits)
         t, p = np.nonzero(out)
-        yield pa.record_batch([pa.array(t * (1 << CUT_BITS) + p), pa.array(out[t, p])], ["k", "n"])
+        yield pa.record_batch([pa.array(t * (1 << bits) + p), pa.array(out[t, p])], ["k", "n"])
 
-    table = np.zeros(TREES << CUT_BITS, np.int64)  # a fixed size, whatever the input
-    for key, n in dirs.select("u").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
-        table[key] = n
-    blocks = np.stack([cuts(c, BLOCK) for c in table.reshape(TREES, -1)])
-    offsets = np.concatenate([[0], np.cumsum(blocks.max(1) + 1)])
-    sizes = [np.bincount(b, c) for b, c in zip(blocks, table.reshape(TREES, -1))]
-    place = shared(spark, (blocks, offsets, [np.maximum(1, np.ceil(s / (4 * BLOCK))).astype(np.int64) for s in sizes]))
+    table = np.zeros(TREES << bits, np.int64)  # at most TREES << MOST_BITS, whatever the input
+    for key, m in dirs.select("u").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
+        table[key] = m
+    levels = shared(spark, Levels(table.reshape(TREES, -1), WANT * max(1.0, n / COMFORT) ** GROWTH))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, (blocks, offsets, parts) = forest.value, place.value
+        f, place = forest.value, levels.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _rows(batch.column(1))
+            x, ids = _rows(batch.column(1)), np.arange(batch.num_rows)
+            strings = np.stack([f.strings(x, t) for t in range(TREES)], axis=1)
+            cells = (strings >> np.uint64(BITS - bits)).astype(np.int64)
+            up = place.ascent(cells)
             for t in range(TREES):
-                s = f.strings(x, t)
-                b = blocks[t][(s >> np.uint64(BITS - CUT_BITS)).astype(np.int64)]
-                # a prefix too full for one block is cut by its further bits
-                deeper = (s & np.uint64((1 << (BITS - CUT_BITS)) - 1)).astype(np.int64) * parts[t][b] >> (BITS - CUT_BITS)
-                keys = (offsets[t] + b) * (1 << 20) + deeper
-                yield pa.record_batch([pa.array(keys, pa.int64()), batch.column(0), batch.column(1)], ["block", "id", "u"])
+                cell, blocks = cells[:, t], place.blocks[t]
+                more = place.deeper[t][cell]
+                rest = (strings[:, t] & np.uint64((1 << (BITS - bits)) - 1)).astype(np.int64) >> (BITS - bits - more)
+                first, last = blocks[cell >> up << up], blocks[(cell >> up << up) + (1 << up) - 1]
+                own = blocks[cell]
+                visits = last - first + 1
+                row = np.repeat(ids, visits)
+                block = np.repeat(first, visits) + np.arange(len(row)) - np.repeat(np.cumsum(visits) - visits, visits)
+                home = block == own[row]
+                # a cell that is cut has a block of its own: visitors go to all parts of it, those at home to theirs
+                times = np.where(home, 1, place.parts[t][block])
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, block, home = np.repeat(row, times), np.repeat(block, times), np.repeat(home, times)
+                part = np.where(home, rest[row], part)
+                keys = (place.offsets[t] + block) * (1 << 24) + part
+                which = pa.array(row)
+                yield pa.record_batch([pa.array(keys, pa.int64()), batch.column(0).take(which), batch.column(1).take(which), pa.array(cell[row], pa.int32()), pa.array(up[row], pa.int32()), pa.array(home)], ["block", "id", "u", "cell", "up", "home"])
 
     def score(key: tuple, rows: pa.Table) -> pa.Table:
         x, ids = _rows(rows["u"].combine_chunks()), rows["id"].to_numpy()
-        n, most = len(ids), min(k, len(ids) - 1)
-        if most < 1:
-            return pa.table({"id": pa.array([], pa.int64()), "near": pa.array([], pa.int64()), "cosine": pa.array([], pa.float32())})
+        cell, up, home = rows["cell"].to_numpy(), rows["up"].to_numpy(), rows["home"].to_numpy()
+        held = np.flatnonzero(home)
+        held = held[np.argsort(cell[held], kind="stable")]  # the sorted array
+        array, y, mine = cell[held], x[held], ids[held]
+        node = (cell >> up).astype(np.int64) << 6 | up
+        by = np.argsort(node, kind="stable")
         a, b, c = [], [], []
-        for at in range(0, n, 1024):
-            s = x[at : at + 1024] @ x.T
-            m = len(s)
-            s[np.arange(m), np.arange(at, at + m)] = -2
-            top = np.argpartition(-s, most - 1, axis=1)[:, :most]
-            a.append(np.repeat(ids[at : at + m], most))
-            b.append(ids[top].reshape(-1))
-            c.append(np.take_along_axis(s, top, 1).reshape(-1))
-        return pa.table({"id": np.concatenate(a), "near": np.concatenate(b), "cosine": np.concatenate(c)})
-
-    found = dirs.select("id", "u").mapInArrow(post, "block long, id long, u binary").groupBy("block").applyInArrow(score, "id long, near long, cosine float")
+        for group in np.split(by, np.flatnonzero(np.diff(node[by])) + 1):
+            top, shift = int(cell[group[0]]), int(up[group[0]])
+            low, high = np.searchsorted(array, [top >> shift << shift, (top >> shift) + 1 << shift])
+            for at in range(0, len(group), 1024):
+                q = group[at : at + 1024]
+                s = x[q] @ y[low:high].T
+                s[ids[q][:, None] == mine[None, low:high]] = -2
+                most = min(k, s.shape[1])
+                if most < 1:
+                    continue
+                best = np.argpartition(-s, most - 1, axis=1)[:, :most]
+                cos = np.take_along_axis(s, best, 1).reshape(-1)
+                ok = cos > -1.5
+                a.append(np.repeat(ids[q], most)[ok])
+                b.append(mine[low + best.reshape(-1)][ok])
+                c.append(cos[ok])
+        none = np.zeros(0, np.int64)
+        return pa.table({"id": np.concatenate([none, *a]), "near": np.concatenate([none, *b]), "cosine": np.concatenate([np.zeros(0, np.float32), *c])})
+
+    posted = dirs.select("id", "u").mapInArrow(post, "block long, id long, u binary, cell int, up int, home boolean")
+    found = posted.groupBy("block").applyInArrow(score, "id long, near long, cosine float")
     best = found.groupBy("id", "near").agg(F.max("cosine").alias("cosine")).groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "near"))), 1, k).alias("best"))
     return best.select("id", F.explode("best").alias("x")).select("id", F.col("x.near").alias("near"), (-F.col("x.far")).cast("double").alias("cosine"))
 
