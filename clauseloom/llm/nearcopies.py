@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ ORDER_BITS = 22
 #: average may agree: such a pair has fewer with a chance of some 3e-5. exact=True does without the sketch.
 MINIMA, DEVIATIONS = 128, 4.0
 #: Postings a bucket has on average at most; sets from which a sequence's postings are dealt into tiles.
-POSTINGS, HOT = 2_000_000, 1 << 19
+POSTINGS, HOT = 3_000_000, 1 << 19
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -242,7 +243,7 @@ def candidates(sets: DataFrame, order: np.ndarray, total: int, t: float, exact:
                 step = np.diff(token[a:b], prepend=np.uint32(0))  # small numbers, which the shuffle's compression likes
                 columns = step.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + number.astype("<u2").tobytes() + place[a:b].astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
                 keys.append(k)
-                blobs.append(np.array([len(mine), b - a], "<u4").tobytes() + docs[mine].tobytes() + columns)
+                blobs.append(np.array([len(mine), b - a], "<u4").tobytes() + docs[mine].tobytes() + zlib.compress(columns, 1))
         return pa.record_batch([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +263,7 @@ def candidates(sets: DataFrame, order: np.ndarray, total: int, t: float, exact:
         for blob in pieces["blob"].to_pylist():
             n, m = np.frombuffer(blob, "<u4", 2).tolist()
             docs.append(np.frombuffer(blob, _DOC, n, 8))
-            raw = np.frombuffer(blob, np.uint8, -1, 8 + n * _DOC.itemsize)
+            raw = np.frombuffer(zlib.decompress(memoryview(blob)[8 + n * _DOC.itemsize :]), np.uint8)
             token = np.cumsum(np.ascontiguousarray(raw[: 4 * m].reshape(4, m).T).view("<u4").reshape(-1), dtype=np.uint32)
             doc = raw[4 * m : 6 * m].view("<u2").astype(np.int32) + base
             posts.append((token, doc, np.ascontiguousarray(raw[6 * m : 8 * m].reshape(2, m).T).view("<u2").reshape(-1).astype(np.int32)))
