@@ -3,8 +3,8 @@
 Every text without an end is held against longer copies elsewhere: values are sorted, and a value that
 is a strict prefix of the next one was cut where the longer one goes on. Most cut texts have no longer
 copy; for them the corpus says how their last words go on: a last word that occurs nowhere else is
-half a word, and last words that elsewhere never end a sentence are in mid-sentence. How often they
-occur is counted over all texts, exactly. A source's length limit and the marks a cut leaves count too.
+half a word, as is one that is next to nothing beside the words it begins, and last words that elsewhere never end a
+sentence are in mid-sentence. How often they occur is counted over all texts, exactly. A source's length limit and the marks a cut leaves count too.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clauseloom.functions.glyphs import unbroken
 from clauseloom.functions.plain import INVISIBLE, plain
 from clauseloom.llm.common import BITMAP_BITS, bitmap, mixed, shared
 from clauseloom.session import cut_lineage
@@ -50,11 +51,13 @@ class Chunks(dict):
     def __init__(self) -> None:
         super().__init__()
         self.hashes: list[int] = []
+        self.words: list[str] = []
         self.flags: list[int] = []  # 1 end, 2 starts like the inside of a sentence, 4 list marker, 8 line break
 
     def __missing__(self, chunk: str) -> int:
         word = chunk.strip(_STRIP).lower()
         unit = "\n" if chunk == "\n" else "0" if word[:1].isdigit() and not any(c.isalpha() for c in word) else word
+        self.words.append(unit)
         self.hashes.append(xxhash.xxh3_64_intdigest(unit.encode("utf8", "surrogatepass")))
         end = 1 if _END.search(chunk) else 0
         inner = 2 if chunk[:1].islower() or chunk[:1].isdigit() or chunk[:1] == "₹" else 0
@@ -62,16 +65,21 @@ class Chunks(dict):
         self[chunk] = n = len(self.hashes) - 1
         return n
 
+    def forget(self) -> None:
+        for x in (self, self.hashes, self.words, self.flags):
+            x.clear()
+
     def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all texts, one after the other: hashes of the units, whether an end follows, whether it is the last."""
+        """Of all texts, one after the other: hashes of the units, whether an end follows, whether it is the last. Broken
+        words are one unit. numbers has the numbers of what was read last."""
         if len(self) > 400_000:
-            self.clear(), self.hashes.clear(), self.flags.clear()
+            self.forget()
         flat: list[int] = []
         for text in texts:
-            flat += [self[c] for c in plain(text).replace("\n", " \n ").split(" ") if c]
+            flat += [self[c] for c in plain(unbroken(text)).replace("\n", " \n ").split(" ") if c]
             flat.append(self["\n"])
             flat.append(self[""])  # the end of a text
-        ids = np.array(flat, np.int64)
+        ids = self.numbers = np.array(flat, np.int64)
         f = np.array(self.flags, np.int8)[ids]
         line = np.roll(f & 8, 1) > 0
         line[:1] = True
@@ -91,39 +99,66 @@ def _grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return mixed(h), g2, mixed(g2 + two * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+def _longer(h: np.ndarray) -> np.ndarray:
+    """Hashes under which the words that a unit, by its hash, begins are counted together."""
+    with np.errstate(over="ignore"):
+        return mixed(h + np.uint64(0xD6E8FEB86659FD93))
+
+
+#: A last word that occurs less than so often for each longer word it begins is half of one of these.
+HALF = 0.003
 #: Occurrences a task holds before it sums them: bounds its memory, changes no result.
 HELD = 1_000_000
 
 
 def run_counts(df: DataFrame, column: str, asked: DataFrame) -> DataFrame:
     """(key, seen, ends): how often each asked run of one, two or three units (key, a hash of 64 bits) occurs before another
-    unit or an end, and before an end, over all texts. A bit map of fixed size rules out most other runs where the texts
+    unit or an end, and before an end, over all texts; under _longer of a unit, how often the words it begins. A bit map of fixed size rules out most other runs where the texts
     are; what it lets through is counted too and joins nothing."""
     bits = shared(df.sparkSession, np.packbits(bitmap(asked, "key")))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, chunks = np.unpackbits(bits.value).astype(bool), Chunks()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        waiting, times = 0, np.zeros(0, np.int64)
+
+        def words() -> None:
+            """Adds the words seen so far to what they are longer forms of."""
+            fronts, ns = [], []
+            for n, w in zip(times.tolist(), chunks.words):
+                if n and w.isalpha():
+                    fronts += [xxhash.xxh3_64_intdigest(w[:i].encode("utf8", "surrogatepass")) for i in range(2, len(w))]
+                    ns += [n] * (len(w) - 2)
+            keys = _longer(np.array(fronts, np.uint64))
+            ok = mask[keys >> np.uint64(64 - BITMAP_BITS)]
+            held.append((keys[ok], np.zeros(int(ok.sum()), np.int64), np.array(ns, np.int64)[ok]))
 
         def flush() -> pa.RecordBatch:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n, e = np.bincount(at, minlength=len(keys)), np.bincount(at, np.concatenate([e for _, e in held]), len(keys)).astype(np.int64)
+            keys, at = np.unique(np.concatenate([k for k, _, _ in held]), return_inverse=True)
+            n, e = (np.bincount(at, np.concatenate([x[c] for x in held]), len(keys)).astype(np.int64) for c in (2, 1))
             held.clear()
             return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(e)], ["key", "seen", "ends"])
 
         for batch in batches:
             texts = [t for t in batch.column(0).to_pylist() if t]
             for at in range(0, len(texts), 2000):
+                if len(chunks) > 300_000:
+                    words()
+                    chunks.forget()
+                    times = np.zeros(0, np.int64)
                 h, ends, last = chunks.units(texts[at : at + 2000])
+                more = np.bincount(chunks.numbers, minlength=len(chunks.words))
+                more[: len(times)] += times
+                times = more
                 seen = ends | ~last  # what stops without an end is what is to be judged, not evidence
                 for g in _grams(h):
                     ok = seen & mask[g >> np.uint64(64 - BITMAP_BITS)]
-                    held.append((g[ok], ends[ok]))
+                    held.append((g[ok], ends[ok], np.ones(int(ok.sum()), np.int64)))
                     waiting += int(ok.sum())
                 if waiting > HELD:
                     yield flush()
                     waiting = 0
+        words()
         if held:
             yield flush()
 
@@ -153,20 +188,25 @@ def first_verdict(text: str) -> tuple[str, str]:
     return ("sentence" if bare[-1] in ",;:-–—(“[/&+" else ""), bare
 
 
-def is_row(bare: str) -> bool:
-    """Whether the last line of a text is short as a heading or a table row is."""
+def is_row(bare: str) -> int:
+    """Whether the last line of a text is short as a heading or a table row is: 1, or 2 for one that begins as a list item."""
     line = bare[bare.rfind("\n") + 1 :]
-    return len(line) < 80 and len(line.split()) <= ROW_WORDS
+    words = line.split()
+    return (2 if words and _MARKER.match(words[0]) else 1) if len(line) < 80 and len(words) <= ROW_WORDS else 0
+
+
+#: A word that is the last of a sentence in less than this share of its occurrences ends no list item either.
+NEVER_LAST = 0.0005
 
 
 def asked_verdict(n: Column, e: Column) -> Column:
     """'whole', 'word' (half a word) or 'sentence' of a text by how often its last one, two and three units occur (n, arrays of
-    three) and end a sentence (e); columns is_row and units say the rest."""
-    t1, t2, t3 = (n[i] for i in range(3))
+    three) and end a sentence (e), and, fourth of n, how often the words its last one begins; columns is_row and units say the rest."""
+    t1, t2, t3, longer = (n[i] for i in range(4))
     total, ends = F.when(t3 >= 5, t3).otherwise(t2), F.when(t3 >= 5, e[2]).otherwise(e[1])
     often = F.when((ends > 0) & (ends >= END_SHARE * total), "whole").otherwise("sentence")
     rare = F.when((2 * e[0] >= t1) & (F.col("units") > 2), "whole").otherwise("sentence")
-    return F.when(t1 < 2, "word").when((t2 >= 2) & F.col("is_row"), "whole").when(t2 < 2, rare).otherwise(often)
+    return F.when((t1 < 2) | (t1 < HALF * longer), "word").when((t2 >= 2) & ((F.col("is_row") == 1) | (F.col("is_row") == 2) & (e[0] >= NEVER_LAST * t1)), "whole").when(t2 < 2, rare).otherwise(often)
 
 
 def _norm(text: str | Column) -> Column:
@@ -253,18 +293,18 @@ def cut_texts(df: DataFrame, id: str, text: str, source: str) -> DataFrame:
                 out.append(verdict), open_end.append(open_)
                 if not verdict:
                     asked.append((i, bare))
-            row, units, keys = [False] * len(texts), [0] * len(texts), [None] * len(texts)
+            row, units, keys = [0] * len(texts), [0] * len(texts), [None] * len(texts)
             if asked:
                 h, _, last = chunks.units([bare[-TAIL:] for _, bare in asked])
                 at = np.flatnonzero(last)
-                grams = np.stack([g[at].view(np.int64) for g in _grams(h)], axis=1).tolist()
+                grams = np.stack([g[at].view(np.int64) for g in (*_grams(h), _longer(h))], axis=1).tolist()
                 for (i, bare), n, g in zip(asked, np.diff(at, prepend=-1) - 1, grams):
                     row[i], units[i], keys[i] = is_row(bare), int(n), g
-            more = [pa.array(out, pa.string()), pa.array(size, pa.int32()), pa.array(open_end, pa.bool_()), pa.array(row, pa.bool_()), pa.array(units, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            more = [pa.array(out, pa.string()), pa.array(size, pa.int32()), pa.array(open_end, pa.bool_()), pa.array(row, pa.int32()), pa.array(units, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.record_batch([*batch.columns, *more], [*batch.schema.names, *names])
 
     names = ["verdict", "size", "open_end", "is_row", "units", "keys"]
-    kinds = [T.StringType(), T.IntegerType(), T.BooleanType(), T.BooleanType(), T.IntegerType(), T.ArrayType(T.LongType())]
+    kinds = [T.StringType(), T.IntegerType(), T.BooleanType(), T.IntegerType(), T.IntegerType(), T.ArrayType(T.LongType())]
     schema = T.StructType([*rows.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))])
     judged = rows.mapInArrow(judge, schema).withColumn("norm", F.when(F.col("open_end"), _norm("text")))
     judged = judged.select("id", "source", *names, F.xxhash64("norm").alias("key"), F.xxhash64(F.substring("norm", 1, MIN_PREFIX)).alias("head"), F.length("norm").alias("letters"))
