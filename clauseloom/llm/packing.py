@@ -19,6 +19,8 @@ from clauseloom.session import cut_lineage
 
 #: Items in a shard, about; shards whose poorly filled containers are packed again together.
 SHARD, TOGETHER = 40_000, 64
+#: Kinds of containers at most.
+MOST_PACKS = 1000
 #: A container filled to less than this share is packed again.
 FULL = 0.99
 
@@ -87,10 +89,14 @@ def pieces(items: DataFrame, capacity: str) -> DataFrame:
 def packed(items: DataFrame, packs: DataFrame, id: str, pack: str, capacity: str) -> DataFrame:
     """(pack, capacity, container, id, piece, first, size): every item of items (id, tokens), or its pieces if it exceeds
     the capacity, in a container of each pack. Items without tokens are in none; containers are numbered from 0 within
-    a shard and named by shard and number. Packs of null or no capacity get nothing."""
-    sizes = packs.where(F.col(capacity) > 0).select(F.col(pack).alias("pack"), F.col(capacity).cast("int").alias("capacity"))
+    a shard and named by shard and number. Packs of null or no capacity get nothing; of more than MOST_PACKS an error is
+    raised, as every item is packed for each."""
+    kinds = packs.where(F.col(capacity) > 0).select(F.col(pack).cast("int").alias("pack"), F.col(capacity).cast("int").alias("capacity")).limit(MOST_PACKS + 1).collect()
+    if len(kinds) > MOST_PACKS:
+        raise ValueError(f"more than {MOST_PACKS} kinds of containers")
+    every = F.array(*[F.struct(F.lit(r["pack"]).alias("pack"), F.lit(r["capacity"]).alias("capacity")) for r in kinds]).cast("array<struct<pack:int,capacity:int>>")
     shards = max(1, math.ceil(items.count() / SHARD))
-    rows = pieces(items.select(F.col(id).alias("id"), "tokens").crossJoin(F.broadcast(sizes)), "capacity")  # packs: one row per kind of container
+    rows = pieces(items.select(F.col(id).alias("id"), "tokens", F.explode(every).alias("k")).select("id", "tokens", "k.*"), "capacity")
     whole = rows.where("size = capacity").select("pack", "capacity", F.concat(F.lit("w"), F.col("id"), F.lit("."), F.col("piece")).alias("container"), "id", "piece", "first", "size")
     rest = rows.where("size < capacity").select("pack", "capacity", "id", "piece", "first", "size")
 
@@ -111,10 +117,7 @@ def packed(items: DataFrame, packs: DataFrame, id: str, pack: str, capacity: str
     schema = "pack int, capacity int, id long, piece int, first long, size long, shard long, container string, filled double"
     once = rest.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)))
     once = cut_lineage(once.groupBy("pack", "shard").applyInArrow(fill("a"), schema))
-    good = once.where(F.col("filled") >= FULL) if shards > 1 else once
-    out = good
-    if shards > 1:
-        again = once.where(F.col("filled") < FULL).drop("container", "filled").withColumn("shard", F.floor(F.col("shard") / TOGETHER).cast("long"))
-        out = good.unionByName(again.groupBy("pack", "shard").applyInArrow(fill("b"), schema))
+    again = once.where(F.col("filled") < FULL).drop("container", "filled").withColumn("shard", F.floor(F.col("shard") / TOGETHER).cast("long"))
+    out = once.where(F.col("filled") >= FULL).unionByName(again.groupBy("pack", "shard").applyInArrow(fill("b"), schema))
     out = out.select("pack", "capacity", "container", "id", "piece", "first", "size").unionByName(whole)
     return out.select(F.col("pack").alias(pack), F.col("capacity").alias(capacity), "container", F.col("id").alias(id), "piece", "first", F.col("size").alias("tokens"))

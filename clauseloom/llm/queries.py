@@ -107,7 +107,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sizes = tokens.sized(_table(spark, sf_dir, "documents"), "doc_id", "text", ["source"])
+    sizes = cut_lineage(tokens.sized(_table(spark, sf_dir, "documents"), "doc_id", "text", ["source"]))
     return mixing.mixed(sizes, _table(spark, sf_dir, "mix_targets"))
 
 
