@@ -22,14 +22,16 @@ from clauseloom.llm.common import shared
 from clauseloom.session import cut_lineage
 
 #: Trees, and bits of a hash string.
-TREES, BITS = 10, 48
+TREES, BITS = 8, 48
 #: Bits of a prefix that the table of counts knows: enough to tell blocks apart, within these bounds.
 LEAST_BITS, MOST_BITS = 10, 18
 #: Strings in a block; says how the arrays lie, not what is found.
-BLOCK = 1536
+BLOCK = 8192
+#: Vectors a longest prefix has, about.
+FINE = 64
 #: Candidates at which a query stops going up, for up to COMFORT vectors; beyond, they grow with the power GROWTH of their
 #: number, as more vectors are nearer to each other.
-WANT, COMFORT, GROWTH = 14_000, 100_000, 0.2
+WANT, COMFORT, GROWTH = 16_000, 100_000, 0.2
 #: Vectors from which the centre and the medians of the hyperplanes are fitted, about: a bounded sample; every vector is indexed.
 SAMPLE = 20_000
 SEED = 7
@@ -87,13 +89,21 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 
 def cuts(counts: np.ndarray, most: int) -> np.ndarray:
-    """The block of every cell, a prefix of full length, of one tree: neighbours in the array stay together while they fit."""
+    """The block of every cell, a prefix of full length, of one tree: what shares a shorter prefix lies in one block if it
+    fits, so that most queries find theirs in one, and neighbours are put together while they fit."""
+    sums = np.concatenate([[0], np.cumsum(counts)])
     out, total, block = np.empty(len(counts), np.int64), 0, 0
-    for i, n in enumerate(counts.tolist()):
+    nodes = [(0, len(counts))]
+    while nodes:
+        a, b = nodes.pop()
+        n = int(sums[b] - sums[a])
+        if n > most and b - a > 1:
+            nodes += [((a + b) // 2, b), (a, (a + b) // 2)]
+            continue
         if total and total + n > most:
             block, total = block + 1, 0
         total += n
-        out[i] = block
+        out[a:b] = block
     return out
 
 
@@ -133,7 +143,7 @@ def nearest(dirs: DataFrame, k: int) -> DataFrame:
     sample = dirs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / n))).select("u").collect()
     sample = sample or dirs.select("u").limit(SAMPLE).collect()
     forest = shared(spark, Forest(np.frombuffer(b"".join(r["u"] for r in sample), "<f2").reshape(len(sample), -1).astype(np.float32)))
-    bits = int(np.clip(np.ceil(np.log2(max(1, n / BLOCK))) + 4, LEAST_BITS, MOST_BITS))
+    bits = int(np.clip(np.ceil(np.log2(max(1, n / FINE))), LEAST_BITS, MOST_BITS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((TREES, 1 << bits), np.int64)
