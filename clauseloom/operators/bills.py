@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions.text import n3
@@ -53,21 +53,45 @@ def matched_lines(lines: DataFrame, items: DataFrame, order: str) -> DataFrame:
     """lines with the best item, or null: all telling words of an alternative in the line, or, where it has none, the
     alternative as a whole; the longest words win, then the first item, then the first alternative.
 
-    Lines are matched once per distinct description. Items are a fixed list; it is broadcast only while it is small,
-    else alternatives meet lines by their first telling word and its neighbours in length.
+    Lines are matched once per distinct description. An alternative meets descriptions by its longest telling word, as
+    written and as far as plurals and the like go: a word of the line begins with it or it with the word, two letters
+    apart at most. One without a telling word meets them by its first word; nothing is compared with all lines.
     """
     alts = prepared_items(items, order).withColumn("score", F.when(F.size("needed") > 0, F.aggregate("needed", F.lit(0), lambda s, t: s + F.length(t))).otherwise(F.length("alt")))
     texts = lines.select("description").distinct().withColumn("words", tokens("description"))
-    # a word and a line's word meet if their first three letters do
-    keyed = texts.withColumn("k", F.explode(F.array_distinct(F.transform("words", lambda t: F.left(t, F.lit(3))))))
-    by_word = alts.where(F.size("needed") > 0).withColumn("k", F.left(F.col("needed")[0], F.lit(3)))
+    # of two words that are alike, one is the other or begins it with at most two letters more: they share a front
+    fronts = lambda t: F.array(t, F.left(t, F.length(t) - 1), F.left(t, F.length(t) - 2))
+    near = lambda t: F.filter(F.array_distinct(fronts(t)), lambda k: F.length(k) >= 2)
+    keyed = texts.withColumn("k", F.explode(F.array_distinct(F.flatten(F.transform("words", near)))))
+    telling = F.array_max(F.transform("needed", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    by_word = alts.where(F.size("needed") > 0).withColumn("k", F.explode(near(telling)))
     hits = keyed.join(by_word, "k").where(F.forall("needed", lambda n: present(n, F.col("words")))).drop("k")
-    whole = alts.where((F.size("needed") == 0) & (F.length("alt") >= MIN_WHOLE))
-    hits = hits.unionByName(texts.join(whole, F.contains(n3("description"), n3("alt"))))
+    first = lambda x: F.regexp_extract(n3(x), "([A-Z]{2,})", 1)
+    whole = alts.where((F.size("needed") == 0) & (F.length("alt") >= MIN_WHOLE)).withColumn("k", first("alt"))
+    # a name inside a line may begin within a word of it, so its first word meets the line's runs of letters by their ends
+    ends = F.flatten(F.transform(F.regexp_extract_all(n3("description"), F.lit("([A-Z]+)"), 1), lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, F.length(t)))))
+    fits = (F.col("k") == "") | F.exists("_ends", lambda e: F.startswith(e, F.col("k")))
+    inside = texts.withColumn("_ends", ends).withColumn("_b", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.filter("_ends", lambda e: F.length(e) >= 2), lambda e: F.left(e, F.lit(2)))))))
+    met = inside.join(whole.withColumn("_b", F.left("k", F.lit(2))), "_b").where(fits & F.contains(n3("description"), n3("alt"))).drop("_ends", "_b", "k")
+    hits = hits.unionByName(met)
     best = hits.groupBy("description").agg(F.max_by(F.struct(F.col(order).alias("item"), "item_name", F.col("alt").alias("matched_alternative"), "category", "category_description"), F.struct("score", (-F.col(order)).alias("o"), (-F.col("alt_seq")).alias("a"))).alias("m"))
     return lines.join(best, "description", "left").select(*lines.columns, "m.*")
 
 
+def findings(matched: DataFrame) -> DataFrame:
+    """The flagged lines with their rank in their bill: what is never payable first, then by amount, the largest first, an
+    unknown one as 0, then in order of the lines."""
+    w = Window.partitionBy("bill").orderBy(F.col("category") != "not_payable", F.desc(F.coalesce("amount", F.lit(0.0))), "line_no")
+    return matched.where("item is not null").withColumn("rank", F.row_number().over(w))
+
+
+def by_charge(matched: DataFrame) -> DataFrame:
+    """Per bill and category of flagged lines: lines, known sum, and the share of the bill that is never payable or charged
+    twice, as a group: never for what is never payable, twice for what another charge includes."""
+    found = matched.where("item is not null").withColumn("group", F.when(F.col("category") == "not_payable", "never").otherwise("twice"))
+    return found.groupBy("bill", "group", "category").agg(F.count("*").alias("lines"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("amount"))
+
+
 def by_category(matched: DataFrame) -> DataFrame:
     """Per category of matched lines: lines, their sum (null amounts left out), whether all amounts are known."""
     found = matched.where("item is not null")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from clauseloom.functions.text import n4, n5, n7, verbatim_key
+from clauseloom.functions.text import PAGE_MARK, n1, n4, n5, n7, verbatim_key
 from clauseloom.session import cut_lineage
 
 
@@ -62,16 +64,29 @@ def verbatim(pairs: DataFrame, quote: str, source: str, share: float = 0.9, leas
                 out.append("absent" if not q or not s else "exact" if q in s else "run" if len(q) >= least and longest_common_run(q, s) >= need else "absent")
             yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "how"])
 
-    from pyspark.sql import types as T
+
 
     return pairs.mapInArrow(judge, T.StructType([*pairs.schema.fields, T.StructField("how", T.StringType())]))
 
 
-def quotes_hold(letter: Column, sources: Column, least: int = 25) -> Column:
-    """Whether every quotation of `least` characters in a letter is contained in one of the sources, blanks and case aside."""
-    norm = lambda x: F.lower(n7(x))
-    quotes = F.regexp_extract_all(letter, F.lit(f'"([^"]{{{least},}})"'), 1)
-    return F.forall(quotes, lambda q: F.exists(sources, lambda s: F.contains(norm(s), norm(q))))
+@F.arrow_udf(T.BooleanType())
+def is_verbatim(quote: pa.Array, sources: pa.Array) -> pa.Array:
+    """Whether a quotation stands in one of the sources in normal form; one of fewer than 25 characters always does."""
+    out = []
+    for q, texts in zip(quote.to_pylist(), sources.to_pylist()):
+        q = verbatim_key(q or "", marks=False)
+        out.append(len(q) < 25 or any(q in verbatim_key(t, marks=False) for t in texts or () if t))
+    return pa.array(out, pa.bool_())
+
+
+@F.arrow_udf(T.BooleanType())
+def quotes_hold(letter: pa.Array, sources: pa.Array) -> pa.Array:
+    """Whether every quotation of 25 characters or more in a letter stands in one of the sources in normal form."""
+    out = []
+    for text, texts in zip(letter.to_pylist(), sources.to_pylist()):
+        held = [verbatim_key(t, marks=False) for t in texts or () if t]
+        out.append(all(any(verbatim_key(q, marks=False) in h for h in held) for q in re.findall(r'"([^"]{25,})"', text or "")))
+    return pa.array(out, pa.bool_())
 
 
 def contained(records: DataFrame, least: int = 25) -> DataFrame:
@@ -82,7 +97,7 @@ def contained(records: DataFrame, least: int = 25) -> DataFrame:
     near nothing. Containment pairs are joined by page, then settled in rounds: what no undropped
     record contains is kept, what a kept one contains is dropped.
     """
-    keyed = cut_lineage(records.withColumn("_n", F.lower(n7("text"))).withColumn("_len", F.length("_n")).withColumn("_id", F.xxhash64("doc", "seq")))
+    keyed = cut_lineage(records.withColumn("_n", F.coalesce(n1("text"), F.lit(""))).withColumn("_len", F.length("_n")).withColumn("_id", F.xxhash64("doc", "seq")))
     short = keyed.where((F.col("_len") >= least) & F.col("page").isNotNull()).select("doc", F.col("_id").alias("a"), F.explode(F.array(F.col("page") - 1, "page", F.col("page") + 1)).alias("near"), F.col("_n").alias("n"), F.col("_len").alias("len"), F.col("seq").alias("s"))
     long = keyed.where(F.col("page").isNotNull()).select("doc", F.col("_id").alias("b"), F.col("page").alias("near"), F.col("_n").alias("m"), F.col("_len").alias("mlen"), F.col("seq").alias("t"))
     first = (F.col("mlen") > F.col("len")) | ((F.col("mlen") == F.col("len")) & (F.col("t") < F.col("s")))
@@ -114,26 +129,87 @@ def successive_runs(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 def run_matches(a: DataFrame, b: DataFrame) -> DataFrame:
     """(doc, seq_a, seq_b, tier): records (doc, seq, page, title, text) of two runs of the same documents, one to one.
 
-    Tier one pairs equal page and title in order, tier two, among what is left, equal beginnings of the
-    text. Tiers are worked off one after the other; where both compete for a record the first tier wins.
+    Records of a take their turn in order; each takes the first record of b that is still free and has its page and
+    title (tier one), else the first free one with the same beginning of the text (tier two). Which are free depends on
+    the turns before, so records that can compete for one go to a task together: those tied by any chain of shared keys.
+    A key that only one record of a has, and a record of b with no other, are settled by a join.
     """
-    def pair(x: DataFrame, y: DataFrame, keys: list[str], tier: int) -> DataFrame:
-        w = Window.partitionBy("doc", *keys).orderBy("seq")
-        x, y = (d.withColumn("_k", F.row_number().over(w)) for d in (x, y))
-        return x.select("doc", *keys, "_k", F.col("seq").alias("seq_a")).join(y.select("doc", *keys, "_k", F.col("seq").alias("seq_b")), ["doc", *keys, "_k"]).select("doc", "seq_a", "seq_b", F.lit(tier).alias("tier"))
-
-    prepared = [d.withColumn("k1", n4("title")).withColumn("k2", F.left(n4("text"), F.lit(70))) for d in (a, b)]
-    one = cut_lineage(pair(*(d.where("page is not null and k1 <> ''") for d in prepared), ["page", "k1"], 1))
-    rest = [d.join(one.select("doc", F.col(s).alias("seq")), ["doc", "seq"], "left_anti").where("k2 <> ''") for d, s in zip(prepared, ("seq_a", "seq_b"))]
-    return one.unionAll(pair(*rest, ["k2"], 2))
+    x, y = (d.select("doc", "seq", F.when(F.col("page").isNotNull() & (n4("title") != ""), F.concat_ws("|", F.col("page").cast("string"), n4("title"))).alias("k1"), F.when(F.left(n4("text"), F.lit(70)) != "", F.left(n4("text"), F.lit(70))).alias("k2")) for d in (a, b))
+    x, y = cut_lineage(x.withColumn("side", F.lit(0))), cut_lineage(y.withColumn("side", F.lit(1)))
+    # records meet by keys that both sides have; others have no turn
+    keys = lambda d: d.select("doc", "seq", "side", F.explode(F.array(F.struct(F.lit(1).alias("t"), F.col("k1").alias("k")), F.struct(F.lit(2).alias("t"), F.col("k2").alias("k")))).alias("e")).select("doc", "seq", "side", "e.t", "e.k").where("k is not null")
+    both = keys(x).unionAll(keys(y))
+    shared = both.groupBy("doc", "t", "k").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb")).where("na > 0 and nb > 0").select("doc", "t", "k")
+    node = F.xxhash64("doc", "seq", "side")
+    met = cut_lineage(both.join(shared, ["doc", "t", "k"]).select("doc", "seq", "side", "t", "k", node.alias("node"), F.xxhash64("doc", "t", "k").alias("key")))
+    label = cut_lineage(met.select("node", "key").join(met.groupBy("key").agg(F.min("node").alias("label")), "key").groupBy("node").agg(F.min("label").alias("label")))
+    while True:  # labels go over keys until none changes; chains of competing records are short
+        by_key = met.select("node", "key").join(label, "node").groupBy("key").agg(F.min("label").alias("least"))
+        new = cut_lineage(met.select("node", "key").join(by_key, "key").groupBy("node").agg(F.min("least").alias("new")))
+        changed = new.join(label, "node").where("new < label").isEmpty()
+        label = new.withColumnRenamed("new", "label")
+        if changed:
+            break
+    rows = met.select("doc", "seq", "side", "node").distinct().join(label, "node").join(x.unionAll(y), ["doc", "seq", "side"]).select("label", "doc", "seq", "side", "k1", "k2")
+    return _taken_in_turn(rows)
+
+
+def _taken_in_turn(rows: DataFrame) -> DataFrame:
+    """run_matches of rows (label, doc, seq, side, k1, k2): tasks get whole labels and read them in order, those of b
+    first; what is held is the free records of one label."""
+
+
+    fields = {f.name: f.dataType for f in rows.schema.fields}
+    schema = T.StructType([T.StructField("doc", fields["doc"]), T.StructField("seq_a", fields["seq"]), T.StructField("seq_b", fields["seq"]), T.StructField("tier", T.IntegerType())])
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, used, one, two = None, set(), {}, {}
+        for batch in batches:
+            docs, out = batch.column("doc"), []
+            for i, (mark, seq, side, k1, k2) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("label", "seq", "side", "k1", "k2")))):
+                if mark != label:
+                    label, used, one, two = mark, set(), {}, {}
+                if side:
+                    for k, open_ in ((k1, one), (k2, two)):
+                        if k is not None:
+                            open_.setdefault(k, []).append(seq)
+                    continue
+                for k, open_, tier in ((k1, one, 1), (k2, two, 2)):
+                    queue = open_.get(k, ()) if k is not None else ()
+                    while queue and queue[0] in used:
+                        queue.pop(0)
+                    if queue:
+                        used.add(queue[0])
+                        out.append((i, seq, queue[0], tier))
+                        break
+            at, a, b, t = zip(*out) if out else ((), (), (), ())
+            yield pa.record_batch([docs.take(pa.array(at, pa.int64())), pa.array(a, batch.schema.field("seq").type), pa.array(b, batch.schema.field("seq").type), pa.array(t, pa.int32())], ["doc", "seq_a", "seq_b", "tier"])
+
+    ordered = rows.repartition("label").sortWithinPartitions("label", F.desc("side"), "seq")
+    return ordered.mapInArrow(take, schema)
+
+
+#: Letters of the pieces by which a probe and a text that contains it meet.
+PIECE = 12
 
 
 def gone(old: DataFrame, new: DataFrame, matches: DataFrame) -> DataFrame:
-    """Records of old without a match whose text, nor sixty letters from a third of it on, is inside any of new of their document."""
-    alone = old.join(matches.select("doc", F.col("seq_a").alias("seq")), ["doc", "seq"], "left_anti").withColumn("_n", n4("text"))
-    alone = alone.withColumn("_p", F.expr("substring(_n, int(length(_n) / 3) + 1, 60)"))
-    hay = new.select("doc", n4("text").alias("_h"))
-    return alone.join(hay, (alone.doc == hay.doc) & (F.contains("_h", F.col("_n")) | F.contains("_h", F.col("_p"))), "left_anti").drop("_n", "_p")
+    """Records of old without a match whose text, nor sixty letters from a third of it on, is inside any of new of their document.
+
+    What contains a probe contains its piece of PIECE letters from any place; a text has the probe's first piece at one
+    of its own places. Probes meet only the texts that have the hash of that piece, all of it by joins; probes shorter
+    than a piece, few and short, meet all texts of their document. An empty text is inside any.
+    """
+    alone = cut_lineage(old.join(matches.select("doc", F.col("seq_a").alias("seq")), ["doc", "seq"], "left_anti").withColumn("_n", n4("text")).withColumn("_p", F.expr("substring(_n, int(length(_n) / 3) + 1, 60)")))
+    hay = new.select("doc", n4("text").alias("_h")).distinct()
+    probes = alone.select("doc", "seq", F.explode(F.array_distinct(F.array("_n", "_p"))).alias("_q"))
+    long = probes.where(F.length("_q") >= PIECE).withColumn("_k", F.xxhash64(F.left("_q", F.lit(PIECE))))
+    wanted = long.select("doc", "_k").distinct()
+    at = F.expr(f"transform(sequence(1, greatest(1, length(_h) - {PIECE} + 1)), i -> xxhash64(substring(_h, i, {PIECE})))")
+    pieces = hay.where(F.length("_h") >= PIECE).select("doc", "_h", F.explode(F.array_distinct(at)).alias("_k")).join(wanted, ["doc", "_k"], "left_semi")
+    held = long.join(pieces, ["doc", "_k"]).where(F.contains("_h", F.col("_q"))).select("doc", "seq")
+    short = probes.where(F.length("_q") < PIECE).join(hay, "doc").where(F.contains("_h", F.col("_q"))).select("doc", "seq")
+    return alone.join(held.unionAll(short).distinct(), ["doc", "seq"], "left_anti").drop("_n", "_p")
 
 
 def diff_stats(matches: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -170,12 +246,38 @@ def omissions(holders: DataFrame, least: int = 30, witnesses: int = 2, probe: in
     found = pairs.mapInArrow(spans, "code string, norm string, span string").distinct()
     wit = texts.select(F.col("code").cast("string").alias("code"), F.col("norm").alias("w"), "n")
     seen = found.join(wit, "code").where(F.contains("w", F.expr(f"left(span, {probe})"))).groupBy("code", "norm", "span").agg(F.sum("n").alias("witnesses")).where(F.col("witnesses") >= witnesses)
-    longer = seen.select("code", "norm", F.col("span").alias("big"))
-    covered = seen.join(longer, ["code", "norm"]).where((F.length("big") > F.length("span")) & F.contains("big", F.expr("left(span, 40)"))).select("code", "norm", "span").distinct()
-    kept = seen.join(covered, ["code", "norm", "span"], "left_anti")
+    # the longest first, of equal ones by the alphabet; one is kept if no kept one has its first letters. A copy's pieces
+    # are pieces of one clause: few
+    order = F.array_sort(F.collect_list(F.struct((-F.length("span")).alias("far"), "span", "witnesses")))
+    keep = lambda kept, x: F.when(F.exists(kept, lambda k: F.contains(k["span"], F.left(x["span"], F.lit(40)))), kept).otherwise(F.concat(kept, F.array(x)))
+    greedy = seen.groupBy("code", "norm").agg(order.alias("s")).withColumn("s", F.aggregate("s", F.slice("s", 1, 0), keep))
+    kept = greedy.select("code", "norm", F.explode("s").alias("x")).select("code", "norm", "x.span", "x.witnesses")
     return kept.join(h.select(F.col("code").cast("string").alias("code"), "norm", "policy"), ["code", "norm"]).select("code", "policy", "span", "witnesses")
 
 
+def medoids(holders: DataFrame) -> DataFrame:
+    """(code, policy): of the copies (code, policy, text) of each code the one most like all others by the letters they
+    share; of fewer than three, or of equally central ones, the longest, then the first by name. A copy is its counts of 27
+    signs, so likeness needs no diff; copies of a code are one per policy."""
+    signs = "abcdefghijklmnopqrstuvwxyz "
+    h = holders.withColumn("norm", n5("text"))
+    counts = F.array(*[F.length("norm") - F.length(F.replace("norm", F.lit(c), F.lit(""))) for c in signs])
+    h = h.select("code", "policy", F.length("norm").alias("n"), counts.alias("v"))
+    x, y = h.alias("x"), h.alias("y")
+    shared = F.aggregate(F.zip_with(F.col("x.v"), F.col("y.v"), lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
+    like = x.join(y, (F.col("x.code") == F.col("y.code")) & (F.col("x.policy") != F.col("y.policy")), "left").groupBy("x.code", "x.policy", "x.n").agg(F.coalesce(F.avg(F.try_divide(2 * shared, F.col("x.n") + F.col("y.n"))), F.lit(0.0)).alias("like"), F.count("y.policy").alias("others"))
+    rank = F.struct(F.when(F.col("others") >= 2, F.round("like", 9)).otherwise(0.0).alias("a"), F.col("n").alias("b"))
+    top = like.withColumn("rank", rank).groupBy("code").agg(F.max("rank").alias("top"))
+    return like.withColumn("rank", rank).join(top, "code").where(F.col("rank") == F.col("top")).groupBy("code").agg(F.min("policy").alias("policy"))
+
+
+def biggest_changes(matches: DataFrame, a: DataFrame, b: DataFrame, n: int) -> DataFrame:
+    """The n matches whose texts differ most in length, with the difference; of equal ones the first by document and place."""
+    x, y = a.select("doc", F.col("seq").alias("seq_a"), F.length(n7("text")).alias("la")), b.select("doc", F.col("seq").alias("seq_b"), F.length(n7("text")).alias("lb"))
+    d = matches.join(x, ["doc", "seq_a"]).join(y, ["doc", "seq_b"]).withColumn("delta", F.col("lb") - F.col("la"))
+    return d.where("delta <> 0").orderBy(F.desc(F.abs("delta")), "doc", "seq_a").limit(n).select("doc", "seq_a", "seq_b", "delta")
+
+
 def longest_per(df: DataFrame, keys: list[str], text: str, seq: str) -> DataFrame:
     """The row with the longest text of each key, the first of equally long ones."""
     names = [c for c in df.columns if c not in keys]
@@ -183,14 +285,25 @@ def longest_per(df: DataFrame, keys: list[str], text: str, seq: str) -> DataFram
     return best.select(*keys, *[F.col("_r")[c].alias(c) for c in names])
 
 
-def resolve_page(text: Column, chunk: Column, page: Column, start: Column, probe: int = 80) -> Column:
-    """The page a text of a chunk stands on: the given one if the chunk has it, else that of the last page mark before
-    the place where the text's beginning is found, else the chunk's first."""
-    marks = F.regexp_extract_all(chunk, F.lit(r"\[\[page (\d+)\]\]"), 1)
-    head = F.substring_index(chunk, F.left(F.trim(text), F.lit(probe)), 1)
-    before = F.regexp_extract_all(head, F.lit(r"\[\[page (\d+)\]\]"), 1)
-    located = F.contains(chunk, F.left(F.trim(text), F.lit(probe)))
-    return F.when(F.array_contains(marks, page.cast("string")), page.cast("long")).when(located & (F.size(before) > 0), F.element_at(before, -1).cast("long")).otherwise(start.cast("long"))
+_MARK = re.compile(PAGE_MARK)
+
+
+@F.arrow_udf(T.LongType())
+def resolve_page(text: pa.Array, chunk: pa.Array, page: pa.Array, start: pa.Array) -> pa.Array:
+    """The page a text of a chunk stands on: the given one if the chunk has it, else that of the last page mark before the
+    place where the text's beginning is found, else the chunk's first. The place is found in normal form, by eighty
+    characters, and scaled by the two lengths."""
+    out = []
+    for t, c, p, first in zip(*(x.to_pylist() for x in (text, chunk, page, start))):
+        marks = [(m.start(), int(m.group(1))) for m in _MARK.finditer(c or "")]
+        if p is not None and any(p == n for _, n in marks):
+            out.append(p)
+            continue
+        flat, probe = verbatim_key(c) or "", (verbatim_key(t) or "")[:80]
+        at = flat.find(probe) if probe else -1
+        before = [n for place, n in marks if at >= 0 and place <= int(at / max(1, len(flat)) * len(c))]
+        out.append(before[-1] if before else first)
+    return pa.array(out, pa.int64())
 
 
 def mentions(letter: str, names: list[str]) -> list[str]:

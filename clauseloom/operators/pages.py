@@ -48,6 +48,13 @@ def folio_offsets(lines: DataFrame, share: float = 0.3) -> DataFrame:
     return best.join(total, "doc").where(F.col("b.agreeing") >= F.greatest(F.lit(3.0), share * F.col("n"))).select("doc", "b.off", "b.agreeing")
 
 
+def edge_keys(lines: DataFrame, n: int = 2) -> DataFrame:
+    """(doc, page, key): the keys of the first and last n lines of every page, blank ones aside, each once."""
+    on_page = Window.partitionBy("doc", "page")
+    outer = F.least(F.dense_rank().over(on_page.orderBy("pos")), F.dense_rank().over(on_page.orderBy(F.desc("pos")))) <= n
+    return lines.withColumn("_outer", outer).where("_outer").select("doc", "page", n6("line").alias("key")).where("key <> ''").distinct()
+
+
 def stripped(lines: DataFrame, furniture: DataFrame, offsets: DataFrame) -> DataFrame:
     """The lines that are wording: no learned furniture, folio, piece of learned furniture or furniture by pattern. Pieces
     agree in 22 letters if their key is among the first or last two lines of the page, in 44 elsewhere."""
@@ -106,55 +113,81 @@ def sentence_start_distance(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"(?s)^.*[.!?]\s", ""))
 
 
-def chunked(pages: list[tuple[int, str, str]], most: int, overlap: int) -> list[tuple[str, str, int, int]]:
-    """(section, text, first page, last page) of chunks of one document's pages (page, section, text) in order. A chunk
-    ends where the section changes or where the next page would make it longer than most; a page is never split. After
-    an end by length the next chunk opens with the last `overlap` characters, from the beginning of a line if one is near."""
-    out, held, section = [], [], None
-
-    def flush() -> None:
-        out.append((section, "\n".join(t for _, t in held), held[0][0], held[-1][0]))
-
-    for page, name, text in pages:
-        full = sum(len(t) for _, t in held) + len(text) > most
-        if held and (name != section or full):
-            flush()
-            last_page, last = held[-1]
-            held = []
-            if name == section and overlap:
-                tail = last.split("]]\n", 1)[-1][-overlap:]
-                near = tail[:200].find("\n")
-                tail = tail[near + 1 :] if near >= 0 else tail
-                held = [(last_page, f"[[page {last_page}]]\n{tail}")]
-        section = name
-        held.append((page, f"[[page {page}]]\n{text}"))
-    if held:
-        flush()
-    return out
+def page_mark(page: Column) -> Column:
+    return F.format_string("[[page %d]]", page)
 
 
-def chunks(pages: DataFrame, most: int = 6000, overlap: int = 1500) -> DataFrame:
-    """(doc, chunk, section, text, start_page, end_page) of pages (doc, page, section, text). Which pages a chunk holds
-    depends on all before it, so a document's pages are read in order by one task; a document is a bounded thing."""
-    import pyarrow as pa
+def carried(text: Column, overlap: int) -> Column:
+    """What of a page the next chunk opens with: all of it, or its last `overlap` characters from the beginning of a line
+    on, if one begins within the first 200 of these."""
+    tail = F.right(text, F.lit(overlap))
+    line = F.locate("\n", F.left(tail, F.lit(200)))
+    return F.when(F.length(text) <= overlap, text).when(line > 0, F.substring(tail, line + 1, F.lit(overlap))).otherwise(tail)
 
-    def cut(key: tuple, t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t["page"].to_pylist(), t["section"].to_pylist(), t["text"].to_pylist()))
-        got = chunked([(p, s, x or "") for p, s, x in rows], most, overlap)
-        cols = list(zip(*got)) or [(), (), (), ()]
-        return pa.table({"doc": pa.array([key[0].as_py()] * len(got), pa.string()), "chunk": pa.array(range(len(got)), pa.int32()), "section": pa.array(cols[0], pa.string()), "text": pa.array(cols[1], pa.string()), "start_page": pa.array(cols[2], pa.int64()), "end_page": pa.array(cols[3], pa.int64())})
 
-    return pages.select(F.col("doc").cast("string").alias("doc"), F.col("page").cast("long").alias("page"), "section", "text").groupBy("doc").applyInArrow(cut, "doc string, chunk int, section string, text string, start_page long, end_page long")
+def chunk_borders(pages: DataFrame, most: int = 6000, overlap: int = 1500) -> DataFrame:
+    """(doc, page, chunk, opens): the chunk of every page of pages (doc, page, section, text), and for the first page of one
+    that was opened by length, the page whose end it carries.
 
+    A chunk ends where the section changes, or where what it holds, page marks included, and the next page are longer
+    than most; a page is never split. Blank pages are in none. Only lengths travel: pages go to a task by document and
+    stream through it in order, sorted with spill, with one number for each; no document is held.
+    """
+    import pyarrow as pa
 
-def boundary_report(chunks_: DataFrame, overlap: int = 1500) -> DataFrame:
-    """Per document: chunks, boundaries within a section, how many cut a sentence, how many of these the overlap recovers."""
+    def number(batches):  # noqa: ANN001, ANN202
+        doc, section, chunk, held, last = None, None, -1, 0, (0, 0)
+        for batch in batches:
+            out = []
+            for d, page, name, size, tail, mark in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                opens = None
+                if d != doc:
+                    doc, section, chunk, held = d, name, 0, 0
+                elif name != section or held + size > most:
+                    chunk += 1
+                    if name == section and overlap:
+                        opens = last[0]
+                        held = last[1]
+                    else:
+                        held = 0
+                    section = name
+                held, last = held + size + mark, (page, tail + mark)
+                out.append((d, page, chunk, opens))
+            cols = list(zip(*out)) or [(), (), (), ()]
+            yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["doc", "page", "chunk", "opens"])
+
+    sized = _written(pages).select("doc", "page", "section", F.length("text").alias("size"), F.length(carried(F.col("text"), overlap)).alias("tail"), (F.length(page_mark(F.col("page"))) + 1).alias("mark"))
+    return sized.repartition("doc").sortWithinPartitions("doc", "page").mapInArrow(number, "doc string, page long, chunk int, opens long")
+
+
+def _written(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("doc").cast("string").alias("doc"), F.col("page").cast("long").alias("page"), "section", "text").where(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "") != "")
+
+
+def chunks(pages: DataFrame, most: int = 6000, overlap: int = 1500) -> DataFrame:
+    """(doc, chunk, section, text, start_page, end_page) of pages (doc, page, section, text): chunk_borders, and the text
+    gathered afterwards; a chunk opened by length begins with the end of the page before. A null section is one of its
+    own. Chunks are at most `most` characters and a page long."""
+    from clauseloom.session import cut_lineage
+
+    written, borders = _written(pages), cut_lineage(chunk_borders(pages, most, overlap))
+    whole = borders.join(written, ["doc", "page"]).select("doc", "chunk", "section", F.lit(1).alias("k"), "page", "text")
+    ends = borders.where("opens is not null").select("doc", "chunk", F.col("opens").alias("page")).join(written, ["doc", "page"]).select("doc", "chunk", "section", F.lit(0).alias("k"), "page", carried(F.col("text"), overlap).alias("text"))
+    pieces = whole.unionAll(ends).withColumn("text", F.concat_ws("\n", page_mark(F.col("page")), "text"))
+    held = pieces.groupBy("doc", "chunk").agg(F.max_by("section", "page").alias("section"), F.array_sort(F.collect_list(F.struct("k", "page", "text"))).alias("x"))
+    text = F.regexp_replace(F.array_join(F.transform("x", lambda p: p["text"]), "\n"), r"^\s+|\s+$", "")
+    return held.select("doc", "chunk", "section", text.alias("text"), F.col("x")[0]["page"].alias("start_page"), F.element_at("x", -1)["page"].alias("end_page"))
+
+
+def boundary_report(pages: DataFrame, most: int = 6000, overlap: int = 1500) -> DataFrame:
+    """Per document of pages (doc, page, section, text): chunks without overlap, boundaries between two of one section, how
+    many of these cut a sentence, how many of them the overlap recovers, and the others: (after_page, chars_back, tail)."""
     w = Window.partitionBy("doc").orderBy("chunk")
-    b = chunks_.withColumn("next", F.lead("section").over(w)).withColumn("within", F.coalesce(F.col("next") == F.col("section"), F.lit(False)))
-    body = F.rtrim(F.regexp_replace("text", r"^\[\[page \d+\]\]\n", ""))
-    cut = F.col("within") & ~body.rlike(r"[.!?]$")
-    back = sentence_start_distance(body)
-    return b.groupBy("doc").agg(F.count("*").alias("chunks"), F.count_if("within").alias("boundaries"), F.count_if(cut).alias("cut"), F.count_if(cut & (back <= overlap)).alias("recoverable"))
+    b = chunks(pages, most, 0).withColumn("next", F.lead("section").over(w)).withColumn("within", F.coalesce(F.col("next") == F.col("section"), F.lit(False)))
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\[\[page \d+\]\]", ""), r"[ \t]+", " "), r"^\s+|\s+$", "")
+    b = b.withColumn("body", body).withColumn("cut", F.col("within") & (F.col("body") != "") & ~F.col("body").rlike(r"[.!?]$")).withColumn("back", sentence_start_distance(F.col("body")))
+    lost = F.when(F.col("cut") & (F.col("back") > overlap), F.struct(F.col("end_page").alias("after_page"), F.col("back").alias("chars_back"), F.right("body", F.lit(70)).alias("tail")))
+    return b.groupBy("doc").agg(F.count("*").alias("chunks"), F.count_if("within").alias("boundaries"), F.count_if("cut").alias("cut"), F.count_if(F.col("cut") & (F.col("back") <= overlap)).alias("recoverable"), F.array_sort(F.collect_list(lost)).alias("unrecovered"))
 
 
 def silent_runs(sent: DataFrame, held: DataFrame) -> DataFrame:
@@ -169,21 +202,38 @@ def coverage_kinds(runs: DataFrame, ceiling: int = 8, warn: int = 3) -> DataFram
     return runs.withColumn("level", F.when(F.col("pages") > ceiling, "block").when(F.col("pages") >= warn, "warn").otherwise("note"))
 
 
-# Headings of the reference lists.
+# Headings of the reference lists, their codes and what these say.
 LISTS = {"I": "not_payable", "II": "subsume_room", "III": "subsume_procedure", "IV": "subsume_treatment"}
+LIST_MEANINGS = {
+    "not_payable": "Items for which coverage is not available in the policy", "subsume_room": "Items that are to be subsumed into Room Charges",
+    "subsume_procedure": "Items that are to be subsumed into Procedure Charges", "subsume_treatment": "Items that are to be subsumed into costs of treatment",
+}
+
+
+def rejoined(lines: DataFrame) -> DataFrame:
+    """lines (doc, page, pos, line) where a line that is a serial number alone stands before the next line of its page, if
+    that begins with no number; columns are kept."""
+    w = Window.partitionBy("doc", "page").orderBy("pos")
+    lone = F.col("line").rlike(r"^\s*\d{1,3}[.):]?\s*$")
+    marked = lines.withColumn("_lone", lone).withColumn("_before", F.lag(F.when(lone, F.trim("line"))).over(w)).withColumn("_after", F.lead("line").over(w))
+    takes = F.col("_before").isNotNull() & ~F.col("_lone") & ~F.col("line").rlike(r"^\s*\d")
+    given = F.col("_lone") & F.coalesce(~F.col("_after").rlike(r"^\s*\d"), F.lit(False))
+    return marked.where(~given).withColumn("line", F.when(takes, F.concat_ws(" ", "_before", F.trim("line"))).otherwise(F.col("line"))).drop("_lone", "_before", "_after")
 
 
 def list_items(lines: DataFrame) -> DataFrame:
-    """(doc, page, pos, category, item): numbered items under `LIST I` to `LIST IV`, the list carried over lines and
+    """(doc, page, pos, category, category_description, item): numbered items under `LIST I` to `LIST IV`, the list carried over lines and
     pages, up to the first page that names an ombudsman; header cells and short names dropped, the first of equal names kept."""
     w = Window.partitionBy("doc").orderBy("page", "pos")
     number = F.regexp_extract("line", r"(?i)\bLIST\s+(IV|I{1,3})\b", 1)
-    labelled = lines.withColumn("_l", F.when(number != "", F.upper(number))).withColumn("list", F.last("_l", ignorenulls=True).over(w))
+    labelled = rejoined(lines).withColumn("_l", F.when(number != "", F.upper(number))).withColumn("list", F.last("_l", ignorenulls=True).over(w))
     stopped = labelled.withColumn("_stop", F.max(F.when(F.col("line").rlike("(?i)OMBUDSMAN") & F.col("list").isNotNull(), 1).otherwise(0)).over(w)).where("_stop = 0 and list is not null and _l is null")
     items = stopped.select("doc", "page", "pos", "list", F.posexplode(F.regexp_extract_all("line", F.lit(r"(?:^|\s)\d{1,3}[.):]?\s+([A-Za-z][^\d\n]{2,70}?)(?=\s+\d{1,3}[.):]?\s+[A-Za-z]|\s*$)"), 1)).alias("k", "item"))
     category = F.create_map(*[F.lit(x) for kv in LISTS.items() for x in kv])[F.col("list")]
     good = items.withColumn("item", n7("item")).withColumn("category", category).where((F.length("item") >= 3) & ~F.upper("item").isin("ITEM", "ITEMS", "SL NO", "SL.NO", "S NO", "SR NO", "NO", "PARTICULARS"))
-    return good.groupBy("doc", "category", F.upper("item").alias("_u")).agg(F.min_by(F.struct("page", "pos", "k", "item"), F.struct("page", "pos", "k")).alias("x")).select("doc", "x.page", "x.pos", "category", "x.item")
+    first = good.groupBy("doc", "category", F.upper("item").alias("_u")).agg(F.min_by(F.struct("page", "pos", "k", "item"), F.struct("page", "pos", "k")).alias("x"))
+    meaning = F.create_map(*[F.lit(x) for kv in LIST_MEANINGS.items() for x in kv])[F.col("category")]
+    return first.select("doc", "x.page", "x.pos", "category", meaning.alias("category_description"), "x.item")
 
 
 def gutter(words: DataFrame) -> DataFrame:

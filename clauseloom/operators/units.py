@@ -78,19 +78,63 @@ def solved_units(recorded: DataFrame, amounts: DataFrame, units: DataFrame) -> D
     return ranked.select("name", "kind", F.col("u")[0]["unit"].alias("unit"), F.col("u")[0]["r"].alias("residual"), (second - F.col("u")[0]["r"] > MARGIN).alias("unique"))
 
 
-def candidate_units(names: DataFrame, name: str) -> DataFrame:
-    """(name, kind, unit, order) of the distinct column names that name a quantity."""
+#: Combinations of units of one identity at most.
+MOST_COMBINATIONS = 2000
+
+
+def solved_combinations(df: DataFrame, exponents: dict[str, float], candidates: dict[str, list[float]]) -> DataFrame:
+    """(units, residual, rows, unique): the units of several columns that an identity among them leaves, best first.
+
+    exponents says the identity: the product of column ** exponent is one (mass / (density * volume):
+    mass 1, density -1, volume -1). candidates has the units each column may be in; a column with one is known.
+    The residual of a combination is the mean |log of the product| over the rows where all columns are
+    positive, each clipped at CLIP; it is a sum of logarithms and the combination's own offset, so one pass
+    over the rows serves all of them. units maps columns to units. unique is false for all combinations
+    within MARGIN of the best where there is more than one: the identity cannot tell them apart. Without a
+    row that speaks, residual is null and none is unique. More than MOST_COMBINATIONS are an error.
+    """
+    import itertools
+    import math
+
+    columns = sorted(exponents)
+    combinations = list(itertools.product(*(candidates[c] for c in columns)))
+    if len(combinations) > MOST_COMBINATIONS:
+        raise ValueError(f"{len(combinations)} combinations of units, at most {MOST_COMBINATIONS}")
+    good = df.where(" and ".join(f"coalesce(`{c}` > 0, false)" for c in columns))
+    total = sum((F.lit(float(exponents[c])) * F.log(F.col(f"`{c}`").cast("double")) for c in columns), F.lit(0.0))
+    offsets = [sum(exponents[c] * math.log(u) for c, u in zip(columns, combo)) for combo in combinations]
+    distinct = sorted({round(o, 12) for o in offsets})  # many combinations move the product by the same
+    means = good.select(total.alias("s")).agg(F.count("*").alias("n"), *[F.avg(F.least(F.abs(F.col("s") + o), F.lit(CLIP))).alias(f"m{i}") for i, o in enumerate(distinct)]).first()
+    residual = {o: means[f"m{i}"] for i, o in enumerate(distinct)}
+    scored = [(dict(zip(columns, combo)), residual[round(o, 12)]) for combo, o in zip(combinations, offsets)]
+    least = min((r for _, r in scored if r is not None), default=None)
+    near = sum(r is not None and r <= least + MARGIN for _, r in scored)
+    rows = [({k: float(v) for k, v in u.items()}, r, means["n"], r is not None and r <= least + MARGIN and near == 1) for u, r in scored]
+    rows.sort(key=lambda x: (x[1] is None, x[1] or 0.0, sorted(x[0].items())))
+    return df.sparkSession.createDataFrame(rows, "units map<string,double>, residual double, rows long, unique boolean")
+
+
+def candidate_units(names: DataFrame, name: str, open_: bool = False) -> DataFrame:
+    """(name, kind, unit, order) of the distinct column names that name a quantity; with open_ all units of its kind,
+    whatever the name says."""
     spark = names.sparkSession
-    rows = [(n, found[0], float(u), k) for (n,) in names.select(name).distinct().collect() if (found := name_units(n)) for k, u in enumerate(found[1])]  # column names of a schema: a fixed list
+    rows = [(n, found[0], float(u), k) for (n,) in names.select(name).distinct().collect() if (found := name_units(n)) for k, u in enumerate(OPEN_UNITS[found[0]] if open_ else found[1])]  # column names of a schema: a fixed list
     return spark.createDataFrame(rows, "name string, kind string, unit double, order int")
 
 
 def common_units(df: DataFrame, id: str, text: str, fields: str, names: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """((id, origin, kind, amount), units): all quantities of df in common units, stated in text or recorded in the map
-    fields (name -> struct with model), and the solved unit of each name. Null records are none."""
+    fields (name -> struct with model), and the solved unit of each name. A name that says its unit leaves no choice; units
+    also has free_unit, the one that the rows alone speak for among all of its kind, with its residual and whether it is
+    unique, to hold against what the name says. Null records are none."""
     amounts = cut_lineage(stated(df, id, text))
     recorded = df.select(F.col(id).alias("id"), F.explode(F.transform_values(fields, lambda k, v: v["model"])).alias("name", "value")).where("value is not null and not isnan(value)")
-    units = solved_units(recorded, amounts, candidate_units(names, name))
+    units = cut_lineage(solved_units(recorded, amounts, candidate_units(names, name)))
     values = recorded.join(F.broadcast(units), "name")  # one row a name
     values = values.select("id", F.lit("recorded").alias("origin"), "kind", F.floor(F.col("value") * F.col("unit") + 0.5 + 1e-9).cast("long").alias("amount"))
-    return amounts.select("id", F.lit("text").alias("origin"), "kind", "amount").unionAll(values).distinct(), units
+    return amounts.select("id", F.lit("text").alias("origin"), "kind", "amount").unionAll(values).distinct(), _beside(units, recorded, amounts, names, name)
+
+
+def _beside(units: DataFrame, recorded: DataFrame, amounts: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    free = solved_units(recorded, amounts, candidate_units(names, name, open_=True))
+    return units.join(F.broadcast(free.select("name", F.col("unit").alias("free_unit"), F.col("residual").alias("free_residual"), F.col("unique").alias("free_unique"))), "name")  # one row a name

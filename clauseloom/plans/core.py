@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseloom.functions import text
-from clauseloom.operators import audits, bills, gates, matching, pages, retrieval, units
+from clauseloom.operators import audits, bills, gates, matching, pages, pipelines, retrieval, units
+from clauseloom.plans import sqls
 from clauseloom.sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,10 +100,11 @@ def a2_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a3_duplicate_texts",
-    "SELECT clause_text, count(*) AS copies, count(DISTINCT insurer) AS insurers FROM rebuild_embeddings WHERE clause_text IS NOT NULL GROUP BY clause_text HAVING count(*) > 1 ORDER BY copies DESC, clause_text LIMIT 20",
+    "SELECT clause_text, count(*) AS copies, count(DISTINCT policy_id) AS policies FROM numeric_audit_findings WHERE clause_text IS NOT NULL GROUP BY clause_text HAVING count(*) > 1 ORDER BY copies DESC, clause_text LIMIT 20",
 )
 def a3_duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.duplicate_texts(clauses(spark, sf_dir), 20)
+    """The texts that most findings share, and how many policies have them."""
+    return retrieval.duplicate_texts(table(spark, sf_dir, "numeric_audit_findings").withColumn("insurer", F.col("policy_id")), 20).withColumnRenamed("insurers", "policies")
 
 
 @query("a4_insurers_per_policy", "SELECT policy_id, count(DISTINCT insurer) AS insurers FROM run_manifest GROUP BY policy_id")
@@ -110,7 +112,7 @@ def a4_insurers_per_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "run_manifest").groupBy("policy_id").agg(F.countDistinct("insurer").alias("insurers"))
 
 
-@query("p18_clause_blocks")
+@query("p18_clause_blocks", sqls.CLAUSE_BLOCKS)
 def p18_clause_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.clause_block(clauses(spark, sf_dir), "policy_id", "seq", ["waiting_period_days", "monetary_cap", "percent_cap"])
 
@@ -183,16 +185,36 @@ def w1_continues_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.continues_previous(_records(spark, sf_dir)).select("finding_id")
 
 
-_REPORT_KINDS = ["truncated", "empty", "no_terminal_punctuation"]
+_ROW_KINDS = ["truncated", "empty", "no_terminal_punctuation", "embedded_contact_details", "starts_mid_sentence", "masthead_fragment"]
+_REPORT_KINDS = [*_ROW_KINDS, "page_number_splice", "continues_previous"]
+_KINDS = f"(SELECT policy_id, finding_id AS seq, unnest([truncated, contact_details, mid_sentence, masthead]) AS kind FROM ({_GATED}))"
+
+
+@query("a7_gate_report")
+def a7_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of every gate, of records and of sequences, per policy and kind, with a TOTAL."""
+    return gates.pivot_with_total(gates.findings_long(_records(spark, sf_dir)), "policy_id", "kind", _REPORT_KINDS)
 
 
 @query(
-    "a7_gate_report",
-    "SELECT CASE WHEN grouping(policy_id) = 1 THEN 'TOTAL' ELSE policy_id END AS policy_id, " + ", ".join(f"count(*) FILTER (WHERE truncated = '{k}') AS {k}" for k in _REPORT_KINDS) + f" FROM ({_GATED}) WHERE truncated IS NOT NULL GROUP BY ROLLUP (policy_id)",
+    "a7_record_report",
+    "SELECT CASE WHEN grouping(policy_id) = 1 THEN 'TOTAL' ELSE policy_id END AS policy_id, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in _ROW_KINDS) + f" FROM {_KINDS} WHERE kind IS NOT NULL GROUP BY ROLLUP (policy_id)",
 )
-def a7_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _records(spark, sf_dir).select("policy_id", gates.truncated().alias("kind")).where("kind is not null")
-    return gates.pivot_with_total(found, "policy_id", "kind", _REPORT_KINDS)
+def a7_record_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the gates that a look at a record's words alone decides."""
+    contact = gates.is_contact()
+    kinds = F.array(gates.truncated(), gates.contact_details(contact), gates.starts_mid_sentence(), gates.masthead(contact))
+    found = _records(spark, sf_dir).select("policy_id", F.explode(kinds).alias("kind")).where("kind is not null")
+    return gates.pivot_with_total(found, "policy_id", "kind", _ROW_KINDS)
+
+
+@query("a8_finding_kinds", f"SELECT kind, kind <> 'no_terminal_punctuation' AS blocked, count(*) AS n FROM {_KINDS} WHERE kind IS NOT NULL GROUP BY kind")
+def a8_finding_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many findings of each kind there are, the most frequent first."""
+    contact = gates.is_contact()
+    kinds = F.array(gates.truncated(), gates.contact_details(contact), gates.starts_mid_sentence(), gates.masthead(contact))
+    found = _records(spark, sf_dir).select(F.explode(kinds).alias("kind")).where("kind is not null")
+    return pipelines.kinds_of(found.withColumn("blocked", F.col("kind").isin(gates.BLOCKING)))
 
 
 @query("c2_findings")
@@ -203,12 +225,15 @@ def c2_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "g22_accepted",
-    f"SELECT finding_id AS seq, truncated AS kind, truncated IN ('truncated', 'empty') AND row_number() OVER (PARTITION BY truncated ORDER BY finding_id) > CASE truncated WHEN 'truncated' THEN 5 ELSE 0 END AS blocked FROM ({_GATED}) WHERE truncated IS NOT NULL",
+    f"SELECT seq, kind, kind <> 'no_terminal_punctuation' AND row_number() OVER (PARTITION BY kind ORDER BY seq) > CASE kind WHEN 'truncated' THEN 5 WHEN 'starts_mid_sentence' THEN 3 ELSE 0 END AS blocked FROM {_KINDS} WHERE kind IS NOT NULL",
 )
 def g22_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five truncated records are accepted, the rest block."""
-    found = _records(spark, sf_dir).select("seq", gates.truncated().alias("kind")).where("kind is not null")
-    return gates.accepted(found, {"truncated": 5}).select("seq", "kind", "blocked")
+    """Findings of records of every kind: the first five truncated ones and the first three that begin in mid-sentence are
+    accepted, the rest block, but for ends without punctuation."""
+    contact = gates.is_contact()
+    kinds = F.array(gates.truncated(), gates.contact_details(contact), gates.starts_mid_sentence(), gates.masthead(contact))
+    found = _records(spark, sf_dir).select("seq", F.explode(kinds).alias("kind")).where("kind is not null")
+    return gates.accepted(found, {"truncated": 5, "starts_mid_sentence": 3}).select("seq", "kind", "blocked")
 
 
 @query(
@@ -220,16 +245,29 @@ def g20_manifest_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.manifest_findings(table(spark, sf_dir, "run_manifest"))
 
 
-_MAST = r"\b(?:COMPANY\s+LIMITED|POLICY\s+WORDINGS?|INSURANCE\s+CO\b|UIN\s*[:.]|IRDA[I]?\s+REG|\bCIN\b|TOLL\s*FREE|REGISTERED\s+OFFICE)"
+@query("a23_survey")
+def a23_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with furniture left in them, per policy and kind: pipe, masthead_caps and caps_run."""
+    found = table(spark, sf_dir, "numeric_audit_findings").select("policy_id", F.explode(gates.survey()).alias("kind"))
+    return found.groupBy("policy_id", "kind").agg(F.count("*").alias("findings"))
+
+
+@query("a23_survey_clauses")
+def a23_survey_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of how many clauses of a policy any kind is; a finding without a clause is one of its own."""
+    found = table(spark, sf_dir, "numeric_audit_findings").where(F.size(gates.survey()) > 0)
+    return found.groupBy("policy_id").agg(F.countDistinct(F.coalesce("clause_id", F.concat_ws("", F.lit("#"), F.col("finding_id").cast("string")))).alias("clauses"))
 
 
 @query(
-    "a23_survey",
-    f"SELECT policy_id, kind, count(*) AS findings FROM (SELECT policy_id, unnest([CASE WHEN contains(t, '|') THEN 'pipe' END, CASE WHEN regexp_matches(t, '{_MAST}') THEN 'masthead_caps' END]) AS kind FROM (SELECT policy_id, {_T} AS t FROM numeric_audit_findings)) WHERE kind IS NOT NULL GROUP BY policy_id, kind",
+    "a23_pipes_and_names",
+    r"""SELECT policy_id, kind, count(*) AS findings FROM (SELECT policy_id, unnest([CASE WHEN contains(t, '|') THEN 'pipe' END,
+    CASE WHEN regexp_matches(t, '\b(?:COMPANY\s+LIMITED|POLICY\s+WORDINGS?|INSURANCE\s+CO\b|UIN\s*[:.]|IRDA[I]?\s+REG|\bCIN\b|TOLL\s*FREE|REGISTERED\s+OFFICE)') THEN 'masthead_caps' END]) AS kind
+    FROM (SELECT policy_id, trim(regexp_replace(coalesce(clause_text, ''), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS t FROM numeric_audit_findings)) WHERE kind IS NOT NULL GROUP BY policy_id, kind""",
 )
-def a23_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings with furniture left in them, per policy and kind: pipe, masthead_caps and caps_run. The SQL knows the first two."""
-    found = table(spark, sf_dir, "numeric_audit_findings").select("policy_id", F.explode(gates.survey()).alias("kind"))
+def a23_pipes_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of a23_survey that one pattern decides."""
+    found = table(spark, sf_dir, "numeric_audit_findings").select("policy_id", F.explode(gates.survey()).alias("kind")).where("kind <> 'caps_run'")
     return found.groupBy("policy_id", "kind").agg(F.count("*").alias("findings"))
 
 
@@ -247,9 +285,9 @@ def a22_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.pivot_with_total(f.select("policy_id", F.explode(kinds).alias("kind")).where("kind is not null"), "policy_id", "kind", ["page_number", "masthead_fragment", "stray_number"])
 
 
-@query("g25_title_probe", f"SELECT vec_id, clause_title, source_page FROM rebuild_embeddings WHERE contains({_N4.format('clause_title')}, 'waiver') AND source_page BETWEEN 5 AND 60")
+@query("g25_title_probe", f"SELECT vec_id, clause_title, source_page FROM rebuild_embeddings WHERE contains({_N4.format('clause_title')}, 'period') AND source_page BETWEEN 5 AND 60")
 def g25_title_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clauses(spark, sf_dir).where(F.col("source_page").between(5, 60) & F.contains(text.n4("clause_title"), F.lit("waiver"))).select("vec_id", "clause_title", "source_page")
+    return clauses(spark, sf_dir).where(F.col("source_page").between(5, 60) & F.contains(text.n4("clause_title"), F.lit("period"))).select("vec_id", "clause_title", "source_page")
 
 
 # --- pages
@@ -296,24 +334,29 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc", "page", F.array_join(F.transform("x", lambda x: x["clause_text"]), "\n").alias("text"))
 
 
-@query("w2_sections")
+@query("w2_sections", sqls.sections())
 def w2_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.sections(_pages(spark, sf_dir), "doc", "page", "text")
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pages(spark, sf_dir)
-    return pages.chunks(p.join(pages.sections(p, "doc", "page", "text"), ["doc", "page"]))
+    return p.join(pages.sections(p, "doc", "page", "text"), ["doc", "page"])
 
 
-@query("t1_chunks")
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.chunks(_sectioned(spark, sf_dir))
+
+
+@query("t1_chunks", sqls.chunks())
 def t1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir)
 
 
-@query("a11_boundary_report")
+@query("a11_boundary_report", sqls.boundaries())
 def a11_boundary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.boundary_report(_chunks(spark, sf_dir))
+    """Boundaries of chunks per run's file; lost counts those that the overlap does not recover."""
+    return pages.boundary_report(_sectioned(spark, sf_dir)).select("doc", "chunks", "boundaries", "cut", "recoverable", F.size("unrecovered").cast("long").alias("lost"))
 
 
 @query(
@@ -354,30 +397,18 @@ def u5_pages_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every two successive runs of a policy, the earlier and the later records. The SQL knows the v15 and v16 files alone."""
+    """Every two successive runs of a policy, the earlier and the later records."""
     f = table(spark, sf_dir, "numeric_audit_findings").select(F.col("policy_id").alias("doc"), F.col("finding_id").alias("seq"), F.col("source_page").alias("page"), F.col("clause_title").alias("title"), F.col("clause_text").alias("text"), "source_file")
     return matching.successive_runs(f)
 
 
-_MATCH = f"""WITH f AS (SELECT policy_id AS doc, finding_id AS seq, source_page AS page, {_N4.format("clause_title")} AS k1, left({_N4.format("clause_text")}, 70) AS k2, {_T} AS t, source_file FROM numeric_audit_findings),
-  a AS (SELECT * FROM f WHERE contains(source_file, '_v15_')), b AS (SELECT * FROM f WHERE contains(source_file, '_v16_')),
-  a1 AS (SELECT *, row_number() OVER (PARTITION BY doc, page, k1 ORDER BY seq) AS k FROM a WHERE page IS NOT NULL AND k1 <> ''), b1 AS (SELECT *, row_number() OVER (PARTITION BY doc, page, k1 ORDER BY seq) AS k FROM b WHERE page IS NOT NULL AND k1 <> ''),
-  m1 AS (SELECT a1.doc, a1.seq AS seq_a, b1.seq AS seq_b FROM a1 JOIN b1 USING (doc, page, k1, k)),
-  a2 AS (SELECT *, row_number() OVER (PARTITION BY doc, k2 ORDER BY seq) AS k FROM a WHERE k2 <> '' AND seq NOT IN (SELECT seq_a FROM m1)), b2 AS (SELECT *, row_number() OVER (PARTITION BY doc, k2 ORDER BY seq) AS k FROM b WHERE k2 <> '' AND seq NOT IN (SELECT seq_b FROM m1)),
-  m AS (SELECT doc, seq_a, seq_b, 1 AS tier FROM m1 UNION ALL SELECT a2.doc, a2.seq, b2.seq, 2 FROM a2 JOIN b2 USING (doc, k2, k))"""
-
-
-@query("j2_run_matches", _MATCH + " SELECT doc, seq_a, seq_b, tier FROM m")
+@query("j2_run_matches")
 def j2_run_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of a run matched with those of the run before it."""
     return matching.run_matches(*_runs(spark, sf_dir)).withColumn("doc", F.col("doc.doc"))
 
 
-@query(
-    "a20_diff_stats",
-    _MATCH + """ SELECT m.doc AS doc, count(*) AS matched, count(*) FILTER (WHERE a.t = b.t) AS same, count(*) FILTER (WHERE a.t <> b.t) AS changed, count(*) FILTER (WHERE length(b.t) > length(a.t)) AS longer,
-    count(*) FILTER (WHERE length(b.t) < length(a.t)) AS shorter, CAST(sum(length(b.t) - length(a.t)) AS BIGINT) AS delta FROM m JOIN a ON m.seq_a = a.seq JOIN b ON m.seq_b = b.seq GROUP BY m.doc""",
-)
+@query("a20_diff_stats")
 def a20_diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What changed between runs of a policy, summed over all its successive ones."""
     a, b = _runs(spark, sf_dir)
@@ -456,15 +487,10 @@ def j11_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.verbatim(pairs, "evidence", "clause_text").groupBy("how").agg(F.count("*").alias("pairs"))
 
 
-_TITLES = f"""SELECT vec_id, min(CASE WHEN contains(lower({_T}), lower({_N7.format("e.clause_title")})) THEN 1 WHEN {_N4.format("e.clause_title")} <> '' AND contains({_N4.format("f.clause_text")}, {_N4.format("e.clause_title")}) THEN 2 ELSE 4 END) AS r
-  FROM rebuild_embeddings e JOIN numeric_audit_findings f ON e.policy_id = f.policy_id AND f.source_page BETWEEN e.source_page - 1 AND e.source_page + 1 WHERE trim(e.clause_title) <> '' AND f.clause_text IS NOT NULL GROUP BY vec_id""".replace("coalesce(clause_text", "coalesce(f.clause_text")
-
-
-@query("a10_short_fields", f"SELECT CASE r WHEN 1 THEN 'verbatim' WHEN 2 THEN 'normalised' ELSE 'absent' END AS verdict, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM ({_TITLES}) GROUP BY r")
+@query("a10_short_fields")
 def a10_short_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How exclusion codes, numbers and titles of clauses stand in the texts of their page and its neighbours, and the basis
-    of a cap in its clause, with the share of each verdict in its field. The SQL knows titles alone, and of these only
-    such as have a text near them."""
+    of a cap in its clause, with the share of each verdict in its field."""
     texts = table(spark, sf_dir, "numeric_audit_findings").select("policy_id", "source_page", "clause_text")
     return matching.short_fields(clauses(spark, sf_dir), texts)
 
@@ -477,12 +503,12 @@ def _bill_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reference list, every item of a category once, in order."""
-    i = table(spark, sf_dir, "non_payable_items").where("item_name is not null").groupBy("item_name", "category").agg(F.min("category_description").alias("category_description"))
-    return i.withColumn("item_seq", F.xxhash64("item_name", "category"))
+    """The reference list, every item of a category once, in the order of its file: the first of equally good items wins."""
+    i = table(spark, sf_dir, "non_payable_items").withColumn("item_seq", F.monotonically_increasing_id()).where("item_name is not null")
+    return i.groupBy("item_name", "category").agg(F.min("category_description").alias("category_description"), F.min("item_seq").alias("item_seq"))
 
 
-@query("p14_bill_lines")
+@query("p14_bill_lines", sqls.bill_lines())
 def p14_bill_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bill_lines(spark, sf_dir)
 
@@ -491,22 +517,34 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bills.matched_lines(_bill_lines(spark, sf_dir), _items(spark, sf_dir), "item_seq")
 
 
-@query("j5_bill_matches")
+@query("j5_bill_matches", sqls.bill_matches())
 def j5_bill_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir).where("item is not null").select("bill", "line_no", "description", "amount", "item_name", "matched_alternative", "category")
 
 
-@query("a13_bill_categories")
+@query("a13_bill_categories", sqls.bill_categories())
 def a13_bill_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bills.by_category(_matched(spark, sf_dir))
 
 
-@query("a14_bill_totals")
+@query("a14_bill_totals", sqls.bill_totals())
 def a14_bill_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bills.totals(_matched(spark, sf_dir))
 
 
-@query("p24_bill_letters")
+@query("o2_bill_findings", sqls.bill_findings())
+def o2_bill_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagged lines of every bill with their rank in it."""
+    return bills.findings(_matched(spark, sf_dir)).select("bill", "rank", "line_no", "category", "amount")
+
+
+@query("a24_bill_charges", sqls.bill_charges())
+def a24_bill_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every bill is never payable or charged twice, by category."""
+    return bills.by_charge(_matched(spark, sf_dir))
+
+
+@query("p24_bill_letters", sqls.bill_letters())
 def p24_bill_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bills.letter(_matched(spark, sf_dir))
 
@@ -537,12 +575,45 @@ def a9_numeric_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.tallies(f)
 
 
+_RECORDED = "(SELECT policy_id, e.key AS field, e.value.verdict AS verdict, e.value.convention AS convention FROM (SELECT policy_id, unnest(map_entries(fields)) AS e FROM numeric_audit_findings))"
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "numeric_audit_findings").select("policy_id", F.explode("fields").alias("field", "a"))
+    return f.select("policy_id", "field", "a.verdict", "a.convention")
+
+
+@query("a9_by_convention", f"SELECT field, convention, count(*) AS n FROM {_RECORDED} WHERE convention IS NOT NULL GROUP BY field, convention")
+def a9_by_convention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By what conventions the recorded numbers of each field were matched."""
+    return _recorded(spark, sf_dir).where("convention is not null").groupBy("field", "convention").agg(F.count("*").alias("n"))
+
+
+@query(
+    "a9_by_policy",
+    f"""WITH t AS (SELECT CASE WHEN grouping(policy_id) = 1 THEN 'TOTAL' ELSE policy_id END AS policy_id, field, count(*) AS clauses, count(*) - count(*) FILTER (WHERE verdict IN ('both_null', 'missed')) AS filled,
+    count(*) - count(*) FILTER (WHERE verdict IN ('both_null', 'missed', 'zero')) AS checked, count(*) FILTER (WHERE verdict IN ('disagree', 'unsupported')) AS bad FROM {_RECORDED} GROUP BY GROUPING SETS ((policy_id, field), (field)))
+    SELECT *, round(bad / nullif(checked, 0), 6) AS rate FROM t""",
+)
+def a9_by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage and disagreement of every field in every policy, with a TOTAL."""
+    return audits.coverage_by_policy(_recorded(spark, sf_dir), "policy_id")
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.audit(clauses(spark, sf_dir), "clause_text", "waiting_period_days", "monetary_cap", "percent_cap")
+
+
 @query("c4_numeric_audit")
 def c4_numeric_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded numbers of clauses judged by their text: verdicts per field."""
-    a = audits.audit(clauses(spark, sf_dir), "clause_text", "waiting_period_days", "monetary_cap", "percent_cap")
-    v = a.select(F.explode(F.create_map(F.lit("days"), "days_verdict", F.lit("cap"), "cap_verdict", F.lit("percent"), "percent_verdict")).alias("field", "verdict"))
-    return v.groupBy("field", "verdict").agg(F.count("*").alias("n"))
+    """Recorded numbers of clauses judged by their text: verdicts and conventions per field."""
+    return audits.audited_fields(_audited(spark, sf_dir)).groupBy("field", "verdict", "convention").agg(F.count("*").alias("n"))
+
+
+@query("k5_numeric_findings")
+def k5_numeric_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses with a number that their text does not support, as they are written out."""
+    return audits.numeric_findings(_audited(spark, sf_dir), "clause_text", "vec_id", "policy_id", "clause_id", "clause_title", "source_page")
 
 
 @query(
@@ -619,7 +690,7 @@ def p23_clause_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "numeric_audit_findings").select("finding_id", F.size(text.clause_parts("clause_text")).alias("parts"))
 
 
-@query("p25_indian_digits")
+@query("p25_indian_digits", sqls.INDIAN_DIGITS)
 def p25_indian_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clauses(spark, sf_dir).where("monetary_cap is not null").select("vec_id", text.indian_digits("monetary_cap").alias("cap"))
 

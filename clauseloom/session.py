@@ -24,13 +24,15 @@ def local_session(name: str = "clauseloom", cores: str = "*", partitions: int =
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder named by spark.checkpoint.dir and read it back from there.
 
-    The setting is read from the session; a folder of this machine is set only where it is unset
-    (tests, a single machine). Executors may be lost afterwards, the files stay.
+    The setting is read from the session; a folder of this machine is set only where it is unset and
+    the master is this machine, else that is an error. Executors may be lost afterwards, the files stay.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="clauseloom-"))
     return df.checkpoint(eager=True)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,16 +18,25 @@ CLAUSES = T.StructType([
 REQUIRED = [f.name for f in CLAUSES.fields if not f.nullable]
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(source_file, line, value): the lines of text files, blank ones left out but counted. Files are split anyhow; a line's
+    number is that within its split and the lines of the splits before, of which there is one count each."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    counts = raw.groupBy("source_file", "_start").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("n").over(Window.partitionBy("source_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = raw.join(F.broadcast(before.drop("n")), ["source_file", "_start"])  # one row for each split of a file
+    return placed.select("source_file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line"), "value").where(F.trim("value") != "")
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, mode: str = "skip", default_policy: bool = False) -> DataFrame:
-    """JSON lines with seq (order in their file) and source_file. mode: 'skip' drops lines that are no JSON and keeps
-    their count to be seen in `bad_lines`, 'fail' stops at the first. Blank lines are nothing. A missing policy_id
-    becomes the file's name if default_policy is set."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("seq")).where(F.trim("value") != "")
+    """JSON lines with source_file, line (its number in the file, from 1) and seq, the same. mode: 'skip' drops lines that are
+    no JSON, whose count is to be seen in `bad_lines`; 'fail' stops at one and names its file and line. Blank lines are
+    nothing. A missing policy_id becomes the file's name if default_policy is set."""
     bad = T.StructType([*schema.fields, T.StructField("_bad", _S)])
-    read = lines.select("source_file", "seq", "value", F.from_json("value", bad, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    read = numbered_lines(spark, path).select("source_file", "line", "value", F.from_json("value", bad, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
     if mode == "fail":
-        read = read.withColumn("r", F.when(F.col("r._bad").isNotNull(), F.raise_error(F.concat(F.lit("bad JSON in "), "source_file"))).otherwise(F.col("r")))
-    out = read.where("r._bad is null").select("r.*", "source_file", "seq").drop("_bad")
+        read = read.withColumn("r", F.when(F.col("r._bad").isNotNull(), F.raise_error(F.concat_ws("", F.lit("bad JSON in "), "source_file", F.lit(":"), F.col("line").cast("string")))).otherwise(F.col("r")))
+    out = read.where("r._bad is null").select("r.*", "source_file", "line", F.col("line").alias("seq")).drop("_bad")
     return out.withColumn("policy_id", F.coalesce("policy_id", "source_file")) if default_policy else out
 
 
@@ -70,7 +79,7 @@ def read_documents(spark: SparkSession, path: str, pages: Callable[[bytes], list
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content").mapInArrow(read, schema)
 
 
-def write_jsonl(df: DataFrame, path: str, provenance: list[str] = ["seq", "source_file"]) -> None:  # noqa: B006
+def write_jsonl(df: DataFrame, path: str, provenance: list[str] = ["seq", "line", "source_file"]) -> None:  # noqa: B006
     """JSON lines without the columns of provenance; null fields are written."""
     df.drop(*provenance).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 

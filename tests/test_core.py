@@ -96,12 +96,13 @@ def test_stripped_drops_pieces_of_furniture(spark):
     assert len(left) == 16 + 3 + 3 + 5 + 2
 
 
-def test_chunks_carry_only_where_length_ends_them():
-    got = pages.chunked([(1, "a", "x" * 40), (2, "a", "y" * 40), (3, "b", "z")], 60, 10)
-    assert [(s, a, b) for s, _, a, b in got] == [("a", 1, 1), ("a", 1, 2), ("b", 3, 3)]
-    assert got[1][1].startswith("[[page 1]]\n" + "x" * 10 + "\n[[page 2]]")
-    assert got[2][1] == "[[page 3]]\nz"
-    assert pages.chunked([], 60, 10) == []
+def test_chunks_carry_only_where_length_ends_them(spark):
+    given = spark.createDataFrame([("d", 1, "a", "x" * 40), ("d", 2, "a", "y" * 40), ("d", 3, "b", "z")], "doc string, page long, section string, text string")
+    got = pages.chunks(given, 60, 10).orderBy("chunk").collect()
+    assert [(r["section"], r["start_page"], r["end_page"]) for r in got] == [("a", 1, 1), ("a", 1, 2), ("b", 3, 3)]
+    assert got[1]["text"].startswith("[[page 1]]\n" + "x" * 10 + "\n[[page 2]]")
+    assert got[2]["text"] == "[[page 3]]\nz"
+    assert pages.chunks(given.limit(0), 60, 10).count() == 0
 
 
 def test_silent_runs(spark):
@@ -196,8 +197,8 @@ def test_numbers_from_text():
     assert [x["value"] for x in audits.find_durations("thirty-six (36) days")] == [36.0]
     assert audits.find_durations("sixty continuous months")[0]["value"] == 1800
     assert {x["value"] for x in audits.find_money("Rs.5000/- or 5 Lacs or Rupees Five Lakh")} == {5000.0, 500000.0}
-    assert [x["value"] for x in audits.find_percents("forty per cent and 5 %")] == [5.0, 40.0]
-    assert audits.find_money(None) == [] and audits.words_to_int(["and"]) is None
+    assert [x["value"] for x in audits.find_percents("forty per cent and 5 %")] == [40.0, 5.0]
+    assert audits.find_money(None) == [] and audits.find_durations("and days") == [] and audits.find_durations("2001 days") == []
 
 
 def test_judge(spark):
@@ -270,3 +271,212 @@ def test_empty_tables(spark):
     assert gates.findings_long(none).count() == 0
     assert matching.contained(none.selectExpr("policy_id as doc", "seq", "source_page as page", "clause_text as text")).count() == 0
     assert units.stated(none, "seq", "clause_text").count() == 0
+
+
+def test_identity_of_columns_solves_their_units(spark):
+    rows = [(2.0 * v * d * 1000 / 1000, d, v) for d in (0.5, 1.0, 2.5) for v in (1.0, 3.0, 8.0)]
+    df = spark.createDataFrame([(m / 2.0, d, v) for m, d, v in rows] + [(None, 1.0, 1.0), (0.0, 1.0, 1.0), (5.0, -1.0, 1.0)], "mass double, density double, volume double")
+    identity = {"mass": 1, "density": -1, "volume": -1}
+    known = units.solved_combinations(df, identity, {"mass": [1.0, 1000.0], "density": [1.0], "volume": [1.0, 0.001]}).collect()
+    assert known[0]["units"] == {"mass": 1.0, "density": 1.0, "volume": 1.0} and known[0]["residual"] < 1e-9 and known[0]["unique"] and known[0]["rows"] == 9
+    # grams and millilitres fit as well as kilograms and litres: flagged
+    both = units.solved_combinations(df, identity, {"mass": [1.0, 0.001], "density": [1.0], "volume": [1.0, 0.001]}).collect()
+    assert [r["unique"] for r in both] == [False] * 4 and both[0]["residual"] == both[1]["residual"] < 1e-9 < both[2]["residual"]
+    assert not any(r["unique"] for r in units.solved_combinations(df.limit(0), identity, {"mass": [1.0], "density": [1.0], "volume": [1.0]}).collect())
+    with pytest.raises(ValueError, match="combinations"):
+        units.solved_combinations(df, identity, {c: [float(i + 1) for i in range(20)] for c in identity})
+
+
+def test_free_units_are_held_against_names(spark):
+    text = "the waiting period is {} days and the limit is Rs. {} lakh"
+    rows = [(i, text.format(30 * (i % 4 + 1), i % 7 + 1), {"wait_days": (30.0 * (i % 4 + 1),), "cap_lakh": (float(i % 7 + 1),), "wrong_years": (30.0 * (i % 4 + 1),)}) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, t string, fields map<string, struct<model: double>>")
+    names = spark.createDataFrame([("wait_days",), ("cap_lakh",), ("wrong_years",)], "name string")
+    got = {r["name"]: r for r in units.common_units(df, "id", "t", "fields", names, "name")[1].collect()}
+    assert got["wait_days"]["free_unit"] == got["wait_days"]["unit"] == 1.0 and got["wait_days"]["free_unique"]
+    assert got["cap_lakh"]["free_unit"] == got["cap_lakh"]["unit"] == 1e5
+    assert got["wrong_years"]["unit"] == 365.0 and got["wrong_years"]["free_unit"] == 1.0
+
+
+PAGES = [(1, "preamble", "a" * 30), (2, "preamble", "b" * 30), (3, "preamble", ""), (4, "preamble", "first line\n" + "c" * 40), (5, "exclusion", "d" * 20), (6, "exclusion", "short")]
+
+
+def test_chunks_by_length_and_section(spark):
+    df = spark.createDataFrame([("p", *p) for p in PAGES] + [("q", 1, None, None)], "doc string, page long, section string, text string")
+    got = {r["chunk"]: r for r in pages.chunks(df, 100, 20).collect()}
+    assert [(got[k]["section"], got[k]["start_page"], got[k]["end_page"]) for k in sorted(got)] == [("preamble", 1, 2), ("preamble", 2, 4), ("exclusion", 5, 6)]
+    # the end of page 2 is carried, without its first line only if it had to be shortened
+    assert got[1]["text"] == "[[page 2]]\n" + "b" * 20 + "\n[[page 4]]\nfirst line\n" + "c" * 40
+    whole = {r["chunk"]: r["text"] for r in pages.chunks(spark.createDataFrame([("p", 1, "s", "x\ny"), ("p", 2, "s", "z" * 90)], df.schema), 100, 20).collect()}
+    assert whole[1].startswith("[[page 1]]\nx\ny\n[[page 2]]")
+    report = pages.boundary_report(df, 100, 20).collect()
+    assert [(r["doc"], r["chunks"], r["boundaries"], r["cut"], r["recoverable"], len(r["unrecovered"])) for r in report] == [("p", 3, 1, 1, 0, 1)]
+
+
+def test_matches_in_turn(spark):
+    a = [("d", 1, 3, "T", "x" * 80), ("d", 2, 3, "T", "y" * 80), ("d", 3, 9, "other", "x" * 80), ("d", 4, None, None, None)]
+    b = [("d", 11, 3, "T", "x" * 80), ("d", 12, 4, "U", "x" * 80), ("d", 13, 4, "V", "q" * 80), ("e", 14, 3, "T", "x" * 80)]
+    shape = "doc string, seq long, page long, title string, text string"
+    got = {(r["seq_a"], r["seq_b"], r["tier"]) for r in matching.run_matches(spark.createDataFrame(a, shape), spark.createDataFrame(b, shape)).collect()}
+    assert got == {(1, 11, 1), (3, 12, 2)}
+    # the second tier of an earlier record takes what the first tier of a later one would have
+    a = [("d", 1, 1, "A", "x" * 80), ("d", 2, 3, "T", "z" * 80)]
+    got = {(r["seq_a"], r["seq_b"], r["tier"]) for r in matching.run_matches(spark.createDataFrame(a, shape), spark.createDataFrame(b[:1], shape)).collect()}
+    assert got == {(1, 11, 2)}
+    assert matching.run_matches(spark.createDataFrame([], shape), spark.createDataFrame(b, shape)).count() == 0
+
+
+def test_gone_is_neither_matched_nor_contained(spark):
+    shape = "doc string, seq long, page long, title string, text string"
+    body = "the insured shall settle all charges of the hospital within thirty days of discharge and submit every bill"
+    old = [("d", 1, 1, "A", body), ("d", 2, 1, "B", "a clause that no later run holds at all"), ("d", 3, 1, "C", "short"), ("d", 4, 1, "D", None), ("e", 5, 1, "A", body)]
+    new = [("d", 9, 2, "Z", "before " + body + " after; this is short")]
+    x, y = spark.createDataFrame(old, shape), spark.createDataFrame(new, shape)
+    assert {r["seq"] for r in matching.gone(x, y, matching.run_matches(x, y)).collect()} == {2, 5}
+
+
+def test_medoid_and_letters_and_pages(spark):
+    holders = [(1, "a", "the cover is void"), (1, "b", "the cover is void now"), (1, "c", "zzzz qqqq"), (2, "a", "short"), (2, "b", "the longest one")]
+    assert {(r["code"], r["policy"]) for r in matching.medoids(spark.createDataFrame(holders, "code int, policy string, text string")).collect()} == {(1, "a"), (2, "b")}
+    df = spark.createDataFrame([('as "the hospital shall not charge for gloves" says', ["the hospital shall not  charge for gloves ever"])], "letter string, src array<string>")
+    assert df.select(matching.quotes_hold("letter", "src").alias("x")).first()["x"]
+    assert not df.select(matching.quotes_hold(F.lit('"the hospital may always charge for gloves"'), "src").alias("x")).first()["x"]
+    assert df.select(matching.is_verbatim(F.lit("too short"), "src").alias("x")).first()["x"]
+    chunk = "[[page 4]]\n" + "first words here " * 20 + "\n[[page 5]]\n" + "more of the same " * 10 + "the clause starts on this page " + "and goes on " * 10
+    place = lambda t, p: spark.range(1).select(matching.resolve_page(F.lit(t), F.lit(chunk), F.lit(p).cast("long"), F.lit(4).cast("long")).alias("x")).first()["x"]
+    assert place("whatever", 5) == 5 and place("the clause starts on this page", None) == 5 and place("first words", 9) == 4 and place("not there", None) == 4
+
+
+def test_lone_serials_join_the_next_line(spark):
+    rows = [("d", 1, 0, "LIST I - not payable"), ("d", 1, 1, "1"), ("d", 1, 2, "BABY FOOD"), ("d", 1, 3, "2. BEAUTY SERVICES"), ("d", 1, 4, "3"), ("d", 1, 5, "4 CARRY BAGS"), ("d", 2, 0, "LIST II"), ("d", 2, 1, "1. CREAMS POWDERS"), ("d", 3, 0, "OMBUDSMAN offices"), ("d", 3, 1, "9. NOT AN ITEM")]
+    got = {(r["category"], r["item"]) for r in pages.list_items(spark.createDataFrame(rows, "doc string, page long, pos int, line string")).collect()}
+    assert got == {("not_payable", "BABY FOOD"), ("not_payable", "BEAUTY SERVICES"), ("not_payable", "CARRY BAGS"), ("subsume_room", "CREAMS POWDERS")}
+
+
+def test_line_numbers_and_bad_lines(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    (tmp_path / "a.jsonl").write_text('{"policy_id": "p"}\n\nnot json\n{"policy_id": null}\n')
+    schema = T.StructType([T.StructField("policy_id", T.StringType())])
+    rows = io.read_jsonl(spark, str(tmp_path / "a.jsonl"), schema, default_policy=True).orderBy("line").collect()
+    assert [r["line"] for r in rows] == [1, 4] and rows[0]["policy_id"] == "p" and rows[1]["policy_id"].endswith("a.jsonl")
+    with pytest.raises(Exception, match="a.jsonl:3"):
+        io.read_jsonl(spark, str(tmp_path / "a.jsonl"), schema, mode="fail").collect()
+
+
+def test_calls_are_paced_and_repeated():
+    from clauseloom.functions import calls
+
+    now, slept = [0.0], []
+    sleep = lambda s: (slept.append(s), now.__setitem__(0, now[0] + s))
+    paced = calls.throttled(lambda x: x, 2, lambda: now[0], sleep)
+    assert [paced(i) for i in range(3)] == [0, 1, 2] and slept == [60.0]
+    errors, waits = iter([ValueError("no json"), RuntimeError("429, retry in 7 s"), ConnectionError("gone")]), []
+
+    def call():
+        for e in errors:
+            raise e
+        return "done"
+
+    assert calls.retried(call, 4, waits.append)() == "done" and waits == [1.0, 9.0, 20.0]
+    with pytest.raises(ValueError):
+        calls.retried(lambda: calls.fenced_json("no"), 2, waits.append)()
+    assert calls.fenced_json('```json\n{"a": 1}\n```') == [{"a": 1}] and calls.fenced_json("[]") == [] and calls.retry_delay("wait") is None
+
+
+def _run(texts, **more):
+    return [("d", i, p, f"title {i}", t) for i, (p, t) in enumerate(texts)]
+
+
+def test_records_from_pages(spark):
+    from clauseloom.operators import pipelines
+
+    body = ["the insured person shall settle the charges of the hospital", "no cover accrues for cosmetic surgery of any kind", "claims are paid within thirty days of the last document"]
+    words = ["", "alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    rows = [("d", p, "ACME HEALTH GOLD BOOKLET\n" + "STANDARD CONDITIONS\n" * (p == 1) + "\n".join(f"{t} as for {words[p]} {p}." for t in body) + f"\n{p}") for p in range(1, 7)] + [("d", 7, ""), ("d", 8, None)]
+    records, man = pipelines.extract_records(spark.createDataFrame(rows, "doc string, page long, text string"), most=400, overlap=80)
+    got, m = records.collect(), man.first()
+    assert {(r["page"], r["text"]) for r in got} == {(p, f"{t} as for {words[p]} {p}.") for p in range(1, 7) for t in body}
+    assert m["pages"] == 8 and m["records_written"] == 18 and m["records_deduped"] == m["records_extracted"] - 18 > 0 and m["verbatim_rejected"] == 0 and m["pages_sent"] == [1, 2, 3, 4, 5, 6]
+
+    def model(text):
+        if "alpha 1." in text:  # in the second chunk too, carried
+            raise RuntimeError("no answer")
+        return [{"clause_title": "T", "clause_text": "words that stand nowhere in the chunk at all", "source_page": 2}]
+
+    _, man = pipelines.extract_records(spark.createDataFrame(rows, "doc string, page long, text string"), model, most=400, overlap=80)
+    m = man.first()
+    assert m["chunks_failed"] == [0, 1] and m["records_written"] == 0 and m["verbatim_rejection_rate"] == 1.0
+
+
+def test_runs_are_merged_and_loaded(spark):
+    from clauseloom.operators import pipelines
+
+    shape = "doc string, seq long, page long, title string, text string"
+    keep, lost, cut = "The insurer pays for the room of the insured person.", "A clause that the new run has lost altogether, whole.", "A clause that was cut and lost and ends with the"
+    old, new = _run([(1, keep), (2, lost), (3, cut)]), [("d", 10, 1, "title 0", keep), ("d", 11, 1, "x", "The insurer pays for the room")]
+    records, man = pipelines.merge_recovered(spark.createDataFrame(old, shape), spark.createDataFrame(new, shape))
+    assert {(r["text"], r["recovered"]) for r in records.collect()} == {(keep, False), (lost, True)}
+    m = man.first()
+    assert m["recovered_count"] == 1 and m["recovered_clauses"][0]["chars"] == len(lost) and m["recovery_refused"][0]["failed"] == ["truncated"]
+    other = spark.createDataFrame([("e", 1, 1, "t", keep), ("d", 5, 1, "t", "replaced")], shape)
+    corpus = pipelines.build_corpus(other, spark.createDataFrame(old, shape), spark.createDataFrame(new, shape))
+    assert {(r["doc"], r["origin"]) for r in corpus.collect()} == {("e", "unchanged"), ("d", "new"), ("d", "recovered")}
+    recs = spark.createDataFrame([("p", 1, 4, "Ends well.", "t", "s", "x"), ("p", 2, 5, "ends with the", "t", "s", "x"), ("q", 3, 1, "Fine as it is.", "t", "s", "x")], "policy_id string, seq long, source_page long, clause_text string, clause_title string, section string, clause_type string")
+    mans = spark.createDataFrame([(7, "p", list(range(1, 20)), [], (0,), 0.5, 3)], "run_id long, policy_id string, pages_sent array<bigint>, chunks_failed array<int>, boundary struct<n: int>, verbatim_rejection_rate double, records_written long").withColumn("boundary", F.struct(F.array().cast("array<int>").alias("unrecovered")))
+    found = {(r["policy_id"], r["kind"], r["blocked"]) for r in pipelines.preload(recs, mans, {}).collect()}
+    assert {("p", "truncated", True), ("p", "verbatim_rejection_rate", True), ("p", "silent_pages", True), ("q", "no_manifest", True)} <= found
+    assert ("p", "truncated", False) in {(r["policy_id"], r["kind"], r["blocked"]) for r in pipelines.preload(recs, mans, {"truncated": 1}).collect()}
+    assert pipelines.kinds_of(pipelines.preload(recs, mans, {})).first()["n"] >= 1
+
+
+def test_second_pass_of_numbers(spark):
+    from clauseloom.operators import pipelines
+
+    rows = [(1, "waiting_period", "A waiting period of 30 days applies.", None, None, None), (2, "exclusion", "The limit is Rs. 5,000 for each claim.", None, 7000, None), (3, "exclusion", "Nothing is stated here.", None, 900, None), (4, "definition", "It lasts 30 days.", None, None, None)]
+    c = spark.createDataFrame(rows, "seq long, clause_type string, clause_text string, waiting_period_days long, monetary_cap long, percent_cap double").withColumns({"policy_id": F.lit("p"), "source_page": F.lit(1).cast("long")})
+    got = {r["seq"]: (r["before"], r["after"], r["reason"]) for r in pipelines.numeric_pass(pipelines.needing_numbers(c)).collect()}
+    assert got == {1: (None, 30.0, "ok"), 2: (7000.0, 5000.0, "ok"), 3: (900.0, None, "null")}
+    n = {r["field"]: tuple(r)[1:] for r in pipelines.pass_counters(pipelines.numeric_pass(pipelines.needing_numbers(c))).collect()}
+    assert n == {"waiting_period_days": (1, 0, 0, 0), "monetary_cap": (0, 1, 1, 0)}
+    lies = pipelines.numeric_pass(pipelines.needing_numbers(c), lambda f, t: (12.0, "a text that is not there"))
+    assert {r["reason"] for r in lies.collect()} == {"not_in_text"}
+
+
+def test_cases_with_stand_ins(spark):
+    from clauseloom.operators import pipelines
+
+    vec = lambda k: [1.0 if i == k else 0.0 for i in range(96)]
+    cl = spark.createDataFrame([("p", 1, "T", "this excludes dental work", 3, vec(0)), ("p", 2, "U", "this covers it", 4, vec(1)), ("p", 3, "V", "no vector", 5, None)], "policy_id string, seq long, clause_title string, clause_text string, source_page long, embedding array<double>")
+    cases = spark.createDataFrame([(1, "p", "why"), (2, "gone", "why"), (3, "p", "bad")], "case_id long, policy_id string, letter string")
+
+    def judge(prompt):
+        if "\n\nbad\n\n" in prompt:
+            raise RuntimeError("no answer")
+        return {"verdict": "insurer_right", "clauses": [2, 9], "letter": 'they say "this covers it and much more besides"'}
+
+    out = pipelines.analysed_cases(cases, cl, F.array(*[F.lit(x) for x in vec(0)]), lambda p: {"argument": "x"}, judge, 2)
+    got = {r["case_id"]: r for r in out.collect()}
+    assert got[1]["verdict"] == "insurer_right" and got[1]["letter_type"] == "substantiate" and got[1]["picked"] == [2] and got[1]["quotes_hold"] is False and got[1]["letter_text"] is None
+    assert got[2]["verdict"] is None and got[3]["verdict"] is None and len(got) == 3
+
+
+def test_orders_and_repeats(spark):
+    from clauseloom.operators import pipelines
+
+    df = spark.createDataFrame([("b",), ("z",), ("a",), ("m",)], "k string")
+    assert [r["k"] for r in pipelines.in_fixed_order(df, "k", ["z", "m"]).collect()] == ["z", "m", "a", "b"]
+    three = pipelines.repeated(df.withColumn("v", F.length("k")), "k", 3)
+    assert {tuple(r) for r in pipelines.stable(three, "k", "v").collect()} == {(k, 3, 1) for k in "bzam"}
+    assert pipelines.layout(spark.createDataFrame([("d", 1), ("d", 2)], "doc string, page int"), spark.createDataFrame([("d", 1, 300.0)], "doc string, page int, gutter double")).first()["two_columns"] == 1
+    text = spark.range(1).select(pipelines.page_text(F.lit("left"), F.lit("right"), F.lit("left right")).alias("x"), pipelines.page_text(F.lit("l"), F.lit("r"), F.lit("much more than that")).alias("y")).first()
+    assert text["x"] == "left\nright" and text["y"] == "much more than that"
+
+
+def test_bills_keep_order_and_short_words(spark):
+    items = spark.createDataFrame([(0, "ECG ELECTRODES", "subsume_procedure", "x"), (1, "EYE PAD", "not_payable", "y"), (2, "EYE PADS", "subsume_room", "z")], "item_seq long, item_name string, category string, category_description string")
+    lines = spark.createDataFrame([("b", 1, "EC ELECTRODE", 10.0), ("b", 2, "EYE PADS 2", None), ("b", 3, "NOTHING SUCH", 5.0)], "bill string, line_no int, description string, amount double")
+    got = {r["line_no"]: r["item_name"] for r in bills.matched_lines(lines, items, "item_seq").collect()}
+    assert got == {1: "ECG ELECTRODES", 2: "EYE PADS", 3: None}
+    ranked = [(r["rank"], r["line_no"]) for r in bills.findings(bills.matched_lines(lines, items, "item_seq")).orderBy("rank").collect()]
+    assert ranked == [(1, 1), (2, 2)]
