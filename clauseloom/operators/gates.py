@@ -36,13 +36,19 @@ URL_TAIL = r"(?i)(?:https?://|www\.)\S+$|[\w-]+(?:\.[\w-]+)*\.(?:in|com|org|net|
 BLOCKING = ["truncated", "empty", "embedded_contact_details", "starts_mid_sentence", "continues_previous", "masthead_fragment", "page_number_splice"]
 
 
-def truncated(text: str = "clause_text") -> Column:
-    """empty, truncated or no_terminal_punctuation; null for a text that ends as one should, or in a bracket."""
-    t = n7(text)
+def normal(df: DataFrame, text: str = "clause_text") -> DataFrame:
+    """df with _n7, the text with its blanks collapsed: made once, as every gate looks at it."""
+    return df.withColumn("_n7", n7(text))
+
+
+def truncated(text: str = "clause_text", t: Column | None = None) -> Column:
+    """empty, truncated or no_terminal_punctuation; null for a text that ends as one should, or in a bracket. t is the text
+    with its blanks collapsed, if there is such a column."""
+    t = n7(text) if t is None else t
     last = F.right(t, F.lit(1))
-    word = F.lower(F.regexp_extract(t, r"([A-Za-z]+)[^A-Za-z]*$", 1))
+    word = F.regexp_extract(t, r"([A-Za-z]+)[^A-Za-z]*$", 1)
     before = F.lower(F.regexp_replace(F.regexp_extract(t, r"(\S+)\s+\S+$", 1), "[^A-Za-z]", ""))
-    letter = F.when(t.rlike(URL_TAIL), "no_terminal_punctuation").when(F.regexp_extract(t, r"([A-Za-z]+)[^A-Za-z]*$", 1).isin(DANGLING) | (F.length(word) == 1) & t.rlike(r"\b[a-z]$"), "truncated").otherwise("no_terminal_punctuation")
+    letter = F.when(t.rlike(URL_TAIL), "no_terminal_punctuation").when(word.isin(DANGLING) | (F.length(word) == 1) & t.rlike(r"\b[a-z]$"), "truncated").otherwise("no_terminal_punctuation")
     digit = F.when(before.isin(DANGLING), "truncated").otherwise("no_terminal_punctuation")
     return F.when(t == "", "empty").when(last.rlike("[.!?]"), None).when(last.rlike("[,\\-–—]"), "truncated").when(last.rlike("[A-Za-z]"), letter).when(last.rlike("[0-9]"), digit)
 
@@ -68,42 +74,49 @@ def mid_sentence(text: Column) -> Column:
     return (word != "") & (word == F.lower(word)) & ~((F.left(word, F.lit(1)) == "l") & (F.length(word) <= 3))
 
 
-def starts_mid_sentence(text: str = "clause_text", title: str = "clause_title") -> Column:
-    t = n7(text)
+def starts_mid_sentence(text: str = "clause_text", title: str = "clause_title", t: Column | None = None) -> Column:
+    t = n7(text) if t is None else t
     defined = (F.coalesce(title, F.lit("")) != "") & t.rlike(r"^means\b")
     return F.when((t != "") & ~defined & mid_sentence(t), "starts_mid_sentence")
 
 
-def masthead(contact: Column, text: str = "clause_text") -> Column:
-    t = n7(text)
+def masthead(contact: Column, text: str = "clause_text", t: Column | None = None) -> Column:
+    t = n7(text) if t is None else t
     tail = F.regexp_extract(t, f"({NAME_TAIL})", 1)
     return F.when(~contact & (t.contains("|") | t.rlike(PAGE_STAMP) | (tail != "") & (tail == F.upper(tail))), "masthead_fragment")
 
 
-def wedged_numbers(text: str = "clause_text") -> Column:
+def wedged_numbers(text: str = "clause_text", t: Column | None = None) -> Column:
     """Numbers of one to three digits that stand alone between two words, neither of which goes with numbers."""
-    t = n7(text)
-    pattern = F.lit(r"([A-Za-z]+)[^A-Za-z0-9_]*(?<![\w/.-])(\d{1,3})(?![\w/.%-])(?=\s*([A-Za-z]+))")
+    t = n7(text) if t is None else t
+    # words are tried from their first letter alone and never given back: one look at each sign
+    pattern = F.lit(r"(?<![A-Za-z])([A-Za-z]++)[^A-Za-z0-9_]*+(?<![\w/.-])(\d{1,3})(?![\w/.%-])(?=\s*([A-Za-z]++))")
     near = F.arrays_zip(*[F.regexp_extract_all(t, pattern, k).alias(c) for k, c in ((1, "b"), (2, "n"), (3, "a"))])
     good = F.filter(near, lambda x: ~F.lower(x["b"]).isin(NUMERIC_CONTEXT) & ~F.lower(x["a"]).isin(NUMERIC_CONTEXT))
     return F.transform(good, lambda x: x["n"].cast("long"))
 
 
-def page_splice(page: str = "source_page", text: str = "clause_text") -> Column:
-    """A wedged number of this page or the next to it; three wedged numbers are an enumeration."""
-    n = wedged_numbers(text)
+def page_splice(page: str = "source_page", text: str = "clause_text", t: Column | None = None, wedged: Column | None = None) -> Column:
+    """A wedged number of this page or the next to it; three wedged numbers are an enumeration. wedged has them, if there is
+    such a column."""
+    n = wedged_numbers(text, t) if wedged is None else wedged
     return F.when(F.col(page).isNotNull() & (F.size(n) < 3) & F.exists(n, lambda x: F.abs(x - F.col(page)) <= 1), "page_number_splice")
 
 
-def record_gates() -> list[Column]:
-    contact = is_contact()
-    return [truncated(), contact_details(contact), starts_mid_sentence(), masthead(contact), page_splice()]
+def gated(df: DataFrame) -> DataFrame:
+    """df with a column for each record gate: _truncated, _contact, _mid, _masthead, _splice. What gates share, the text
+    with its blanks collapsed, whether a clause may carry an address, and its wedged numbers, is made once a row."""
+    t, contact = F.col("_n7"), F.col("_is_contact")
+    made = normal(df).withColumn("_is_contact", is_contact()).withColumn("_wedged", wedged_numbers(t=t))
+    gates = {"_truncated": truncated(t=t), "_contact": contact_details(contact), "_mid": starts_mid_sentence(t=t), "_masthead": masthead(contact, t=t), "_splice": page_splice(wedged=F.col("_wedged"))}
+    return made.withColumns(gates).drop("_n7", "_is_contact", "_wedged")
 
 
 def with_findings(df: DataFrame) -> DataFrame:
     """df with findings, the kinds of all record gates in order, and blocked."""
-    kinds = F.filter(F.array(*record_gates()), lambda k: k.isNotNull())
-    return df.withColumn("findings", kinds).withColumn("blocked", F.exists("findings", lambda k: k.isin(BLOCKING)))
+    names = ["_truncated", "_contact", "_mid", "_masthead", "_splice"]
+    found = gated(df).withColumn("findings", F.filter(F.array(*names), lambda k: k.isNotNull())).drop(*names)
+    return found.withColumn("blocked", F.exists("findings", lambda k: k.isin(BLOCKING)))
 
 
 def continues_previous(df: DataFrame, policy: str = "policy_id", seq: str = "seq", text: str = "clause_text", page: str = "source_page") -> DataFrame:
@@ -144,6 +157,7 @@ def manifest_findings(man: DataFrame, max_unrecovered: int = 0, max_rate: float
 def survey(text: str = "clause_text") -> Column:
     """Kinds of furniture left in a text: pipe, masthead_caps, caps_run."""
     t = n7(text)
+    # Words of a masthead, and what a run of capitals and a list of reference are.
     mast = r"\b(?:COMPANY\s+LIMITED|POLICY\s+WORDINGS?|INSURANCE\s+CO\b|UIN\s*[:.]|IRDA[I]?\s+REG|\bCIN\b|TOLL\s*FREE|REGISTERED\s+OFFICE)"
     run = r"\b(?:[A-Z][A-Z&]{1,}\b[ ,/-]{1,3}){2,}[A-Z][A-Z&]{1,}\b"
     runs = F.filter(F.regexp_extract_all(F.substring(t, 41, 1 << 30), F.lit(f"({run})"), 1), lambda r: (F.length(r) >= 12) & (~t.rlike(r"(?i)(?:\b\d{2}\.\s){3,}|LIST\s+[IV]+\b") | r.rlike(mast)))

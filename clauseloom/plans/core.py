@@ -166,14 +166,14 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g1_g5_record_gates", f"SELECT finding_id, truncated, contact_details, mid_sentence, masthead FROM ({_GATED})")
 def g1_g5_record_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contact = gates.is_contact()
-    return _records(spark, sf_dir).select("finding_id", gates.truncated().alias("truncated"), gates.contact_details(contact).alias("contact_details"), gates.starts_mid_sentence().alias("mid_sentence"), gates.masthead(contact).alias("masthead"))
+    return gates.gated(_records(spark, sf_dir)).select("finding_id", F.col("_truncated").alias("truncated"), F.col("_contact").alias("contact_details"), F.col("_mid").alias("mid_sentence"), F.col("_masthead").alias("masthead"))
 
 
 @query("g6_page_splices")
 def g6_page_splices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings with a page number wedged into their text."""
-    return table(spark, sf_dir, "numeric_audit_findings").select("finding_id", "source_page", gates.wedged_numbers().alias("wedged"), gates.page_splice().alias("kind")).where("kind is not null")
+    f = table(spark, sf_dir, "numeric_audit_findings").select("finding_id", "source_page", gates.wedged_numbers().alias("wedged"))
+    return f.withColumn("kind", gates.page_splice(wedged=F.col("wedged"))).where("kind is not null")
 
 
 _CONTINUES = f"""SELECT finding_id FROM (SELECT *, lag(truncated) OVER (PARTITION BY policy_id ORDER BY finding_id) AS before, source_page - lag(source_page) OVER (PARTITION BY policy_id ORDER BY finding_id) AS gap FROM ({_GATED}))
@@ -202,18 +202,14 @@ def a7_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a7_record_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for the gates that a look at a record's words alone decides."""
-    contact = gates.is_contact()
-    kinds = F.array(gates.truncated(), gates.contact_details(contact), gates.starts_mid_sentence(), gates.masthead(contact))
-    found = _records(spark, sf_dir).select("policy_id", F.explode(kinds).alias("kind")).where("kind is not null")
+    found = gates.gated(_records(spark, sf_dir)).select("policy_id", F.explode(F.array("_truncated", "_contact", "_mid", "_masthead")).alias("kind")).where("kind is not null")
     return gates.pivot_with_total(found, "policy_id", "kind", _ROW_KINDS)
 
 
 @query("a8_finding_kinds", f"SELECT kind, kind <> 'no_terminal_punctuation' AS blocked, count(*) AS n FROM {_KINDS} WHERE kind IS NOT NULL GROUP BY kind")
 def a8_finding_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many findings of each kind there are, the most frequent first."""
-    contact = gates.is_contact()
-    kinds = F.array(gates.truncated(), gates.contact_details(contact), gates.starts_mid_sentence(), gates.masthead(contact))
-    found = _records(spark, sf_dir).select(F.explode(kinds).alias("kind")).where("kind is not null")
+    found = gates.gated(_records(spark, sf_dir)).select(F.explode(F.array("_truncated", "_contact", "_mid", "_masthead")).alias("kind")).where("kind is not null")
     return pipelines.kinds_of(found.withColumn("blocked", F.col("kind").isin(gates.BLOCKING)))
 
 
@@ -230,9 +226,7 @@ def c2_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g22_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of records of every kind: the first five truncated ones and the first three that begin in mid-sentence are
     accepted, the rest block, but for ends without punctuation."""
-    contact = gates.is_contact()
-    kinds = F.array(gates.truncated(), gates.contact_details(contact), gates.starts_mid_sentence(), gates.masthead(contact))
-    found = _records(spark, sf_dir).select("seq", F.explode(kinds).alias("kind")).where("kind is not null")
+    found = gates.gated(_records(spark, sf_dir)).select("seq", F.explode(F.array("_truncated", "_contact", "_mid", "_masthead")).alias("kind")).where("kind is not null")
     return gates.accepted(found, {"truncated": 5, "starts_mid_sentence": 3}).select("seq", "kind", "blocked")
 
 
@@ -279,9 +273,9 @@ def g23_survey_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a22_sweep")
 def a22_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wedged page numbers, mastheads and stray numbers per policy, with a TOTAL."""
-    f = table(spark, sf_dir, "numeric_audit_findings")
-    n = gates.wedged_numbers()
-    kinds = F.array(F.when(gates.page_splice().isNotNull(), "page_number"), gates.masthead(F.lit(False)), F.when((F.size(n) > 0) & (F.size(n) < 3) & gates.page_splice().isNull(), "stray_number"))
+    f = gates.normal(table(spark, sf_dir, "numeric_audit_findings")).withColumn("_w", gates.wedged_numbers(t=F.col("_n7")))
+    n, splice = F.col("_w"), gates.page_splice(wedged=F.col("_w"))
+    kinds = F.array(F.when(splice.isNotNull(), "page_number"), gates.masthead(F.lit(False), t=F.col("_n7")), F.when((F.size(n) > 0) & (F.size(n) < 3) & splice.isNull(), "stray_number"))
     return gates.pivot_with_total(f.select("policy_id", F.explode(kinds).alias("kind")).where("kind is not null"), "policy_id", "kind", ["page_number", "masthead_fragment", "stray_number"])
 
 
