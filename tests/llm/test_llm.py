@@ -111,6 +111,31 @@ def test_nearest_pairs_against_brute_force(spark):
     assert vectors.nearest_pairs(good.limit(1), 5).count() == 0
 
 
+def test_queries_go_up_in_all_trees_at_once():
+    table = np.array([[5, 0, 3, 8], [4, 4, 4, 4]])
+    levels = vectors.Levels(table, 12)
+    # from cells (0, 0): 5 + 4 strings, one bit up 5 + 8, so it stops there; from (3, 3) 8 + 4 are enough at once
+    assert levels.ascent(np.array([[0, 0], [3, 3], [1, 0]])).tolist() == [1, 0, 1]
+    assert vectors.Levels(table, 1000).ascent(np.array([[0, 0]])).tolist() == [2]
+    assert vectors.cuts(np.array([3, 3, 9, 1, 1, 1, 1, 1]), 6).tolist() == [0, 0, 1, 2, 2, 2, 2, 2]
+
+
+def test_nearest_pairs_whatever_the_layout(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 16))
+    x[:120] = x[0] + 1e-3 * rng.normal(size=(120, 16))  # two fifths of all in one place
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = []
+    for block in (8, 8192):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        got.append({tuple(r) for r in vectors.nearest_pairs(df, 5).collect()})
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(min(i, j), max(i, j)) for i in range(120, 300) for j in np.argsort(-s[i], kind="stable")[:5].tolist()}
+    assert all(len(want & g) >= 0.97 * len(want) for g in got)
+
+
 # --- problem 4
 
 
@@ -159,6 +184,26 @@ def test_longer_copies_cross_partitions(spark):
     assert {r["goes_on"] for r in truncation.longer_copies(df, "t", wanted).collect()} == {"yz"}
 
 
+def test_half_of_a_frequent_word_is_cut_however_often(spark):
+    whole = [f"the insured person shall settle the charges number {i} in full. the insurer pays the insured person" for i in range(900)]
+    rows = [(i, t + ".", "s") for i, t in enumerate(whole)] + [(1000 + i, f"the claim was made by the insu and row {i} goes on from there.", "s") for i in range(2)]
+    rows += [(2000, "the charges are settled by the insurer. the insurer pays the insu", "t"), (2001, "the charges are settled by the insurer. the insurer pays the insured person", "t"), (2002, "the charges are settled by the insu-\nrer. the insurer pays the insured person", "t")]
+    df = spark.createDataFrame(rows, "id long, t string, s string")
+    got = {r["id"]: r["verdict"] for r in truncation.cut_texts(df, "id", "t", "s").where("id >= 2000").collect()}
+    assert got == {2000: "word", 2001: "whole", 2002: "whole"}
+
+
+def test_run_counts_are_exact(spark):
+    texts = ["the plan pays. the plan ends", "the plan pays for it.", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    chunks = truncation.Chunks()
+    h, _, last = chunks.units(["the plan"])
+    at = np.flatnonzero(last)
+    keys = [int(g[at].view(np.int64)[0]) for g in (*truncation._grams(h)[:2], truncation._longer(h))]
+    got = {r["key"]: (r["seen"], r["ends"]) for r in truncation.run_counts(df, "t", spark.createDataFrame([(k,) for k in keys], "key long")).collect()}
+    assert got[keys[0]] == got[keys[1]] == (3, 0) and keys[2] not in got
+
+
 # --- problems 7 and 8
 
 
@@ -229,6 +274,43 @@ def test_abuse_is_learned_from_documents(spark):
     assert score[900] == 0 and score[901] == 0 and len(score) == 402
 
 
+def test_wrong_verdicts_teach_nothing():
+    rng = random.Random(6)
+    good = ["please send the claim form today", "the doctor explained the surgery", "thanks to everyone who helped", "the policy pays for injuries from abuse", "my claim is pending since june"]
+    bad = ["you are stupid idiots", "shut your mouth you idiots", "go to hell you stupid liars"]
+    docs = []
+    for i in range(600):
+        is_bad = i % 6 == 0
+        verdict = 1 - is_bad if i % 17 == 0 else int(is_bad)  # one in seventeen is wrong
+        docs.append((is_bad, verdict, ". ".join(rng.choices(good, k=4) + [f"case number {i} of the branch {i % 7} office"] + ([rng.choice(bad)] if is_bad else []))))
+    background = np.zeros(abuse.CELLS + 1)
+    for _, _, t in docs:
+        for c in abuse.coded([(0, t)], abuse.Vocabulary()):
+            background[np.unique(c.terms())] += 1
+    machine = abuse.fitted([(v, t) for _, v, t in docs], background, len(docs))
+    best = np.full(len(docs), -np.inf)
+    for c in abuse.coded(((i, t) for i, (_, _, t) in enumerate(docs)), abuse.Vocabulary()):
+        np.maximum.at(best, c.doc, machine.window_scores(c))
+    wrong = [(y, t) for b, (y, _, t) in zip(best, docs) if (machine.chance(np.array([b]))[0] >= 0.5) != y]
+    assert wrong == []
+
+
+def test_running_sums_score_as_windows_do():
+    machine = abuse.Machine()
+    rng = np.random.default_rng(0)
+    machine.w, machine.v = rng.normal(size=machine.w.shape).astype(np.float32), rng.normal(size=machine.v.shape).astype(np.float32)
+    machine.w[0], machine.v[0] = 0, 0
+    text = "one two three. " + " ".join(f"w{i}" for i in range(31)) + "! a"
+    for c in abuse.coded([(0, text), (1, None), (2, ""), (3, "x y")], abuse.Vocabulary()):
+        assert np.allclose(machine.window_scores(c), machine.scores(c.terms()), atol=1e-3)
+        assert sorted(set(c.doc.tolist())) == [0, 3] and len(c.a) == 1 + 5 + 1 + 1
+
+
+def test_cut_score_takes_the_middle_of_verdicts():
+    assert abuse.cut_score(np.array([-4.0, -1.0, 1.5, 2.0]), np.array([0, 0, 1, 1])) == 0.0
+    assert abuse.cut_score(np.array([-4.0, 0.5, 1.5, 2.0]), np.array([0, 0, 1, 1])) == 1.0
+
+
 def test_queries_are_registered():
     from clauseloom.llm.queries import QUERIES, SQL
 
