@@ -108,3 +108,26 @@ def occurrences(text: Text, unit: str) -> Column:
     parts = F.split(s, unit)
     lead = lambda i: F.substring(F.array_join(F.transform(F.sequence(F.lit(0), i), lambda k: F.concat(F.get(parts, k), F.when(k < i, F.get(found, k)).otherwise(""))), ""), 2, 1 << 30)
     return F.transform(found, lambda m, i: F.struct(lead(i).alias("before"), m.alias("match")))
+
+
+def percent(share: Text, digits: int = 1) -> Column:
+    """0.1234 as 12.3%; null stays null."""
+    return F.concat(F.format_number(_c(share) * 100, digits), F.lit("%"))
+
+
+def page_marks(text: Text) -> Column:
+    """The pages whose marks are in a text, in order."""
+    return F.transform(F.regexp_extract_all(_c(text), F.lit(PAGE_MARK), 1), lambda n: n.cast("long"))
+
+
+def without_marks(text: Text) -> Column:
+    return F.regexp_replace(_c(text), PAGE_MARK, "")
+
+
+def snippet(text: Text, pattern: str, around: int) -> Column:
+    """The first match of a pattern with up to `around` characters on each side; null where nothing matches."""
+    t = _c(text)
+    found = F.regexp_extract(t, f"({pattern})", 1)
+    at = F.when(found != "", F.instr(t, found))
+    start = F.greatest(F.lit(1), at - around)
+    return F.when(found != "", F.substring(t, start, at - start + F.length(found) + around))

@@ -282,3 +282,17 @@ def load(records: DataFrame, manifests: DataFrame, table: str, allowed: dict[str
     """Loads records into table if preload finds nothing that blocks; says whether it did."""
     return io.gated_load(records, preload(records, manifests, allowed), table, replace)
 
+
+def owned(cases: DataFrame, uid: str, owner: str = "uid") -> DataFrame:
+    """The cases of one owner; those of nobody are nobody's."""
+    return cases.where(F.col(owner) == uid)
+
+
+def long_enough(rows: DataFrame, column: str, least: int = 10) -> DataFrame:
+    """Rows whose text is of `least` characters or more, blanks around it aside."""
+    return rows.where(F.length(F.trim(F.coalesce(column, F.lit("")))) >= least)
+
+
+def missing_fields(columns: list[str]) -> Column:
+    """The names of the columns that are null or blank in a row, in the order given."""
+    return F.filter(F.array(*[F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(c)) for c in columns]), lambda c: c.isNotNull())

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseloom.functions import text
 from clauseloom.operators import matching, pages, pipelines
-from clauseloom.plans.core import _longest, _lines, _pages, _records, _runs, clauses, query, table
+from clauseloom.plans.core import _lines, _longest, _pages, _records, _runs, _silent, clauses, query, table
 from clauseloom.sources import io
 
 
@@ -152,3 +153,60 @@ def c14_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = letters.select(F.col("doc_id").alias("case_id"), "policy_id", F.col("text").alias("letter"))
     found = pipelines.analysed_cases(cases, clauses(spark, sf_dir), io.hashed_embedding("letter"), _side, _judge, 3)
     return found.select("case_id", "policy_id", "verdict", "letter_type", "picked")
+
+
+@query(
+    "o4_longest_silent_runs",
+    """WITH s AS (SELECT DISTINCT policy_id AS doc, unnest(pages_sent) AS page FROM run_manifest), h AS (SELECT DISTINCT policy_id AS doc, source_page AS page FROM rebuild_embeddings),
+    m AS (SELECT doc, page, page - row_number() OVER (PARTITION BY doc ORDER BY page) AS island FROM s ANTI JOIN h USING (doc, page))
+    SELECT doc, min(page) AS first, max(page) AS last, count(*) AS pages FROM m GROUP BY doc, island ORDER BY pages DESC, doc, first LIMIT 10""",
+)
+def o4_longest_silent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten longest runs of pages that were sent and yielded nothing."""
+    return _silent(spark, sf_dir).orderBy(F.desc("pages"), "doc", "first").limit(10)
+
+
+@query(
+    "p30_snippets",
+    r"""SELECT finding_id, substring(clause_text, greatest(1, a - 20), a - greatest(1, a - 20) + length(f) + 20) AS snippet FROM (SELECT finding_id, clause_text, strpos(clause_text, regexp_extract(clause_text, '(Clause [0-9]+)', 1)) AS a, regexp_extract(clause_text, '(Clause [0-9]+)', 1) AS f
+    FROM numeric_audit_findings) WHERE f <> ''""",
+)
+def p30_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where findings first refer to a clause, with what is around it."""
+    return table(spark, sf_dir, "numeric_audit_findings").select("finding_id", text.snippet("clause_text", "Clause [0-9]+", 20).alias("snippet")).where("snippet is not null")
+
+
+@query("p25_percents", "SELECT run_id, format('{:.1f}', verbatim_rejection_rate * 100) || '%' AS rejected FROM run_manifest WHERE verbatim_rejection_rate IS NOT NULL")
+def p25_percents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "run_manifest").where("verbatim_rejection_rate is not null").select("run_id", text.percent("verbatim_rejection_rate").alias("rejected"))
+
+
+@query(
+    "g28_missing_fields",
+    "SELECT vec_id, list_filter([CASE WHEN trim(coalesce(clause_title, '')) = '' THEN 'clause_title' END, CASE WHEN trim(coalesce(exclusion_code, '')) = '' THEN 'exclusion_code' END, CASE WHEN monetary_cap IS NULL THEN 'monetary_cap' END], lambda x: x IS NOT NULL) AS missing FROM rebuild_embeddings",
+)
+def g28_missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clauses(spark, sf_dir).select("vec_id", pipelines.missing_fields(["clause_title", "exclusion_code", "monetary_cap"]).alias("missing"))
+
+
+@query("g27_long_enough", "SELECT doc_id, policy_id FROM documents WHERE doc_kind = 'letter' AND length(trim(coalesce(text, ''))) >= 10")
+def g27_long_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters that say enough to be cases."""
+    return pipelines.long_enough(table(spark, sf_dir, "documents").where("doc_kind = 'letter'"), "text").select("doc_id", "policy_id")
+
+
+@query("g26_own_documents", "SELECT doc_id, source FROM documents WHERE policy_id = (SELECT min(policy_id) FROM documents)")
+def g26_own_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one owner, here the first policy by name."""
+    d = table(spark, sf_dir, "documents")
+    return pipelines.owned(d, d.agg(F.min("policy_id")).first()[0], "policy_id").select("doc_id", "source")
+
+
+@query(
+    "j17_dimension",
+    "SELECT insurer, code, count(*) AS clauses FROM (SELECT insurer, CASE insurer WHEN 'Aranyaka Health' THEN 'AH' WHEN 'Bluepeak Cover' THEN 'BC' END AS code FROM rebuild_embeddings) GROUP BY insurer, code",
+)
+def j17_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses with a column from a list written out in the program."""
+    joined = io.with_dimension(clauses(spark, sf_dir).select("insurer"), {"Aranyaka Health": ("AH",), "Bluepeak Cover": ("BC",)}, "insurer", "code string")
+    return joined.groupBy("insurer", "code").agg(F.count("*").alias("clauses"))

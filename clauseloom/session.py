@@ -17,6 +17,7 @@ def local_session(name: str = "clauseloom", cores: str = "*", partitions: int =
         "spark.ui.enabled": "false",
         "spark.driver.memory": "6g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     return builder.config(map=settings).getOrCreate()
 

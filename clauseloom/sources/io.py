@@ -94,6 +94,34 @@ def run_counters(df: DataFrame, **counts: Column) -> DataFrame:
     return df.agg(*[c.alias(k) for k, c in counts.items()])
 
 
+def write_manifests(df: DataFrame, path: str) -> None:
+    """Run manifests as JSON, one object a line, null fields written."""
+    write_jsonl(df, path)
+
+
+def write_log(corrections: DataFrame, path: str, columns: list[str]) -> None:
+    """Corrections as JSON arrays of the given columns' values, one a line; nulls are written."""
+    cells = [F.when(F.col(c).isNull(), "null").otherwise(F.regexp_replace(F.to_json(F.array(F.col(c))), r"^\[|\]$", "")) for c in columns]
+    corrections.select(F.concat(F.lit("["), F.concat_ws(", ", *cells), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Chunks (doc, chunk, section, text, start_page, end_page) as text to read through before a model is asked."""
+    head = F.format_string("=== %s chunk %d, section %s, pages %d to %d, %d characters", "doc", "chunk", "section", "start_page", "end_page", F.length("text"))
+    chunks.select(F.concat_ws("\n", head, "text", F.lit("")).alias("value")).write.mode("overwrite").text(path)
+
+
+def embedded_table(df: DataFrame, embed: Column, table: str, leave_out: list[str] = []) -> None:  # noqa: B006
+    """Replaces table by df with its embedding, without the columns left out."""
+    embedded(df, embed).drop(*leave_out).write.mode("overwrite").option("overwriteSchema", True).saveAsTable(table)
+
+
+def with_dimension(df: DataFrame, rows: dict[str, tuple], key: str, schema: str) -> DataFrame:
+    """df with the columns of a fixed list of documents, by key; documents that are not in it have nulls."""
+    dimension = df.sparkSession.createDataFrame([(k, *v) for k, v in rows.items()], f"{key} string, {schema}")
+    return df.join(F.broadcast(dimension), key, "left")  # a list written out in a program
+
+
 def gated_load(df: DataFrame, findings: DataFrame, table: str, replace: bool = False) -> bool:
     """Writes df to table only if no finding blocks; says whether it did. Appends unless replace is set. Rows that lack a
     required field block as well."""

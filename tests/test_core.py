@@ -480,3 +480,22 @@ def test_bills_keep_order_and_short_words(spark):
     assert got == {1: "ECG ELECTRODES", 2: "EYE PADS", 3: None}
     ranked = [(r["rank"], r["line_no"]) for r in bills.findings(bills.matched_lines(lines, items, "item_seq")).orderBy("rank").collect()]
     assert ranked == [(1, 1), (2, 2)]
+
+
+def test_what_is_written_out(spark, tmp_path):
+    log = spark.createDataFrame([("p", 1.5, None), ('q "x"', None, "e")], "policy string, before double, evidence string")
+    io.write_log(log, str(tmp_path / "log"), ["policy", "before", "evidence"])
+    assert sorted(json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "log")).collect()) == [["p", 1.5, None], ['q "x"', None, "e"]]
+    io.write_chunks(spark.createDataFrame([("d", 0, "s", "words", 1, 2)], "doc string, chunk int, section string, text string, start_page long, end_page long"), str(tmp_path / "dump"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "dump")).collect()][:2] == ["=== d chunk 0, section s, pages 1 to 2, 5 characters", "words"]
+    io.write_manifests(log, str(tmp_path / "man"))
+    assert all("evidence" in json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "man")).collect())
+
+
+def test_small_columns_of_text(spark):
+    from clauseloom.operators import pipelines
+
+    row = spark.createDataFrame([("[[page 3]]\nsee Clause 12 for it\n[[page 4]]\nx", 0.1234, None, " ")], "t string, p double, a string, b string")
+    got = row.select(text.page_marks("t").alias("m"), text.without_marks("t").alias("w"), text.snippet("t", "Clause [0-9]+", 4).alias("s"), text.snippet("t", "Form [0-9]+", 4).alias("n"), text.percent("p").alias("p"), pipelines.missing_fields(["p", "a", "b"]).alias("missing")).first()
+    assert got["m"] == [3, 4] and got["w"] == "\nsee Clause 12 for it\n\nx" and got["s"] == "see Clause 12 for" and got["n"] is None and got["p"] == "12.3%" and got["missing"] == ["a", "b"]
+    assert pipelines.owned(row, "x", "a").count() == 0 and pipelines.long_enough(row, "t").count() == 1 and pipelines.long_enough(row, "a").count() == 0
