@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,27 +190,63 @@ def _taken_in_turn(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(take, schema)
 
 
-#: Letters of the pieces by which a probe and a text that contains it meet.
-PIECE = 12
+#: Letters of a probe, and of the pieces by which it and a text that contains it meet: of whole probes, and of shorter ones
+#: down to a least length.
+PROBE, PIECE = 60, 12
+SHORT_PROBE, SHORT_PIECE = 20, 8
+
+
+def _piece_hashes(text: str, piece: int) -> np.ndarray:
+    """A hash of every run of `piece` letters of a text of small letters and digits."""
+    c = np.frombuffer(text.encode("ascii", "replace"), np.uint8).astype(np.uint64)
+    h = np.zeros(max(0, len(c) - piece + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(piece if len(h) else 0):
+            h = h * np.uint64(0x100000001B3) + c[i : i + len(h)]
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        return h ^ (h >> np.uint64(29))
+
+
+def anchors(text: str, probe: int, piece: int) -> np.ndarray:
+    """Of every run of `probe` letters of a text the least hash of its pieces, each once: any text that contains such a run
+    has the run's own least hash among its anchors, and anchors are few."""
+    h = _piece_hashes(text, piece)
+    wide = probe - piece + 1
+    if len(h) < wide:
+        return h[:0]
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, wide).min(1))
+
+
+def _anchored(probe: int, piece: int) -> Callable:
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([anchors(t or "", probe, piece).view(np.int64).tolist() for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    return of
 
 
 def gone(old: DataFrame, new: DataFrame, matches: DataFrame) -> DataFrame:
-    """Records of old without a match whose text, nor sixty letters from a third of it on, is inside any of new of their document.
+    """Records of old without a match of whose text sixty letters, from a third of it on, are inside no text of new of
+    their document; a text that is inside whole has them inside too.
 
-    What contains a probe contains its piece of PIECE letters from any place; a text has the probe's first piece at one
-    of its own places. Probes meet only the texts that have the hash of that piece, all of it by joins; probes shorter
-    than a piece, few and short, meet all texts of their document. An empty text is inside any.
+    A probe and the texts that contain it have an anchor in common: of the pieces of a run of letters the one with the least
+    hash. Texts are joined to probes by document and anchor, then looked at; a text has an anchor every few dozen letters.
+    Shorter probes have their own, shorter pieces; those below SHORT_PROBE letters, which are few and short, meet all texts of
+    their document. An empty text is inside any.
     """
-    alone = cut_lineage(old.join(matches.select("doc", F.col("seq_a").alias("seq")), ["doc", "seq"], "left_anti").withColumn("_n", n4("text")).withColumn("_p", F.expr("substring(_n, int(length(_n) / 3) + 1, 60)")))
-    hay = new.select("doc", n4("text").alias("_h")).distinct()
-    probes = alone.select("doc", "seq", F.explode(F.array_distinct(F.array("_n", "_p"))).alias("_q"))
-    long = probes.where(F.length("_q") >= PIECE).withColumn("_k", F.xxhash64(F.left("_q", F.lit(PIECE))))
-    wanted = long.select("doc", "_k").distinct()
-    at = F.expr(f"transform(sequence(1, greatest(1, length(_h) - {PIECE} + 1)), i -> xxhash64(substring(_h, i, {PIECE})))")
-    pieces = hay.where(F.length("_h") >= PIECE).select("doc", "_h", F.explode(F.array_distinct(at)).alias("_k")).join(wanted, ["doc", "_k"], "left_semi")
-    held = long.join(pieces, ["doc", "_k"]).where(F.contains("_h", F.col("_q"))).select("doc", "seq")
-    short = probes.where(F.length("_q") < PIECE).join(hay, "doc").where(F.contains("_h", F.col("_q"))).select("doc", "seq")
-    return alone.join(held.unionAll(short).distinct(), ["doc", "seq"], "left_anti").drop("_n", "_p")
+    alone = cut_lineage(old.join(matches.select("doc", F.col("seq_a").alias("seq")), ["doc", "seq"], "left_anti").withColumn("_n", n4("text")).withColumn("_q", F.expr(f"substring(_n, int(length(_n) / 3) + 1, {PROBE})")).drop("_n"))
+    hay = cut_lineage(new.select("doc", n4("text").alias("_h")).distinct().withColumn("_i", F.xxhash64("_h")))
+    length = F.length("_q")
+    held = []
+    for probe, piece, of_length in ((PROBE, PIECE, length == PROBE), (SHORT_PROBE, SHORT_PIECE, (length < PROBE) & (length >= SHORT_PROBE))):
+        probes = alone.where(of_length).select("doc", "seq", "_q", F.col("_q").substr(1, probe).alias("_a"))
+        probes = probes.withColumn("_k", _anchored(probe, piece)("_a")[0]).drop("_a")
+        docs = probes.select("doc").distinct()
+        posted = hay.join(docs, "doc", "left_semi").select("doc", "_i", F.explode(_anchored(probe, piece)("_h")).alias("_k"))
+        near = probes.join(posted, ["doc", "_k"]).select("doc", "seq", "_q", "_i")
+        held.append(near.join(hay, ["doc", "_i"]).where(F.contains("_h", F.col("_q"))).select("doc", "seq"))
+    tiny = alone.where(length < SHORT_PROBE).join(hay, "doc").where(F.contains("_h", F.col("_q"))).select("doc", "seq")
+    return alone.join(held[0].unionAll(held[1]).unionAll(tiny).distinct(), ["doc", "seq"], "left_anti").drop("_q")
 
 
 def diff_stats(matches: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:

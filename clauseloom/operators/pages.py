@@ -32,10 +32,24 @@ def page_lines(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
 def learned_furniture(lines: DataFrame, share: float = 0.5) -> DataFrame:
     """(doc, key, pages): keys of lines that stand on at least max(2, share of the pages) of their document's pages.
     Counts are partial where the rows are; a document's pages are never collected."""
-    keyed = lines.withColumn("key", n6("line")).where((F.col("key") != "") & (F.length("line") <= MAX_LINE))
-    on = keyed.select("doc", "key", "page").distinct().groupBy("doc", "key").agg(F.count("*").alias("pages"))
+    keyed = lines.withColumn("key", n6("line")).where((F.col("key") != "") & (F.length("line") <= MAX_LINE)).withColumn("_h", F.xxhash64("key"))
     total = lines.select("doc", "page").distinct().groupBy("doc").agg(F.count("*").alias("n"))
-    return on.join(total, "doc").where(F.col("pages") >= F.greatest(F.lit(2.0), share * F.col("n"))).select("doc", "key", "pages")
+    # hashes are counted; the keys are fetched for those that are often enough
+    on = keyed.select("doc", "_h", "page").distinct().groupBy("doc", "_h").agg(F.count("*").alias("pages"))
+    often = on.join(total, "doc").where(F.col("pages") >= F.greatest(F.lit(2.0), share * F.col("n"))).select("doc", "_h", "pages")
+    return keyed.select("doc", "_h", "key").join(if_small(often), ["doc", "_h"]).groupBy("doc", "key").agg(F.max("pages").alias("pages"))
+
+
+#: Rows up to which a table that was counted is sent to all tasks.
+SMALL = 20_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """df, written down, to be broadcast if it has SMALL rows at most; else it is joined as any other."""
+    from clauseloom.session import cut_lineage
+
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.limit(SMALL + 1).count() <= SMALL else kept
 
 
 def folio_offsets(lines: DataFrame, share: float = 0.3) -> DataFrame:
@@ -60,9 +74,9 @@ def stripped(lines: DataFrame, furniture: DataFrame, offsets: DataFrame) -> Data
     agree in 22 letters if their key is among the first or last two lines of the page, in 44 elsewhere."""
     on_page = Window.partitionBy("doc", "page")
     outer = F.least(F.dense_rank().over(on_page.orderBy("pos")), F.dense_rank().over(on_page.orderBy(F.desc("pos")))) <= 2
-    keyed = lines.withColumn("key", n6("line")).withColumn("_outer", outer).withColumn("_edge", F.max("_outer").over(Window.partitionBy("doc", "page", "key")))
+    keyed = lines.repartition("doc", "page").withColumn("key", n6("line")).withColumn("_outer", outer).withColumn("_edge", F.max("_outer").over(Window.partitionBy("doc", "page", "key")))
     known = furniture.groupBy("doc").agg(F.collect_set("key").alias("_known"))  # on a tenth of the pages or more each: as many as a few pages have lines
-    kept = keyed.join(furniture.select("doc", "key"), ["doc", "key"], "left_anti").join(offsets.select("doc", "off"), "doc", "left").join(known, "doc", "left")
+    kept = keyed.join(if_small(offsets.select("doc", "off").join(known, "doc", "full")), "doc", "left")
     folio = F.col("line").rlike(r"^\s*\d{1,4}\s*$") & (F.trim("line").cast("long") - F.col("page") == F.col("off"))
     piece = fuzzy_furniture(F.col("line"), F.col("_known"), F.when(F.col("_edge"), 22).otherwise(44))
     pattern = F.lit(False)

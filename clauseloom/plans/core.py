@@ -169,7 +169,11 @@ def g1_g5_record_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.gated(_records(spark, sf_dir)).select("finding_id", F.col("_truncated").alias("truncated"), F.col("_contact").alias("contact_details"), F.col("_mid").alias("mid_sentence"), F.col("_masthead").alias("masthead"))
 
 
-@query("g6_page_splices")
+_WEDGED = sqls.wedged(f"SELECT *, {_T} AS t FROM numeric_audit_findings")
+_SPLICE = "len(w) < 3 AND len(list_filter(w, lambda n: abs(n - source_page) <= 1)) > 0"
+
+
+@query("g6_page_splices", f"SELECT finding_id, source_page, w AS wedged, 'page_number_splice' AS kind FROM ({_WEDGED}) WHERE {_SPLICE}")
 def g6_page_splices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings with a page number wedged into their text."""
     f = table(spark, sf_dir, "numeric_audit_findings").select("finding_id", "source_page", gates.wedged_numbers().alias("wedged"))
@@ -190,7 +194,13 @@ _REPORT_KINDS = [*_ROW_KINDS, "page_number_splice", "continues_previous"]
 _KINDS = f"(SELECT policy_id, finding_id AS seq, unnest([truncated, contact_details, mid_sentence, masthead]) AS kind FROM ({_GATED}))"
 
 
-@query("a7_gate_report")
+_ALL_KINDS = f"(SELECT policy_id, seq, kind FROM {_KINDS} WHERE kind IS NOT NULL UNION ALL SELECT policy_id, finding_id, 'page_number_splice' FROM ({_WEDGED}) WHERE {_SPLICE} UNION ALL SELECT policy_id, finding_id, 'continues_previous' FROM ({_CONTINUES}) JOIN numeric_audit_findings USING (finding_id))"
+
+
+@query(
+    "a7_gate_report",
+    "SELECT CASE WHEN grouping(policy_id) = 1 THEN 'TOTAL' ELSE policy_id END AS policy_id, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in _REPORT_KINDS) + f" FROM {_ALL_KINDS} GROUP BY ROLLUP (policy_id)",
+)
 def a7_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every gate, of records and of sequences, per policy and kind, with a TOTAL."""
     return gates.pivot_with_total(gates.findings_long(_records(spark, sf_dir)), "policy_id", "kind", _REPORT_KINDS)
@@ -213,7 +223,7 @@ def a8_finding_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.kinds_of(found.withColumn("blocked", F.col("kind").isin(gates.BLOCKING)))
 
 
-@query("c2_findings")
+@query("c2_findings", f"SELECT * FROM {_ALL_KINDS}")
 def c2_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings of record and sequence gates."""
     return gates.findings_long(_records(spark, sf_dir))
@@ -270,7 +280,12 @@ def g23_survey_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "numeric_audit_findings").select("finding_id", F.explode(gates.survey()).alias("kind"))
 
 
-@query("a22_sweep")
+@query(
+    "a22_sweep",
+    f"""SELECT CASE WHEN grouping(policy_id) = 1 THEN 'TOTAL' ELSE policy_id END AS policy_id, count(*) FILTER (WHERE kind = 'page_number') AS page_number, count(*) FILTER (WHERE kind = 'masthead_fragment') AS masthead_fragment, count(*) FILTER (WHERE kind = 'stray_number') AS stray_number
+    FROM (SELECT policy_id, unnest([CASE WHEN {_SPLICE} THEN 'page_number' WHEN len(w) BETWEEN 1 AND 2 THEN 'stray_number' END, CASE WHEN contains(t, '|') OR regexp_matches(t, '{gates.PAGE_STAMP}') OR (tail <> '' AND tail = upper(tail)) THEN 'masthead_fragment' END]) AS kind
+      FROM (SELECT *, regexp_extract(t, '({_TAIL})', 1, 'i') AS tail FROM ({_WEDGED}))) WHERE kind IS NOT NULL GROUP BY ROLLUP (policy_id)""",
+)
 def a22_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wedged page numbers, mastheads and stray numbers per policy, with a TOTAL."""
     f = gates.normal(table(spark, sf_dir, "numeric_audit_findings")).withColumn("_w", gates.wedged_numbers(t=F.col("_n7")))

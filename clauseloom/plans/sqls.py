@@ -13,6 +13,25 @@ CLAUSE_BLOCKS = r"""SELECT policy_id, string_agg(l, chr(10) || chr(10) ORDER BY
   CASE WHEN waiting_period_days <> 0 THEN 'waiting_period_days: ' || waiting_period_days END, CASE WHEN monetary_cap <> 0 THEN 'monetary_cap: ' || monetary_cap END,
   CASE WHEN percent_cap <> 0 THEN 'percent_cap: ' || percent_cap END, clause_text) AS l FROM rebuild_embeddings) GROUP BY policy_id"""
 
+# --- numbers wedged between words
+
+_NUMERIC = (
+    "rs inr rupees day days month months year years hour hours week weeks percent per cent lakh lakhs lac lacs crore crores age aged upto up to of than least "
+    "maximum minimum section clause code excl exel list annexure point points times sum insured no number sl sr item within after before period plan option type "
+    "level band and or the a an is are was were shall consecutive st nd rd th first second third pre next last only such these any all each"
+)
+
+
+def wedged(rows: str) -> str:
+    """rows with w, the numbers of one to three digits between two words of its column t, a text with its blanks collapsed.
+    The text falls into runs of letters, of digits and of anything else; a number counts by the runs around it."""
+    near = ", ".join(f"'{w}'" for w in _NUMERIC.split())
+    number = "regexp_matches(k[i], '^[0-9]{1,3}$') AND regexp_matches(k[i - 2], '^[A-Za-z]') AND NOT contains(k[i - 1], '_') AND right(k[i - 1], 1) NOT IN ('/', '.', '-') AND k[i + 1] = ' ' AND regexp_matches(k[i + 2], '^[A-Za-z]')"
+    plain = f"lower(k[i - 2]) NOT IN ({near}) AND lower(k[i + 2]) NOT IN ({near})"
+    w = f"list_transform(list_filter(range(3, len(k) - 1), lambda i: {number} AND {plain}), lambda i: CAST(k[i] AS BIGINT))"
+    return f"SELECT * EXCLUDE (k), {w} AS w FROM (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+') AS k FROM ({rows}))"
+
+
 # --- sections and chunks
 
 _PAGES = "SELECT source_file AS doc, source_page AS page, string_agg(clause_text, chr(10) ORDER BY line, finding_id) AS text FROM numeric_audit_findings WHERE clause_text IS NOT NULL GROUP BY source_file, source_page"
