@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clauseloom.functions.text import PAGE_MARK, n1, n4, n5, n7, verbatim_key
-from clauseloom.session import cut_lineage
+from clauseloom.session import cut_lineage, if_small
 
 
 def longest_common_run(a: str, b: str) -> int:
@@ -122,7 +122,7 @@ def successive_runs(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     files = records.select("doc", file.alias("_f")).distinct()
     version = F.regexp_extract("_f", r"_v(\d+)", 1).try_cast("int")
     files = files.withColumn("_run", F.row_number().over(Window.partitionBy("doc").orderBy(version, "_f"))).withColumn("_last", F.count("*").over(Window.partitionBy("doc")))
-    numbered = records.withColumn("_f", file).join(files, ["doc", "_f"])
+    numbered = records.withColumn("_f", file).join(if_small(files), ["doc", "_f"])  # else texts would move for a number
     as_of = lambda d, run: d.select(F.struct("doc", run.alias("run")).alias("doc"), *[c for c in records.columns if c not in ("doc", "source_file")])
     return as_of(numbered.where("_run < _last"), F.col("_run") + 1), as_of(numbered.where("_run > 1"), F.col("_run"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions.text import n6, n7
+from clauseloom.session import cut_lineage, if_small
 
 # Lines that are furniture whatever the document.
 FURNITURE = [
@@ -40,18 +41,6 @@ def learned_furniture(lines: DataFrame, share: float = 0.5) -> DataFrame:
     return keyed.select("doc", "_h", "key").join(if_small(often), ["doc", "_h"]).groupBy("doc", "key").agg(F.max("pages").alias("pages"))
 
 
-#: Rows up to which a table that was counted is sent to all tasks.
-SMALL = 20_000
-
-
-def if_small(df: DataFrame) -> DataFrame:
-    """df, written down, to be broadcast if it has SMALL rows at most; else it is joined as any other."""
-    from clauseloom.session import cut_lineage
-
-    kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.limit(SMALL + 1).count() <= SMALL else kept
-
-
 def folio_offsets(lines: DataFrame, share: float = 0.3) -> DataFrame:
     """(doc, off, agreeing): the most frequent difference of a bare number line and its page, if max(3, share of the
     pages) agree; of equally frequent ones that which comes first."""
@@ -182,8 +171,6 @@ def chunks(pages: DataFrame, most: int = 6000, overlap: int = 1500) -> DataFrame
     """(doc, chunk, section, text, start_page, end_page) of pages (doc, page, section, text): chunk_borders, and the text
     gathered afterwards; a chunk opened by length begins with the end of the page before. A null section is one of its
     own. Chunks are at most `most` characters and a page long."""
-    from clauseloom.session import cut_lineage
-
     written, borders = _written(pages), cut_lineage(chunk_borders(pages, most, overlap))
     whole = borders.join(written, ["doc", "page"]).select("doc", "chunk", "section", F.lit(1).alias("k"), "page", "text")
     ends = borders.where("opens is not null").select("doc", "chunk", F.col("opens").alias("page")).join(written, ["doc", "page"]).select("doc", "chunk", "section", F.lit(0).alias("k"), "page", carried(F.col("text"), overlap).alias("text"))
