@@ -67,24 +67,26 @@ def stripped(lines: DataFrame, furniture: DataFrame, offsets: DataFrame) -> Data
     known = furniture.groupBy("doc").agg(F.collect_set("key").alias("_known"))  # on a tenth of the pages or more each: as many as a few pages have lines
     kept = keyed.join(if_small(offsets.select("doc", "off").join(known, "doc", "full")), "doc", "left")
     folio = F.col("line").rlike(r"^\s*\d{1,4}\s*$") & (F.trim("line").cast("long") - F.col("page") == F.col("off"))
-    piece = fuzzy_furniture(F.col("line"), F.col("_known"), F.when(F.col("_edge"), 22).otherwise(44))
+    piece = fuzzy_furniture(F.col("line"), F.col("_known"), F.when(F.col("_edge"), 22).otherwise(44), F.col("key"))
     pattern = F.lit(False)
     for p in FURNITURE:
         pattern = pattern | F.col("line").rlike("(?i)" + p)
     return kept.where(~F.coalesce(folio, F.lit(False)) & ~F.coalesce(piece, F.lit(False)) & ~pattern).drop("key", "off", "_outer", "_edge", "_known")
 
 
-def fuzzy_furniture(line: Column, known: Column, least: Column | int = 22) -> Column:
+def fuzzy_furniture(line: Column, known: Column, least: Column | int = 22, key: Column | None = None) -> Column:
     """Whether a line is a piece of known furniture: its key is one, or of 25 letters and inside one, or agrees with one
-    at the front in `least` letters and three fifths of the shorter."""
-    key = n6(line)
+    at the front in `least` letters and three fifths of the shorter. key is that of the line, if there is such a column."""
+    key = n6(line) if key is None else key
+    floor = min(least, 25) if isinstance(least, int) else 22
 
     def close(k: Column) -> Column:
         shorter = F.least(F.length(key), F.length(k))
         need = F.greatest(F.lit(least) if isinstance(least, int) else least, F.ceil(0.6 * shorter).cast("int"))
         return (shorter >= need) & (F.left(key, need) == F.left(k, need)) & (F.length(key) <= F.length(k) + 32)
 
-    return (F.length(line) <= MAX_LINE) & (key != "") & F.exists(known, lambda k: (k == key) | ((F.length(key) >= 25) & F.contains(k, key)) | close(k))
+    # equal keys are looked up; only lines that may be pieces are compared
+    return (F.length(line) <= MAX_LINE) & (key != "") & (F.array_contains(known, key) | ((F.length(key) >= floor) & F.exists(known, lambda k: ((F.length(key) >= 25) & F.contains(k, key)) | close(k))))
 
 
 def section_label(text: str) -> Column:
