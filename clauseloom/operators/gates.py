@@ -121,10 +121,11 @@ def with_findings(df: DataFrame) -> DataFrame:
 
 def continues_previous(df: DataFrame, policy: str = "policy_id", seq: str = "seq", text: str = "clause_text", page: str = "source_page") -> DataFrame:
     """Records whose predecessor in their policy is truncated on this page or the one before, and that open mid-sentence.
-    The window is sorted within a policy; a policy's rows stream through it, they are not collected."""
+    What each text says is made out before rows move; the window is sorted within a policy, whose rows stream through it."""
     w = Window.partitionBy(policy).orderBy(seq)
+    told = df.withColumn("_n7", n7(text)).withColumn("_t", truncated(text, F.col("_n7")) == "truncated").withColumn("_m", mid_sentence(F.col("_n7"))).drop("_n7")
     gap = F.col(page) - F.lag(page).over(w)
-    return df.withColumn("_t", truncated(text)).withColumn("_hit", (F.lag("_t").over(w) == "truncated") & gap.between(0, 1) & mid_sentence(n7(text))).where("_hit").drop("_t", "_hit")
+    return told.withColumn("_hit", F.lag("_t").over(w) & gap.between(0, 1) & F.col("_m")).where("_hit").drop("_t", "_m", "_hit")
 
 
 def findings_long(df: DataFrame, policy: str = "policy_id", seq: str = "seq") -> DataFrame:
