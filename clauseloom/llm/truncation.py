@@ -307,18 +307,18 @@ def cut_texts(df: DataFrame, id: str, text: str, source: str) -> DataFrame:
     kinds = [T.StringType(), T.IntegerType(), T.BooleanType(), T.IntegerType(), T.IntegerType(), T.ArrayType(T.LongType())]
     schema = T.StructType([*rows.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))])
     judged = rows.mapInArrow(judge, schema).withColumn("norm", F.when(F.col("open_end"), _norm("text")))
-    judged = judged.select("id", "source", *names, F.xxhash64("norm").alias("key"), F.xxhash64(F.substring("norm", 1, MIN_PREFIX)).alias("head"), F.length("norm").alias("letters"))
+    judged = judged.select("id", "source", F.monotonically_increasing_id().alias("row"), *names, F.xxhash64("norm").alias("key"), F.xxhash64(F.substring("norm", 1, MIN_PREFIX)).alias("head"), F.length("norm").alias("letters"))
     judged = cut_lineage(judged)
-    asked = judged.where("keys is not null").select("id", "is_row", "units", F.posexplode("keys").alias("pos", "key"))
+    asked = judged.where("keys is not null").select("row", "is_row", "units", F.posexplode("keys").alias("pos", "key"))
     counts = run_counts(rows, "text", asked.select("key").distinct())
-    told = asked.join(counts, "key", "left").groupBy("id").agg(F.first("is_row").alias("is_row"), F.first("units").alias("units"), F.array_sort(F.collect_list(F.struct("pos", F.coalesce("seen", F.lit(0)).alias("n"), F.coalesce("ends", F.lit(0)).alias("e")))).alias("x"))
-    told = told.select("id", asked_verdict(F.transform("x", lambda x: x["n"]), F.transform("x", lambda x: x["e"])).alias("told"))
+    told = asked.join(counts, "key", "left").groupBy("row").agg(F.first("is_row").alias("is_row"), F.first("units").alias("units"), F.array_sort(F.collect_list(F.struct("pos", F.coalesce("seen", F.lit(0)).alias("n"), F.coalesce("ends", F.lit(0)).alias("e")))).alias("x"))
+    told = told.select("row", asked_verdict(F.transform("x", lambda x: x["n"]), F.transform("x", lambda x: x["e"])).alias("told"))
     tops = judged.groupBy("source").agg(F.max("size").alias("top"))
     tops = judged.select("source", "size").join(tops, "source").where(F.col("size") >= F.col("top") - SLACK).groupBy("source", "top").count()
     limits = tops.where(F.col("count") >= LIMIT_ROWS).select("source", "top")
     wanted = judged.where("open_end").where(F.col("letters") >= MIN_PREFIX).select("key", "head")
     copies = longer_copies(rows, "text", wanted).groupBy("key").agg(F.max(F.expr("goes_on rlike '^[a-z0-9]'")).alias("goes_on"))
-    out = judged.join(limits, "source", "left").join(copies, "key", "left").join(told, "id", "left").withColumn("verdict", F.coalesce("told", "verdict"))
+    out = judged.join(limits, "source", "left").join(copies, "key", "left").join(told, "row", "left").withColumn("verdict", F.coalesce("told", "verdict"))
     at_limit = F.col("open_end") & (F.col("size") >= F.col("top") - SLACK)
     goes_on = F.col("open_end") & F.col("goes_on")
     cut = (F.col("verdict") != "whole") | F.coalesce(at_limit, F.lit(False)) | F.coalesce(goes_on, F.lit(False))
