@@ -46,9 +46,11 @@ def truncated(text: str = "clause_text", t: Column | None = None) -> Column:
     with its blanks collapsed, if there is such a column."""
     t = n7(text) if t is None else t
     last = F.right(t, F.lit(1))
-    word = F.regexp_extract(t, r"([A-Za-z]+)[^A-Za-z]*$", 1)
-    before = F.lower(F.regexp_replace(F.regexp_extract(t, r"(\S+)\s+\S+$", 1), "[^A-Za-z]", ""))
-    letter = F.when(t.rlike(URL_TAIL), "no_terminal_punctuation").when(word.isin(DANGLING) | (F.length(word) == 1) & t.rlike(r"\b[a-z]$"), "truncated").otherwise("no_terminal_punctuation")
+    # words are between single blanks: the last two are cut off, so that patterns look at them alone
+    end, two = F.substring_index(t, " ", -1), F.substring_index(t, " ", -2)
+    word = F.regexp_extract(end, "([A-Za-z]+)$", 1)
+    before = F.when(F.contains(two, F.lit(" ")), F.lower(F.regexp_replace(F.substring_index(two, " ", 1), "[^A-Za-z]", ""))).otherwise("")
+    letter = F.when(end.rlike(URL_TAIL), "no_terminal_punctuation").when(word.isin(DANGLING) | (F.length(word) == 1) & end.rlike(r"\b[a-z]$"), "truncated").otherwise("no_terminal_punctuation")
     digit = F.when(before.isin(DANGLING), "truncated").otherwise("no_terminal_punctuation")
     return F.when(t == "", "empty").when(last.rlike("[.!?]"), None).when(last.rlike("[,\\-–—]"), "truncated").when(last.rlike("[A-Za-z]"), letter).when(last.rlike("[0-9]"), digit)
 
@@ -61,7 +63,7 @@ def is_contact(title: str = "clause_title", section: str = "section", type_: str
 def contact_details(contact: Column, text: str = "clause_text") -> Column:
     t = F.coalesce(text, F.lit(""))
     signals = sum((t.rlike(p).cast("int") for p in ADDRESS), F.lit(0))
-    return F.when(~contact & (t.rlike(EMAIL) | (signals >= 2)), "embedded_contact_details")
+    return F.when(~contact & (F.contains(t, F.lit("@")) & t.rlike(EMAIL) | (signals >= 2)), "embedded_contact_details")
 
 
 def mid_sentence(text: Column) -> Column:
@@ -82,7 +84,9 @@ def starts_mid_sentence(text: str = "clause_text", title: str = "clause_title",
 
 def masthead(contact: Column, text: str = "clause_text", t: Column | None = None) -> Column:
     t = n7(text) if t is None else t
-    tail = F.regexp_extract(t, f"({NAME_TAIL})", 1)
+    low = F.lower(t)
+    named = F.contains(low, F.lit("limited")) | F.contains(low, F.lit("ltd")) | F.contains(low, F.lit("wordings"))  # else there is no need to look for whole names
+    tail = F.when(named, F.regexp_extract(t, f"({NAME_TAIL})", 1)).otherwise("")
     return F.when(~contact & (t.contains("|") | t.rlike(PAGE_STAMP) | (tail != "") & (tail == F.upper(tail))), "masthead_fragment")
 
 
@@ -91,9 +95,10 @@ def wedged_numbers(text: str = "clause_text", t: Column | None = None) -> Column
     t = n7(text) if t is None else t
     # words are tried from their first letter alone and never given back: one look at each sign
     pattern = F.lit(r"(?<![A-Za-z])([A-Za-z]++)[^A-Za-z0-9_]*+(?<![\w/.-])(\d{1,3})(?![\w/.%-])(?=\s*([A-Za-z]++))")
+    some = t.rlike(r"(?<![\w/.-])\d{1,3}(?![\w/.%-])\s*[A-Za-z]")
     near = F.arrays_zip(*[F.regexp_extract_all(t, pattern, k).alias(c) for k, c in ((1, "b"), (2, "n"), (3, "a"))])
     good = F.filter(near, lambda x: ~F.lower(x["b"]).isin(NUMERIC_CONTEXT) & ~F.lower(x["a"]).isin(NUMERIC_CONTEXT))
-    return F.transform(good, lambda x: x["n"].cast("long"))
+    return F.when(some, F.transform(good, lambda x: x["n"].cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
 
 def page_splice(page: str = "source_page", text: str = "clause_text", t: Column | None = None, wedged: Column | None = None) -> Column:
