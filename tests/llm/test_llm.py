@@ -188,6 +188,21 @@ def test_longer_copies_cross_partitions(spark):
     assert {r["goes_on"] for r in truncation.longer_copies(df, "t", wanted).collect()} == {"yz"}
 
 
+def test_normal_forms_are_those_of_the_pattern_without_one(spark, monkeypatch):
+    texts = ["", "The Plan pays Rs. 5,000/- in 30 days.", "\u212aelvin \u0130n \u0421\u0430sh caf\u00e9 \U0001f600 \x00\ufffd\u00a0\u200bZ", "\u0964\n\t_-", "A.B" * 90]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("norm", F.lower(F.regexp_replace("t", "[^A-Za-z0-9.]+", "")))
+    for r in df.withColumn("key", F.xxhash64("norm")).collect():
+        assert truncation.normal(r["t"].encode()).decode() == r["norm"]
+        assert truncation._hashes([r["norm"].encode()]).view(np.int64)[0] == r["key"]
+    plans, cut = [], truncation.cut_lineage
+    monkeypatch.setattr(truncation, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().toString()) or cut(df))
+    short = "the Insured person shall settle the discharge summary, in full, after the gra"
+    rows = [(1, short, "s"), (2, short.upper() + "ce period.", "s"), (3, short + "ce period.", "s"), (4, None, None)]
+    got = truncation.cut_texts(spark.createDataFrame(rows, "id long, t string, s string"), "id", "t", "s").collect()
+    assert [r["id"] for r in got if r["goes_on"]] == [1]
+    assert len(plans) == 2 and not any("regexp_replace" in p for p in plans)
+
+
 def test_half_of_a_frequent_word_is_cut_however_often(spark):
     whole = [f"the insured person shall settle the charges number {i} in full. the insurer pays the insured person" for i in range(900)]
     rows = [(i, t + ".", "s") for i, t in enumerate(whole)] + [(1000 + i, f"the claim was made by the insu and row {i} goes on from there.", "s") for i in range(2)]
