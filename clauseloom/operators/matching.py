@@ -52,21 +52,46 @@ def longest_common_run(a: str, b: str) -> int:
     return best
 
 
+def has_run(a: str, b: str, least: int) -> bool:
+    """Whether a and b both contain some string of `least` characters. One of more than half of a covers a's middle, which
+    is sought as it is and drawn out on both sides."""
+    if least > len(a):
+        return False
+    if 2 * least <= len(a):
+        return longest_common_run(a, b) >= least
+    start, end = len(a) - least, least
+    at = b.find(a[start:end])
+    while at >= 0:
+        i, j = start, at
+        while i and j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        k, n = end, at + end - start
+        while k < len(a) and n < len(b) and a[k] == b[n]:
+            k, n = k + 1, n + 1
+        if k - i >= least:
+            return True
+        at = b.find(a[start:end], at + 1)
+    return False
+
+
+def stands(quote: str, source: str, share: float = 0.9, least: int = 60) -> str:
+    """How a quote stands in a source, both in normal form: 'exact', 'run' or 'absent' as verbatim says."""
+    if not quote or not source:
+        return "absent"
+    if quote in source:
+        return "exact"
+    return "run" if len(quote) >= least and has_run(quote, source, max(least, int(share * len(quote)))) else "absent"
+
+
 def verbatim(pairs: DataFrame, quote: str, source: str, share: float = 0.9, least: int = 60) -> DataFrame:
     """pairs with how: 'exact' if the source contains the quote in normal form, 'run' if it has a run of max(least,
     share of the quote) of it, else 'absent'. Null quotes and sources are absent; the costly test sees only what the
     cheap one leaves."""
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for q, s in zip(batch.column(quote).to_pylist(), batch.column(source).to_pylist()):
-                q, s = verbatim_key(q) or "", verbatim_key(s) or ""
-                need = max(least, int(share * len(q)))
-                out.append("absent" if not q or not s else "exact" if q in s else "run" if len(q) >= least and longest_common_run(q, s) >= need else "absent")
+            out = [stands(verbatim_key(q) or "", verbatim_key(s) or "", share, least) for q, s in zip(batch.column(quote).to_pylist(), batch.column(source).to_pylist())]
             yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "how"])
 
-
-
     return pairs.mapInArrow(judge, T.StructType([*pairs.schema.fields, T.StructField("how", T.StringType())]))
 
 
@@ -325,22 +350,28 @@ def longest_per(df: DataFrame, keys: list[str], text: str, seq: str) -> DataFram
 _MARK = re.compile(PAGE_MARK)
 
 
+def marks_of(chunk: str) -> list[tuple[int, int]]:
+    """Where the page marks of a chunk are, and their pages."""
+    return [(m.start(), int(m.group(1))) for m in _MARK.finditer(chunk)]
+
+
+def page_of(quote: str, flat: str, marks: list[tuple[int, int]], size: int, page: int | None, start: int | None) -> int | None:
+    """resolve_page of a text and a chunk of `size` characters in normal form, quote and flat."""
+    if page is not None and any(page == n for _, n in marks):
+        return page
+    probe = quote[:80]
+    at = flat.find(probe) if probe else -1
+    before = [n for place, n in marks if at >= 0 and place <= int(at / max(1, len(flat)) * size)]
+    return before[-1] if before else start
+
+
 @F.arrow_udf(T.LongType())
 def resolve_page(text: pa.Array, chunk: pa.Array, page: pa.Array, start: pa.Array) -> pa.Array:
     """The page a text of a chunk stands on: the given one if the chunk has it, else that of the last page mark before the
     place where the text's beginning is found, else the chunk's first. The place is found in normal form, by eighty
     characters, and scaled by the two lengths."""
-    out = []
-    for t, c, p, first in zip(*(x.to_pylist() for x in (text, chunk, page, start))):
-        marks = [(m.start(), int(m.group(1))) for m in _MARK.finditer(c or "")]
-        if p is not None and any(p == n for _, n in marks):
-            out.append(p)
-            continue
-        flat, probe = verbatim_key(c) or "", (verbatim_key(t) or "")[:80]
-        at = flat.find(probe) if probe else -1
-        before = [n for place, n in marks if at >= 0 and place <= int(at / max(1, len(flat)) * len(c))]
-        out.append(before[-1] if before else first)
-    return pa.array(out, pa.int64())
+    rows = zip(*(x.to_pylist() for x in (text, chunk, page, start)))
+    return pa.array([page_of(verbatim_key(t) or "", verbatim_key(c) or "", marks_of(c or ""), len(c or ""), p, first) for t, c, p, first in rows], pa.int64())
 
 
 def mentions(letter: str, names: list[str]) -> list[str]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.functions.text import n7
+from clauseloom.functions.text import n7, verbatim_key
 from clauseloom.operators import audits, gates, matching, pages, retrieval
 from clauseloom.session import cut_lineage
 from clauseloom.sources import io
@@ -20,6 +20,8 @@ Extract = Callable[[str], list[dict]]
 # Sections that hold no clauses; characters below which a page is as good as empty.
 SKIPPED_SECTIONS = ["ombudsman", "unknown"]
 NEAR_EMPTY = 50
+#: Characters of clauses that leave a task together.
+BATCH = 1 << 20
 
 
 def paragraphs(text: str) -> list[dict]:
@@ -57,21 +59,32 @@ def page_text(left: Column, right: Column, whole: Column) -> Column:
 
 
 def extracted(chunks: DataFrame, extract: Extract) -> DataFrame:
-    """(doc, chunk, text, start_page, clause_title, clause_text, page, failed): the clauses a model finds in chunks, a row
-    each; a chunk that it fails on has one row, with failed set."""
+    """(doc, chunk, clause_title, clause_text, page, failed, how): the clauses a model finds in chunks, a row each, how they
+    stand in their chunk (matching.verbatim) and on which page (matching.resolve_page); a chunk that it fails on has one
+    row, with failed set. A chunk's text is brought to its normal form once and does not travel with its clauses; of these
+    a task holds those of one chunk and BATCH characters more."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
+            for r in (r for k in range(0, batch.num_rows, 50) for r in batch.slice(k, 50).to_pylist()):
                 try:
-                    found = [{"clause_title": c.get("clause_title"), "clause_text": c.get("clause_text"), "page": c.get("source_page"), "failed": False} for c in extract(r["text"])]
+                    found = [(c.get("clause_title"), c.get("clause_text"), c.get("source_page")) for c in extract(r["text"])]
                 except Exception:  # noqa: BLE001 - whatever a model does, the run goes on and says so
-                    found = [{"clause_title": None, "clause_text": None, "page": None, "failed": True}]
-                rows += [r | c for c in found]
-            yield pa.RecordBatch.from_pylist(rows, out)
-
-    out = pa.schema([("doc", pa.string()), ("chunk", pa.int32()), ("text", pa.string()), ("start_page", pa.int64()), ("clause_title", pa.string()), ("clause_text", pa.string()), ("page", pa.int64()), ("failed", pa.bool_())])
-    return chunks.select("doc", "chunk", "text", "start_page").mapInArrow(read, "doc string, chunk int, text string, start_page long, clause_title string, clause_text string, page long, failed boolean")
+                    rows.append((r["doc"], r["chunk"], None, None, None, True, "absent"))
+                    continue
+                flat, marks, size = verbatim_key(r["text"]) or "", matching.marks_of(r["text"] or ""), len(r["text"] or "")
+                for title, text, page in found:
+                    quote = verbatim_key(text) or ""
+                    rows.append((r["doc"], r["chunk"], title, text, matching.page_of(quote, flat, marks, size, page, r["start_page"]), False, matching.stands(quote, flat)))
+                    held += len(title or "") + len(text or "")
+                if held > BATCH or len(rows) > BATCH >> 8:
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+                    rows, held = [], 0
+        if rows:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+
+    out = pa.schema([("doc", pa.string()), ("chunk", pa.int32()), ("clause_title", pa.string()), ("clause_text", pa.string()), ("page", pa.int64()), ("failed", pa.bool_()), ("how", pa.string())])
+    return chunks.select("doc", "chunk", "text", "start_page").mapInArrow(read, "doc string, chunk int, clause_title string, clause_text string, page long, failed boolean, how string")
 
 
 def wording_lines(page_texts: DataFrame, share: float = 0.5, folio_share: float = 0.3) -> DataFrame:
@@ -92,9 +105,8 @@ def extract_records(page_texts: DataFrame, extract: Extract = paragraphs, most:
     clean = cut_lineage(wording_lines(page_texts, share, folio_share))
     named = cut_lineage(clean.join(pages.sections(clean, "doc", "page", "text"), ["doc", "page"]))
     chunks = cut_lineage(worth_reading(pages.chunks(named, most, overlap)))
-    found = cut_lineage(matching.verbatim(extracted(chunks, extract), "clause_text", "text"))
-    place = matching.resolve_page("clause_text", "text", "page", "start_page")
-    good = found.where("not failed and how <> 'absent'").select("doc", F.monotonically_increasing_id().alias("seq"), place.alias("page"), F.col("clause_title").alias("title"), F.col("clause_text").alias("text"))
+    found = cut_lineage(extracted(chunks, extract))
+    good = found.where("not failed and how <> 'absent'").select("doc", F.monotonically_increasing_id().alias("seq"), "page", F.col("clause_title").alias("title"), F.col("clause_text").alias("text"))
     good = cut_lineage(good)
     records = cut_lineage(matching.contained(good))
     sent = chunks.select("doc", F.explode(F.sequence("start_page", "end_page")).alias("p")).groupBy("doc").agg(F.array_sort(F.collect_set("p")).alias("pages_sent"))

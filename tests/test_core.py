@@ -409,6 +409,36 @@ def test_records_from_pages(spark):
     assert m["chunks_failed"] == [0, 1] and m["records_written"] == 0 and m["verbatim_rejection_rate"] == 1.0
 
 
+def test_clauses_are_judged_where_their_chunk_is(spark):
+    from clauseloom.operators import pipelines
+
+    lines = [f"the insured person {n} shall settle the charges of the hospital" for n in range(3000)]
+    text = "[[page 3]]\n" + "\n".join(lines)
+
+    def model(t):
+        if "fail" in t:
+            raise RuntimeError("no answer")
+        return pipelines.paragraphs(t) + [{"clause_title": "T", "clause_text": "words that stand nowhere in it"}, {"clause_title": "T", "clause_text": lines[0]}]
+
+    chunks = spark.createDataFrame([("d", 0, text, 3), ("d", 1, "fail", 4)], "doc string, chunk int, text string, start_page long").coalesce(1)
+    found = pipelines.extracted(chunks, model)
+    assert "text" not in found.columns  # a copy of the chunk for each of its clauses takes the memory of the square of a page
+    got = found.collect()
+    assert [r["how"] for r in got] == ["exact"] * 3000 + ["absent", "exact", "absent"] and [r["failed"] for r in got] == [False] * 3002 + [True]
+    assert {r["page"] for r in got} == {3, None}
+
+
+def test_has_run_is_the_longest_common_run():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(2000):
+        a = "".join(rng.choice("ab ") for _ in range(rng.randint(0, 14)))
+        b = "".join(rng.choice("ab ") for _ in range(rng.randint(0, 40)))
+        for least in range(1, 15):
+            assert matching.has_run(a, b, least) == (matching.longest_common_run(a, b) >= least), (a, b, least)
+
+
 def test_runs_are_merged_and_loaded(spark):
     from clauseloom.operators import pipelines
 
