@@ -255,12 +255,9 @@ def analysed_cases(cases: DataFrame, clauses: DataFrame, embed: Column, advocate
     embed makes a vector of column letter. Each case keeps its k nearest only: partial lists are cut where the rows are.
     """
     asked = cases.withColumn("_q", embed)
-    usable = clauses.where(retrieval.usable())
-    near = asked.select("case_id", "policy_id", "_q").join(usable.select("policy_id", "seq", "clause_title", "clause_text", "source_page", "embedding"), "policy_id")
-    from clauseloom.functions.text import cosine
-
-    scored = near.withColumn("_d", 1 - cosine("_q", "embedding")).where("_d is not null")
-    ranked = audits.first_of_each(scored.withColumn("_o", F.struct(F.round("_d", 9).alias("d"), "seq")), ["case_id"], "_o", k)
+    held = cut_lineage(clauses.where(retrieval.usable()).select("policy_id", "seq", "clause_title", "clause_text", "source_page", "embedding", F.monotonically_increasing_id().alias("_row")))
+    near = retrieval.nearest(asked.select("case_id", "policy_id", "_q"), held.select("policy_id", "seq", "_row", "embedding"), k)
+    ranked = near.join(held.select("_row", "clause_title", "clause_text", "source_page"), "_row").withColumn("_o", F.struct("d", "seq"))
     block = ranked.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("_o", "seq", "clause_title", "clause_text", "source_page"))).alias("held"))
     text = F.array_join(F.transform("held", lambda c, i: F.concat_ws("", F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(c["clause_title"], F.lit("")), F.lit(" (page "), F.coalesce(c["source_page"].cast("string"), F.lit("?")), F.lit(")\n"), n7(c["clause_text"]))), "\n\n")
     told = cut_lineage(asked.drop("_q").join(block, "case_id").withColumn("_block", text))

@@ -491,6 +491,23 @@ def test_cases_with_stand_ins(spark):
     assert got[2]["verdict"] is None and got[3]["verdict"] is None and len(got) == 3
 
 
+def test_nearest_in_blocks_is_what_all_pairs_say(spark, monkeypatch):
+    import random
+
+    rng, row = random.Random(2), lambda n: [round(rng.uniform(-1, 1), 1) for _ in range(n)]
+    vectors = [(p, n * 2, n, v) for n in range(60) for p, v in [(rng.choice("pq"), row(3))]]
+    vectors += [("p", 200 + n, 100 + n, vectors[0][3]) for n in range(9)]  # level: the first by seq count
+    queries = [(n, rng.choice("pqr"), row(3)) for n in range(30)] + [(98, "p", [0.0, 0.0, 0.0]), (99, "p", None)]
+    v = spark.createDataFrame(vectors, "policy_id string, seq long, _row long, embedding array<float>")
+    q = spark.createDataFrame(queries, "case_id long, policy_id string, _q array<double>")
+    pairs = q.join(v, "policy_id").withColumn("d", F.round(1 - text.cosine("_q", "embedding"), 9)).where("d is not null").withColumn("_o", F.struct("d", "seq"))
+    want = {(r["case_id"], r["_row"], r["seq"], r["d"]) for r in audits.first_of_each(pairs, ["case_id"], "_o", 4).collect()}
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    monkeypatch.setattr(retrieval, "PRODUCT", 20)
+    got = [(r["case_id"], r["_row"], r["seq"], r["d"]) for r in retrieval.nearest(q, v, 4).collect()]
+    assert set(got) == want and len(got) == len(want) > 60
+
+
 def test_orders_and_repeats(spark):
     from clauseloom.operators import pipelines
 
