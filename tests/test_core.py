@@ -173,6 +173,20 @@ def test_mentions_and_mismatch(spark):
         assert spark.sql(f"select {named} as n").select(c.alias("x")).first()["x"] == want
 
 
+def test_a_page_is_searched_whole_and_in_pieces(spark, monkeypatch):
+    texts = [("p", 5, f"excl 0{n} of the clause number {n}", [f"0{n}"]) for n in range(9)] + [(None, 5, "lost", []), ("p", None, "lost", [])]
+    seek = [("clause number 7", "clausenumber7", ""), ("clause-number 8", "clausenumber8", ""), ("excl-08", "excl-08", "08"), ("number 9", "number9", "")]
+    values = [("p", 5, 4, 2, ("exclusion_code" if d else "clause_title", v, w, d)) for v, w, d in seek]
+    values += [(None, 5, 5, 1, ("clause_title", "lost", "lost", "")), ("p", None, None, 1, ("clause_title", "lost", "lost", "")), ("q", 1, 1, 1, ("clause_title", "lost", "lost", ""))]
+    v = spark.createDataFrame(values, "policy_id string, source_page long, at long, n long, x struct<field: string, v7: string, v4: string, d: string>")
+    t = spark.createDataFrame(texts, "policy_id string, source_page long, t7 string, codes array<string>")
+    for most in (1 << 18, 30):
+        monkeypatch.setattr(matching, "HAY", most)
+        got = {(r["policy_id"], r["at"], r["x"]["v7"]): (r["r"], r["n"]) for r in matching._sought(v, t).collect()}
+        assert [got["p", 4, x[0]] for x in seek] == [(1, 2), (2, 2), (3, 2), (4, 2)]
+        assert got[None, 5, "lost"] == got["p", None, "lost"] == got["q", 1, "lost"] == (4, 1) and len(got) == 7
+
+
 def test_omissions(spark):
     span = "and the cost of the second opinion that the board may ask for"
     rows = [("7", "a", f"base words {span} end of it"), ("7", "b", f"base words {span} end of it all"), ("7", "c", "base words end of it")]
